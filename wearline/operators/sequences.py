@@ -46,6 +46,35 @@ def padded(sequence: Column, length: int, width: int) -> Column:
     return F.concat(F.array_repeat(zero, lack), sequence)
 
 
+def short_sequences(
+    df: DataFrame,
+    features: list[str],
+    label: str,
+    length: int,
+    *,
+    keys: list[str] = ["machine_id"],
+    order: list[str] = ["cycle"],
+) -> DataFrame:
+    """One zero-padded sequence per key with fewer than ``length`` rows.
+
+    Long keys are removed by count first, so a gathered group stays below ``length`` rows.
+    """
+    short = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") < length).drop("_n")
+    step = F.struct(
+        *order,
+        F.array(*[F.col(c).cast("double") for c in features]).alias("step"),
+        F.col(label).alias("label"),
+    )
+    gathered = df.join(short, keys, "left_semi").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(step)).alias("_g")
+    )
+    return gathered.select(
+        *keys,
+        padded(F.transform("_g", lambda g: g["step"]), length, len(features)).alias("sequence"),
+        F.element_at("_g", -1)["label"].alias("label"),
+    )
+
+
 def flat_names(features: list[str], length: int) -> list[str]:
     """``{feature}_t{step}``; one step stays unsuffixed."""
     if length == 1:
