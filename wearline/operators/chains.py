@@ -13,8 +13,9 @@ its incoming opener, and the scan then runs on (key, slice) partitions.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,55 +56,89 @@ def _scan(closed: bool):
     return fold
 
 
-def _transfer(closed: bool):
-    """Effect of one slice: runs of first openers that end in the same last opener."""
-
-    def reduce_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf[_AT].to_numpy())
-        hold = int(pdf[_HOLD].iloc[0])
-        n = len(at)
-        following = np.searchsorted(at, at + hold, side="right" if closed else "left")
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if following[i] < n and following[i] > i:
-                last[i] = last[following[i]]
-        # Only rows up to the first one past the longest incoming hold can open the slice.
-        reach = min(n, int(np.searchsorted(at, int(pdf["_from"].iloc[0]) + hold, side="right")) + 1)
-        ends = np.append(np.flatnonzero(np.diff(last[:reach])), reach - 1)
-        return pd.DataFrame(
-            {
-                _KEY: [pdf[_KEY].iloc[0]],
-                SLICE: [pdf[SLICE].iloc[0]],
-                _HOLD: [hold],
-                "_upto": [at[ends].tolist()],
-                "_last": [at[last[ends]].tolist()],
-            }
+def _groups(batches, by: list[str], columns: list[str]):
+    """(key, column lists) per run of equal ``by`` values in a sorted partition."""
+    current, held = None, [[] for _ in columns]
+    for batch in batches:
+        keys = zip(*[batch.column(c).to_pylist() for c in by])
+        rows = zip(*[batch.column(c).to_pylist() for c in columns])
+        for key, row in zip(keys, rows):
+            if key != current:
+                if current is not None:
+                    yield current, held
+                current, held = key, [[] for _ in columns]
+            for store, value in zip(held, row):
+                store.append(value)
+    if current is not None:
+        yield current, held
+
+
+_EFFECT = pa.schema(
+    [
+        (_KEY, pa.string()),
+        (SLICE, pa.int64()),
+        (_HOLD, pa.int64()),
+        ("_upto", pa.list_(pa.int64())),
+        ("_last", pa.list_(pa.int64())),
+    ]
+)
+_CARRY = pa.schema([(_KEY, pa.string()), (SLICE, pa.int64()), (_INCOMING, pa.int64())])
+_FLUSH = 10_000  # output rows per Arrow batch
+
+
+def _batched(rows, schema: pa.Schema):
+    """Row tuples to record batches of bounded size."""
+    pending = []
+    for row in rows:
+        pending.append(row)
+        if len(pending) >= _FLUSH:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*pending), schema)], schema=schema
+            )
+            pending = []
+    if pending:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*pending), schema)], schema=schema
         )
 
-    return reduce_slice
+
+def _transfer(closed: bool, length: int):
+    """Effect of each slice: runs of first openers that end in the same last opener."""
+
+    def effects(batches):
+        for (key, cut), (times, holds) in _groups(batches, [_KEY, SLICE], [_AT, _HOLD]):
+            at, hold, n = np.asarray(times), holds[0], len(times)
+            following = np.searchsorted(at, at + hold, side="right" if closed else "left")
+            last = list(range(n))
+            for i in range(n - 1, -1, -1):
+                if i < following[i] < n:
+                    last[i] = last[following[i]]
+            # Only rows up to the first one past the longest incoming hold can open the slice.
+            reach = min(n, int(np.searchsorted(at, cut * length + hold, side="right")) + 1)
+            ends = [i for i in range(reach) if i == reach - 1 or last[i] != last[i + 1]]
+            yield key, cut, hold, [times[i] for i in ends], [times[last[i]] for i in ends]
+
+    return lambda batches: _batched(effects(batches), _EFFECT)
 
 
 def _fold_slices(closed: bool):
     """Incoming opener of every slice of one key."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        opened, incoming = None, []
-        for hold, upto, last in zip(pdf[_HOLD], pdf["_upto"], pdf["_last"]):
-            incoming.append(opened)
-            free = np.iinfo(np.int64).min if opened is None else opened + int(hold)
-            i = int(np.searchsorted(upto, free, side="right" if closed and opened is not None else "left"))
-            if i < len(upto):
-                opened = int(last[i])
-        return pd.DataFrame(
-            {
-                _KEY: pdf[_KEY].to_numpy(),
-                SLICE: pdf[SLICE].to_numpy(),
-                _INCOMING: pd.array(incoming, dtype="Int64"),
-            }
-        )
+    def carries(batches):
+        names = [SLICE, _HOLD, "_upto", "_last"]
+        for (key,), columns in _groups(batches, [_KEY], names):
+            opened = None
+            for cut, hold, upto, last in zip(*columns):
+                yield key, cut, opened
+                if opened is None:
+                    opened = last[0]
+                    continue
+                find = bisect_right if closed else bisect_left
+                i = find(upto, opened + hold)
+                if i < len(upto):
+                    opened = last[i]
 
-    return fold
+    return lambda batches: _batched(carries(batches), _CARRY)
 
 
 def mark_openers(
@@ -135,12 +170,19 @@ def mark_openers(
         )
     else:
         cut = base.withColumn(SLICE, slice_of(F.col(_AT), length))
-        slim = cut.select(_KEY, SLICE, _AT, _HOLD, (F.col(SLICE) * length).alias("_from"))
-        effects = slim.groupBy(_KEY, SLICE).applyInPandas(
-            _transfer(closed), f"{_KEY} string, {SLICE} long, {_HOLD} long, _upto array<long>, _last array<long>"
+        effects = (
+            cut.select(_KEY, SLICE, _AT, _HOLD)
+            .repartition(_KEY, SLICE)
+            .sortWithinPartitions(_KEY, SLICE, _AT)
+            .mapInArrow(
+                _transfer(closed, length),
+                f"{_KEY} string, {SLICE} long, {_HOLD} long, _upto array<long>, _last array<long>",
+            )
         )
-        carry = effects.groupBy(_KEY).applyInPandas(
-            _fold_slices(closed), f"{_KEY} string, {SLICE} long, {_INCOMING} long"
+        carry = (
+            effects.repartition(_KEY)
+            .sortWithinPartitions(_KEY, SLICE)
+            .mapInArrow(_fold_slices(closed), f"{_KEY} string, {SLICE} long, {_INCOMING} long")
         )
         ready = cut.join(carry, [_KEY, SLICE], "left").select(*cut.columns, _INCOMING)
     schema = T.StructType(
