@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KS_TERMS = 100
 _KS_CERTAIN_BELOW = 0.2  # the limiting tail is 1 to 12 digits below this argument
@@ -70,7 +71,7 @@ def student_upper(t: float, df: float) -> float:
     return half if t >= 0 else 1.0 - half
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_upper_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Applied to one-row statistics frames."""
     pairs = zip(t.to_numpy(dtype=float), df.to_numpy(dtype=float))
