@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.tails import kolmogorov_tail, student_upper_tail
 from wearline.operators.columns import require
-from wearline.operators.slices import rows_per_slice
+from wearline.operators.slices import Running, running
 
 KS_THRESHOLD = 0.05
 ERROR_RISE = 0.20
@@ -17,7 +15,6 @@ SIGNIFICANCE = 0.05
 INCONCLUSIVE_ABOVE = 0.30
 RECALL_SLACK = 0.02
 MIN_ERRORS = 10
-_MAX_BUCKETS = 4096
 
 
 def _unpivot(df: DataFrame, features: list[str], side: int) -> DataFrame:
@@ -28,30 +25,6 @@ def _unpivot(df: DataFrame, features: list[str], side: int) -> DataFrame:
     return long.withColumn("side", F.lit(side))
 
 
-def _with_value_bucket(counts: DataFrame) -> DataFrame:
-    """Adds ``_bucket``, an order-preserving value range per feature.
-
-    While no feature has more distinct values than fit one task there is one
-    bucket; otherwise bounds are approximate quantiles, found once.
-    """
-    limit = rows_per_slice(counts)
-    most = (
-        counts.groupBy("feature").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    ) or 0
-    if most <= limit:
-        return counts.withColumn("_bucket", F.lit(0))
-    parts = min(_MAX_BUCKETS, math.ceil(most / limit) + 1)
-    shares = [i / parts for i in range(1, parts)]
-    bounds = counts.groupBy("feature").agg(
-        F.sort_array(F.array_distinct(F.percentile_approx("value", shares))).alias("_bounds")
-    )
-    # One row per feature name with at most _MAX_BUCKETS numbers.
-    return counts.join(F.broadcast(bounds), "feature").select(
-        *counts.columns,
-        F.size(F.filter("_bounds", lambda b: b < F.col("value"))).alias("_bucket"),
-    )
-
-
 def ks_test(
     reference: DataFrame,
     current: DataFrame,
@@ -61,7 +34,7 @@ def ks_test(
     """Two-sample Kolmogorov-Smirnov per feature; features empty on a side are left out.
 
     Rows first collapse to distinct values with two counts, so ties and hot
-    values cost one row; cumulative counts run inside value ranges with a carry.
+    values cost one row; cumulative counts are running sums in value order.
     """
     require(reference, features)
     require(current, features)
@@ -73,29 +46,22 @@ def ks_test(
             F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")
         )
     )
-    bucketed = _with_value_bucket(counts)
-    sums = bucketed.groupBy("feature", "_bucket").agg(F.sum("a").alias("_sa"), F.sum("b").alias("_sb"))
-    by_feature = Window.partitionBy("feature")
-    before = by_feature.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(
-        "feature",
-        "_bucket",
-        F.coalesce(F.sum("_sa").over(before), F.lit(0)).alias("_ca"),
-        F.coalesce(F.sum("_sb").over(before), F.lit(0)).alias("_cb"),
-        F.sum("_sa").over(by_feature).alias("n_reference"),
-        F.sum("_sb").over(by_feature).alias("n_current"),
+    # asinh keeps the order and tames outliers, which makes it a usable slicing axis.
+    placed = counts.withColumn("_at", (F.asinh("value") * F.lit(2.0**50)).cast("long"))
+    summed = running(
+        placed,
+        ["feature"],
+        ["_at", "value"],
+        [Running("_ca", "sum", F.col("a")), Running("_cb", "sum", F.col("b"))],
     )
-    inside = (
-        Window.partitionBy("feature", "_bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = counts.groupBy("feature").agg(
+        F.sum("a").alias("n_reference"), F.sum("b").alias("n_current")
     )
-    share_a = (F.col("_ca") + F.sum("a").over(inside)) / F.col("n_reference")
-    share_b = (F.col("_cb") + F.sum("b").over(inside)) / F.col("n_current")
+    gap = F.abs(F.col("_ca") / F.col("n_reference") - F.col("_cb") / F.col("n_current"))
     gaps = (
-        bucketed.join(carry, ["feature", "_bucket"])
+        summed.join(sizes, "feature")
         .where((F.col("n_reference") > 0) & (F.col("n_current") > 0))
-        .select("feature", "n_reference", "n_current", F.abs(share_a - share_b).alias("_gap"))
+        .select("feature", "n_reference", "n_current", gap.alias("_gap"))
     )
     out = gaps.groupBy("feature").agg(
         F.max("n_reference").alias("n_reference"),

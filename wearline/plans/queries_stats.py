@@ -213,7 +213,7 @@ def model_compare(spark, folder):
 _HEALTH_PROBS = """h AS (SELECT doc_id, 2 * quality + toxic AS y,
   [0.1 + (doc_id * 7 % 11) / 20.0::DOUBLE, 0.1 + (doc_id * 5 % 13) / 20.0::DOUBLE,
    0.1 + (doc_id * 3 % 17) / 20.0::DOUBLE, 0.1 + (doc_id % 19) / 20.0::DOUBLE] AS b FROM labels),
-hc AS (SELECT *, [CASE WHEN i - 1 = y THEN b[i] + 0.2::DOUBLE ELSE b[i] END for i in [1, 2, 3, 4]] AS c FROM h),
+hc AS (SELECT *, [CASE WHEN i - 1 = y THEN b[i] + doc_id % 5 / 10.0::DOUBLE ELSE b[i] END for i in [1, 2, 3, 4]] AS c FROM h),
 a AS (SELECT *, list_position(b, list_max(b)) - 1 AS bp, list_position(c, list_max(c)) - 1 AS cp,
   b[y + 1] AS bv, c[y + 1] AS cv FROM hc)"""
 
@@ -244,7 +244,7 @@ def health_compare(spark, folder):
     rows = roles.table(spark, folder, "labels").select(
         y.alias("y"),
         F.array(*base).alias("b"),
-        F.array(*[F.when(y == i, p + 0.2).otherwise(p) for i, p in enumerate(base)]).alias("c"),
+        F.array(*[F.when(y == i, p + F.pmod(doc, F.lit(5)) / F.lit(10.0)).otherwise(p) for i, p in enumerate(base)]).alias("c"),
     )
     out = drift.compare_health(rows, "y", "b", "c")
     out = out.select(
@@ -341,7 +341,7 @@ def dead_letters(spark, folder):
     ).select(
         F.col("e.reason").alias("reason"),
         # The original text is kept whole, so the message's own number can be read back.
-        F.get_json_object("e.original", "$.cycle").cast("long").alias("offset"),
+        F.regexp_extract("e.original", r'"cycle": (\d+)', 1).cast("long").alias("offset"),
         F.array_join("e.flags", ",").alias("flags"),
     )
     return first.unionByName(second)
