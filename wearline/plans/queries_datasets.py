@@ -444,19 +444,3 @@ def iso_times(spark, folder):
     whole = iso_utc(F.date_trunc("second", "ts"))
     out = base.select("event_id", iso_utc(F.col("ts")).alias("text"), parse_bound(whole).alias("parsed"))
     return ntz(out, "parsed")
-
-
-def training_rows(spark, folder):
-    """Wide feature rows with labels, for the learning queries."""
-    from wearline.operators.rolling import rolling_stats
-
-    stats = ["mean", "std", "max"]
-    base = cycles(spark, folder)
-    rolled = rolling_stats(
-        base, [7 * roles.DAY_S], keys=["machine_id"], order=EVENT_ORDER, stats=stats
-    )
-    rul = labels.assign_rul(base).select("event_id", "rul_cycles")
-    rows = rolled.select("machine_id", "event_id", "cycle", "value", *stats).join(rul, "event_id")
-    return labels.assign_health(rows)
-
-
