@@ -55,7 +55,7 @@ def _block(signals: np.ndarray, rate: np.ndarray) -> np.ndarray:
 def spectral_features(samples: pd.Series, rate_hz: pd.Series) -> pd.DataFrame:
     """Power-spectrum and cepstrum features; arrays of one length go through one FFT call."""
     out = np.full((len(samples), len(FEATURES)), np.nan)
-    lengths = samples.map(len).to_numpy()
+    lengths = np.array([0 if s is None else len(s) for s in samples], dtype=int)
     rates = rate_hz.to_numpy(dtype=float)
     for n in np.unique(lengths[lengths > 1]):
         rows = np.flatnonzero(lengths == n)

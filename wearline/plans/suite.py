@@ -6,7 +6,7 @@ import importlib
 
 from wearline.plans.catalog import ORACLES, QUERIES
 
-for _module in ("features", "datasets", "fleet", "stats", "models"):
+for _module in ("features", "datasets", "fleet", "stats", "models", "streams"):
     importlib.import_module(f"wearline.plans.queries_{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
