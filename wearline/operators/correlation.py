@@ -26,12 +26,14 @@ def rolling_pearson(
     keys: list[str] = ["machine_id"],
     order: str = "recorded_at",
     min_samples: int = 10,
+    aligned: bool = False,
     slice_length: int | None | str = AUTO,
 ) -> DataFrame:
     """Adds ``{a}_x_{b}_pearson`` per pair of the wide sensor columns.
 
     Null when a pair has fewer than ``min_samples`` rows with both values, or
-    when either signal is constant.
+    when either signal is constant. ``aligned`` promises that every row carries
+    all sensors; each sensor's spread is then computed once, not once per pair.
     """
     if min_samples < 2:
         raise ValueError(f"min_samples must be at least 2, got {min_samples}")
@@ -44,12 +46,14 @@ def rolling_pearson(
     )
     outputs = []
     for a, b in sensor_pairs(sensors):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        left, right = F.when(both, F.col(a)), F.when(both, F.col(b))
+        left, right = F.col(a), F.col(b)
+        if not aligned:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            left, right = F.when(both, F.col(a)), F.when(both, F.col(b))
         spread_a = F.stddev_pop(left).over(frame)
         spread_b = F.stddev_pop(right).over(frame)
         usable = (
-            (F.count(left).over(frame) >= min_samples)
+            (F.count(F.lit(1) if aligned else left).over(frame) >= min_samples)
             & (spread_a >= CONSTANT_BELOW)
             & (spread_b >= CONSTANT_BELOW)
         )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wearline.functions.tails import kolmogorov_tail, student_upper_tail
 from wearline.operators.columns import require
-from wearline.operators.slices import Running, running
+from wearline.operators.slices import AUTO, Running, rows_per_slice, running
+from wearline.session import cut
 
 KS_THRESHOLD = 0.05
 ERROR_RISE = 0.20
@@ -46,6 +47,11 @@ def ks_test(
             F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")
         )
     )
+    # Distinct values of a feature are at most the rows; only beyond the bound of
+    # one task is the collapsed table stored, so that sizing does not recompute it.
+    small = reference.count() + current.count() <= rows_per_slice(counts)
+    if not small:
+        counts = cut(counts)
     # asinh keeps the order and tames outliers, which makes it a usable slicing axis.
     placed = counts.withColumn("_at", (F.asinh("value") * F.lit(2.0**50)).cast("long"))
     summed = running(
@@ -53,6 +59,7 @@ def ks_test(
         ["feature"],
         ["_at", "value"],
         [Running("_ca", "sum", F.col("a")), Running("_cb", "sum", F.col("b"))],
+        slice_length=None if small else AUTO,
     )
     sizes = counts.groupBy("feature").agg(
         F.sum("a").alias("n_reference"), F.sum("b").alias("n_current")

@@ -36,21 +36,30 @@ def missing(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
-def stateless_flags(limits: QualityLimits, as_of: Column) -> dict[str, Column]:
-    """The flags that need only the row itself."""
+def null_counts(df: DataFrame) -> DataFrame:
+    """Adds ``_size`` and ``_nulls`` of the readings map, so flags do not recount it."""
     values = F.map_values("readings")
-    nulls = F.size(F.filter(values, missing))
-    share = nulls / F.greatest(F.size(values), F.lit(1))
+    return df.withColumns(
+        {
+            "_size": F.coalesce(F.size(values), F.lit(0)),
+            "_nulls": F.coalesce(F.size(F.filter(values, missing)), F.lit(0)),
+        }
+    )
+
+
+def stateless_flags(limits: QualityLimits, as_of: Column) -> dict[str, Column]:
+    """The flags that need only the row itself; expects the columns of ``null_counts``."""
+    size, nulls = F.col("_size"), F.col("_nulls")
     drift_s = (
         F.unix_micros(F.col("recorded_at").cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))
     ) / F.lit(1e6)
-    high = share > F.lit(limits.max_null_fraction)
+    high = nulls / F.greatest(size, F.lit(1)) > F.lit(limits.max_null_fraction)
     return {
         "MISSING_ID": F.col("machine_id").isNull() | (F.trim("machine_id") == ""),
         "FUTURE_TIMESTAMP": drift_s > F.lit(limits.max_future_drift_s),
         "NULL_FRACTION_HIGH": (nulls > 0) & high,
         "NULL_FRACTION_LOW": (nulls > 0) & ~high,
-        "SENSOR_COUNT_LOW": F.size(values) < limits.min_sensor_count,
+        "SENSOR_COUNT_LOW": size < limits.min_sensor_count,
     }
 
 
@@ -180,8 +189,8 @@ def check_quality(
     clock = F.current_timestamp() if as_of is None else as_of
     flags = stateless_flags(limits, clock)
     reject = flags["MISSING_ID"] | flags["FUTURE_TIMESTAMP"] | flags["NULL_FRACTION_HIGH"]
-    marked = df.select(
-        "*", reject.alias("rejected"), *[c.alias(f"_q_{n}") for n, c in flags.items()]
+    marked = null_counts(df).select(
+        *df.columns, reject.alias("rejected"), *[c.alias(f"_q_{n}") for n, c in flags.items()]
     )
     accepted = ~F.col("rejected")
     out = forward_fill(

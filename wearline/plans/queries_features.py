@@ -275,7 +275,9 @@ def _pair_sql() -> str:
 
 @query("pair_correlation", _pair_sql())
 def pair_correlation(spark, folder):
-    out = correlation.rolling_pearson(roles.lines_wide(spark, folder), SENSORS, _QUARTER)
+    out = correlation.rolling_pearson(
+        roles.lines_wide(spark, folder), SENSORS, _QUARTER, aligned=True
+    )
     return rounded(out.drop(*SENSORS), [c for c in out.columns if c.endswith("_pearson")])
 
 
@@ -342,6 +344,7 @@ def _checked(spark, folder):
         _LIMITS,
         as_of=F.lit(_AS_OF).cast("timestamp_ntz"),
         order=LINE_ORDER,
+        sensors=SENSORS,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import scoring
 from wearline.operators import incidents, labels, rules, views
+from wearline.operators.slices import AUTO, slice_length
 from wearline.plans import roles
 from wearline.plans.catalog import E_PRED, O_INC, longs, ntz, query, r, rounded
 from wearline.plans.roles import DAY_S
@@ -251,8 +252,15 @@ def stretched_rules(spark):
     )
 
 
-def hits(spark, folder, inline_limit=rules.INLINE_LIMIT):
-    context = rules.with_context(roles.events_predictions(spark, folder), PRED_ORDER)
+def prediction_slice(spark, folder):
+    """Slices planned on the predictions also bound the hits of each (machine, rule)."""
+    base = roles.events_predictions(spark, folder)
+    return slice_length(base, ["machine_id"], "predicted_at")
+
+
+def hits(spark, folder, inline_limit=rules.INLINE_LIMIT, length=AUTO):
+    base = roles.events_predictions(spark, folder)
+    context = rules.with_context(base, PRED_ORDER, slice_length=length)
     return rules.rule_hits(context, stretched_rules(spark), inline_limit)
 
 
@@ -295,7 +303,8 @@ _COOLED = (
     FROM chain c JOIN hits h USING (machine_id, rule_id, event_id) WHERE fired""",
 )
 def rule_cooldown(spark, folder):
-    fired = rules.apply_cooldown(hits(spark, folder), PRED_ORDER)
+    length = prediction_slice(spark, folder)
+    fired = rules.apply_cooldown(hits(spark, folder, length=length), PRED_ORDER, slice_length=length)
     return fired.select("machine_id", "rule_id", "event_id", "predicted_at", incidents.incident_title().alias("title"))
 
 
@@ -310,7 +319,8 @@ _GROUPS = (
 
 
 def _grouped(spark, folder):
-    rows = hits(spark, folder).select(
+    length = prediction_slice(spark, folder)
+    rows = hits(spark, folder, length=length).select(
         "machine_id",
         "rule_id",
         "severity",
@@ -318,7 +328,7 @@ def _grouped(spark, folder):
         F.col("predicted_at").alias("triggered_at"),
         F.col("event_id").alias("incident_id"),
     )
-    return incidents.aggregate_incidents(rows, DAY_S)
+    return incidents.aggregate_incidents(rows, DAY_S, slice_length=length)
 
 
 @query(

@@ -302,7 +302,7 @@ g AS (SELECT *, NOT broken AND (blank OR nulls / 3.0 > 0.3) AS rejected FROM d)"
       ELSE 'accepted' END AS outcome, CASE WHEN NOT broken THEN round(value, 2) + 0.0 END AS a FROM g""",
 )
 def decode_reject(spark, folder):
-    decoded = messages.decode(raw_messages(spark, folder), "reading")
+    decoded = quality.null_counts(messages.decode(raw_messages(spark, folder), "reading"))
     flags = quality.stateless_flags(quality.QualityLimits(), F.lit("2025-01-01").cast("timestamp"))
     rejected = flags["MISSING_ID"] | flags["FUTURE_TIMESTAMP"] | flags["NULL_FRACTION_HIGH"]
     outcome = (
@@ -332,7 +332,7 @@ def dead_letters(spark, folder):
     states["OUTLIER_DETECTED"] = F.lit(False)
     _, names = quality.flag_columns(states)
     reject = states["MISSING_ID"] | states["FUTURE_TIMESTAMP"] | states["NULL_FRACTION_HIGH"]
-    rejects = good.where(reject).withColumn("_flags", names)
+    rejects = quality.null_counts(good).where(reject).withColumn("_flags", names)
     envelopes = messages.stage_envelope(
         rejects, "quality_rejected", F.col("_flags"), F.lit("2025-01-01").cast("timestamp")
     )

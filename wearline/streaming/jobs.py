@@ -95,7 +95,7 @@ def feature_rows(
     reject = flags["MISSING_ID"] | flags["FUTURE_TIMESTAMP"] | flags["NULL_FRACTION_HIGH"]
     original = F.col("value") if "value" in readings.columns else F.lit(None)
     reset = F.col("reset") if "reset" in readings.columns else F.lit(False)
-    keyed = readings.select(
+    keyed = quality.null_counts(readings).select(
         "machine_id",
         F.col("recorded_at").cast("timestamp").alias("recorded_at"),
         F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("at"),
@@ -112,7 +112,8 @@ def feature_rows(
     states["DUPLICATE_TIMESTAMP"] = F.col("duplicate")
     states["OUTLIER_DETECTED"] = ~F.col("rejected") & quality.outlier_flag(F.col("filled"), limits)
     bits, names = quality.flag_columns(states)
-    return processed.withColumn("flag_bits", bits).withColumn("quality_flags", names)
+    counted = quality.null_counts(processed)
+    return counted.withColumn("flag_bits", bits).withColumn("quality_flags", names).drop("_size", "_nulls")
 
 
 def computed_features(

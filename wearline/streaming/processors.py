@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wearline.functions.windowing import MICROS, in_window, statistics
+from wearline.functions.windowing import MICROS, statistics, window_bounds
 
+READING_STATE = (
+    "at long, readings map<string,double>, buffers map<string,"
+    "struct<at:array<long>,v:array<double>,n:long,mean:double,top:double>>"
+)
 READING_OUTPUT = (
     "machine_id string, recorded_at timestamp, seq long, rejected boolean, duplicate boolean, "
     "readings map<string,double>, filled map<string,double>, original string, "
@@ -44,25 +48,19 @@ class ReadingProcessor(StatefulProcessor):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long, readings map<string,double>", self.ttl)
-        self.buffers = handle.getMapState(
-            "buffers",
-            "sensor string",
-            "at array<long>, v array<double>, n long, mean double, top double",
-            self.ttl,
-        )
+        # One value per machine: every state access is a round trip to the JVM.
+        self.state = handle.getValueState("machine", READING_STATE, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         ordered = sorted(rows, key=lambda r: (r["at"], r["seq"]))
-        known = self.last.get() if self.last.exists() else None
-        last_at, last = (known[0], _as_dict(known[1])) if known else (None, {})
-        loaded: dict[str, list] = {}
-        wiped = False
+        last_at, last, buffers = None, {}, {}
+        known = self.state.get()
+        if known is not None:
+            last_at, last = known[0], _as_dict(known[1])
+            buffers = {s: [list(b[0]), list(b[1]), *b[2:]] for s, b in _as_dict(known[2]).items()}
         for row in ordered:
             if row["reset"]:
-                last_at, last, wiped = None, {}, True
-                self.buffers.clear()
-                loaded = {}
+                last_at, last, buffers = None, {}, {}
             duplicate = last_at is not None and row["at"] == last_at
             given = _as_dict(row["readings"])
             if row["rejected"]:
@@ -70,51 +68,39 @@ class ReadingProcessor(StatefulProcessor):
                 continue
             filled = {k: last.get(k, 0.0) if _absent(v) else v for k, v in given.items()}
             for sensor, value in filled.items():
-                if sensor not in loaded:
-                    loaded[sensor] = self._load(sensor)
-                self._push(loaded[sensor], row["at"], value)
-            yield self._out(key, row, duplicate, given, filled, self._windows(loaded, filled, row["at"]))
+                self._push(buffers.setdefault(sensor, [[], [], 0, 0.0, float("-inf")]), row["at"], value)
+            yield self._out(key, row, duplicate, given, filled, self._windows(buffers, filled, row["at"]))
             last_at, last = row["at"], filled
-        for sensor, (times, values, n, mean, top) in loaded.items():
-            self.buffers.updateValue((sensor,), (times, values, n, mean, top))
-        if last_at is not None:
-            self.last.update((last_at, last))
-        elif wiped:
-            self.last.clear()
-
-    def _load(self, sensor: str) -> list:
-        if self.buffers.containsKey((sensor,)):
-            times, values, n, mean, top = self.buffers.getValue((sensor,))
-            return [list(times), list(values), n, mean, top]
-        return [[], [], 0, 0.0, float("-inf")]
+        self.state.update((last_at, last, {s: tuple(b) for s, b in buffers.items()}))
 
     def _push(self, buffer: list, at: int, value: float) -> None:
         times, values, n, mean, top = buffer
-        place = int(np.searchsorted(times, at, side="right")) if times and at < times[-1] else len(times)
+        place = bisect_right(times, at)
         times.insert(place, at)
         values.insert(place, value)
-        stale = int(np.searchsorted(times, times[-1] - self.keep, side="left"))
+        stale = bisect_left(times, times[-1] - self.keep)
         if stale:
             del times[:stale], values[:stale]
         buffer[2] = n + 1
         buffer[3] = mean + (value - mean) / (n + 1)
         buffer[4] = max(top, value)
 
-    def _windows(self, loaded: dict[str, list], filled: dict[str, float], at: int) -> list[tuple]:
+    def _windows(self, buffers: dict[str, list], filled: dict[str, float], at: int) -> list[tuple]:
         out = []
-        arrays = {s: (np.asarray(loaded[s][0]), np.asarray(loaded[s][1], dtype=float)) for s in filled}
         for w in self.windows:
             temporal: dict[str, float] = {}
             samples: dict[str, list[float]] = {}
-            for sensor, (times, values) in arrays.items():
-                part = values[in_window(times, at, w)]
-                if len(part) >= 2:
+            for sensor in filled:
+                times, values, _, mean, top = buffers[sensor]
+                low, high = window_bounds(times, at, w)
+                if high - low >= 2:
+                    part = values[low:high]
                     for name, value in statistics(part).items():
                         temporal[f"{sensor}_{w}s_{name}"] = value
                     if sensor in self.sampled:
-                        samples[sensor] = part.tolist()
-                temporal[f"{sensor}_cumulative_mean"] = loaded[sensor][3]
-                temporal[f"{sensor}_cumulative_max"] = loaded[sensor][4]
+                        samples[sensor] = part
+                temporal[f"{sensor}_cumulative_mean"] = mean
+                temporal[f"{sensor}_cumulative_max"] = top
             out.append((w, temporal, samples))
         return out
 
@@ -133,6 +119,7 @@ class ReadingProcessor(StatefulProcessor):
         )
 
 
+ALERT_STATE = "rul double, rules map<string,struct<fired:long,opened:long>>"
 ALERT_OUTPUT = (
     "machine_id string, predicted_at timestamp, seq long, rul_cycles double, previous_rul double, "
     "rule_id string, window_start long, notify boolean"
@@ -152,28 +139,24 @@ class AlertProcessor(StatefulProcessor):
         self.window, self.ttl = window_s * MICROS, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.previous = handle.getValueState("previous", "rul double", self.ttl)
-        self.rules = handle.getMapState("rules", "rule string", "fired long, opened long", self.ttl)
+        self.state = handle.getValueState("machine", ALERT_STATE, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         ordered = sorted(rows, key=lambda r: (r["at"], r["seq"]))
-        before = self.previous.get()[0] if self.previous.exists() else None
-        seen: dict[str, list] = {}
+        known = self.state.get()
+        before, seen = (None, {}) if known is None else (known[0], _as_dict(known[1]))
         for row in ordered:
             hits = list(row["hit_rules"])
             if before is not None:
                 hits += [r for r, limit in self.drops.items() if before - row["rul_cycles"] > limit]
             for rule in hits:
-                if rule not in seen:
-                    has = self.rules.containsKey((rule,))
-                    seen[rule] = list(self.rules.getValue((rule,))) if has else [None, None]
-                fired, opened = seen[rule]
+                fired, opened = seen.get(rule, (None, None))
                 if fired is not None and row["at"] - fired < self.cooldowns[rule] * MICROS:
                     continue
                 notify = opened is None or row["at"] - opened > self.window
                 if notify:
                     opened = row["at"]
-                seen[rule] = [row["at"], opened]
+                seen[rule] = (row["at"], opened)
                 yield Row(
                     machine_id=key[0],
                     predicted_at=row["predicted_at"],
@@ -185,8 +168,4 @@ class AlertProcessor(StatefulProcessor):
                     notify=notify,
                 )
             before = row["rul_cycles"]
-        for rule, (fired, opened) in seen.items():
-            if fired is not None:
-                self.rules.updateValue((rule,), (fired, opened))
-        if before is not None:
-            self.previous.update((before,))
+        self.state.update((before, seen))
