@@ -144,7 +144,9 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         ordered = sorted(rows, key=lambda r: (r["at"], r["seq"]))
         known = self.state.get()
-        before, seen = (None, {}) if known is None else (known[0], _as_dict(known[1]))
+        before, seen = None, {}
+        if known is not None:
+            before, seen = known[0], {rule: tuple(v) for rule, v in _as_dict(known[1]).items()}
         for row in ordered:
             hits = list(row["hit_rules"])
             if before is not None:
