@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline.operators.lookups import sized
+
 GROUPS = ["temporal", "spectral", "correlation"]
 _COLUMN_LIMIT = 20_000  # names collected to the driver when maps become columns
 
@@ -78,7 +80,7 @@ def minmax_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
         *[F.min(c).alias(f"_lo_{c}") for c in columns],
         *[F.max(c).alias(f"_hi_{c}") for c in columns],
     )
-    joined = df.join(bounds, by, "inner")
+    joined = df.join(sized(bounds), by, "inner")
     scaled = {}
     for c in columns:
         span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")

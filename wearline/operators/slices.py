@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline.operators.lookups import sized
+
 ROWS_PER_SLICE = 2_000_000
 ROWS_SETTING = "wearline.rowsPerSlice"
 SLICE = "_slice"
@@ -189,8 +191,8 @@ def with_previous(
 def with_key_aggregates(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """Joins per-key aggregates back, instead of a whole-partition window.
 
-    The aggregate combines map-side, and adaptive execution splits a skewed
-    join partition, so a hot key costs no single task.
+    The aggregate combines map-side. With few keys it is broadcast; with many,
+    adaptive execution splits a skewed join partition. A hot key costs no single task.
     """
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-    return df.join(totals, keys, "inner")
+    return df.join(sized(totals), keys, "inner")

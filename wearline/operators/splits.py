@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.operators.columns import require
+from wearline.operators.lookups import sized
 from wearline.operators.ordering import with_position
 
 
@@ -42,12 +43,12 @@ def _cut_ids(ids: DataFrame, key: str, n: int, n_train: int, n_val: int, n_test:
 
 
 def with_split(df: DataFrame, split: DataFrame, key: str = "machine_id") -> DataFrame:
-    """Joins membership; the optimizer broadcasts the id table only when it is small."""
-    return df.join(split, key, "inner")
+    """Joins membership, broadcasting the id table when it is small."""
+    return df.join(sized(split), key, "inner")
 
 
 def rows_of_split(df: DataFrame, split: DataFrame, name: str, key: str = "machine_id") -> DataFrame:
-    return df.join(split.where(F.col("split") == name), key, "left_semi")
+    return df.join(sized(split.where(F.col("split") == name)), key, "left_semi")
 
 
 def holdout(df: DataFrame, key: Column, share: float = 0.2, seed: int = 42) -> DataFrame:
