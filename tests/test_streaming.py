@@ -212,3 +212,12 @@ def test_statistics_helper():
         "rms": np.sqrt(np.mean(np.square(v))), "range": 8.0, "rate_of_change": np.abs(np.diff(v)).mean(),
     }
     assert got == pytest.approx(want)
+
+
+def test_dedup_stream(spark, tmp_path):
+    rows = [("A", at(i // 3), i, {}, "") for i in range(9)]
+    source = write_cuts(spark, rows, READING, str(tmp_path / "in"), 3)
+    once = jobs.dedup_stream(source, ["machine_id", "recorded_at"], "recorded_at", "1 hour")
+    out = str(tmp_path / "out")
+    drain(jobs.start(once, lambda b, i: jobs.write_batch(b, out, i), str(tmp_path / "cp"), available_now=True))
+    assert jobs.read_batches(spark, out).count() == 3

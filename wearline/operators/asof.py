@@ -18,11 +18,13 @@ def asof_backward(
     take: list[str],
     right_ties: list[str] = [],
     slice_length: int | None | str = AUTO,
+    store: bool = False,
 ) -> DataFrame:
     """Each left row takes the latest right row at or before its time, nulls if none.
 
     Both sides are stacked and scanned once in time order, so no row pairs are
-    built. Among right rows of one time the last by ``right_ties`` wins.
+    built. Among right rows of one time the last by ``right_ties`` wins. ``store``
+    is for costly inputs, see ``slices.running``.
     """
     payload = F.struct(*take)
     ties = [f"_t{i}" for i in range(len(right_ties))]
@@ -49,6 +51,7 @@ def asof_backward(
         ["_at", "_side", *ties],
         [Running("_hit", "last", F.col("_right"))],
         slice_length=slice_length,
+        store=store,
     )
     return merged.where(F.col("_side") == 1).select(
         "_left.*", *[F.col(f"_hit.{c}").alias(c) for c in take]

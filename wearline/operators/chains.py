@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline import session
 from wearline.operators.slices import AUTO, SLICE, axis, resolve, slice_of
 
 MICROS = 1_000_000
@@ -169,7 +170,8 @@ def mark_openers(
             _INCOMING, F.lit(None).cast("long")
         )
     else:
-        cut = base.withColumn(SLICE, slice_of(F.col(_AT), length))
+        # Two scans follow over rows that are derived themselves, so they are stored once.
+        cut = session.cut(base).withColumn(SLICE, slice_of(F.col(_AT), length))
         effects = (
             cut.select(_KEY, SLICE, _AT, _HOLD)
             .repartition(_KEY, SLICE)

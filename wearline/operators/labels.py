@@ -27,7 +27,7 @@ def with_life(
     )
     opened = F.when(F.col(cycle) < F.col("_before"), 1).otherwise(0)
     return running(
-        stepped, ["machine_id"], order, [Running("life_id", "sum", opened)], slice_length=slice_length
+        stepped, ["machine_id"], order, [Running("life_id", "sum", opened)], slice_length=slice_length, store=True
     ).drop("_before")
 
 

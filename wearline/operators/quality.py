@@ -159,10 +159,11 @@ def _fill_long(df, keys, order, slice_length) -> DataFrame:
         [Running("_prev_seq", "last", F.col("_seq"))],
         include_current=False,
         slice_length=slice_length,
+        store=True,
     )
     fresh = F.col("_prev_seq").isNull() | (F.col("_prev_seq") != F.col("_seq") - 1)
     event = F.coalesce(F.col("_v"), F.when(fresh, F.lit(0.0)))
-    long = running(long, by, order, [Running("_f", "last", event)], slice_length=slice_length)
+    long = running(long, by, order, [Running("_f", "last", event)], slice_length=slice_length, store=True)
     filled = long.groupBy(*keys, "_seq").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("_s"), F.col("_f")))).alias("filled")
     )

@@ -158,6 +158,7 @@ def cumulative_stats(
     order: list[str] = ["recorded_at"],
     value: str = "value",
     slice_length: int | None | str = AUTO,
+    store: bool = False,
 ) -> DataFrame:
     """Mean and maximum since the start of the key."""
     v = F.col(value)
@@ -167,6 +168,7 @@ def cumulative_stats(
         order,
         [Running("_n", "count", v), Running("_s", "sum", v), Running("cumulative_max", "max", v)],
         slice_length=slice_length,
+        store=store,
     )
     return out.select(
         *df.columns, (F.col("_s") / F.col("_n")).alias("cumulative_mean"), "cumulative_max"

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline import session
 from wearline.operators.lookups import sized
 
 ROWS_PER_SLICE = 2_000_000
@@ -139,11 +140,14 @@ def running(
     *,
     include_current: bool = True,
     slice_length: int | None | str = AUTO,
+    store: bool = False,
 ) -> DataFrame:
     """Adds running values per key over all earlier rows (and the current one).
 
     ``order`` names ascending columns; the first is the slicing axis and the
-    whole list must order rows of a key totally.
+    whole list must order rows of a key totally. The sliced form reads its input
+    twice: set ``store`` for an input that is itself costly, and it is written
+    to reliable storage once; a plain scan is cheaper to repeat.
     """
     length = resolve(df, keys, order[0], slice_length)
     end = 0 if include_current else -1
@@ -151,7 +155,7 @@ def running(
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[v.over(window).alias(v.name) for v in values])
 
-    cut = with_slice(df, order[0], length)
+    cut = with_slice(session.cut(df) if store else df, order[0], length)
     partial = cut.groupBy(*keys, SLICE).agg(*[v.whole(order).alias(f"_p_{v.name}") for v in values])
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = partial.select(

@@ -13,7 +13,9 @@ from wearline.operators.splits import machine_split, with_split
 from wearline.sources import snapshots, tables
 
 
-def with_cycles(features: DataFrame, cycles: DataFrame, ties: list[str] = []) -> DataFrame:
+def with_cycles(
+    features: DataFrame, cycles: DataFrame, ties: list[str] = [], store: bool = False
+) -> DataFrame:
     """Latest cycle at or before each feature row; rows before any cycle are dropped."""
     lookup = cycles.withColumnRenamed("recorded_at", "_cycle_at")
     joined = asof_backward(
@@ -24,6 +26,7 @@ def with_cycles(features: DataFrame, cycles: DataFrame, ties: list[str] = []) ->
         right_on="_cycle_at",
         take=["cycle"],
         right_ties=ties,
+        store=store,
     )
     return joined.dropna(subset=["cycle"]).withColumn("cycle", F.col("cycle").cast("int"))
 
@@ -37,9 +40,10 @@ def build_dataset(
     cap: int = RUL_CAP,
     thresholds: dict[str, float] = HEALTH_THRESHOLDS,
     ties: list[str] = [],
+    store: bool = False,
 ) -> DataFrame:
-    """Labelled rows with their split, as one plan."""
-    merged = with_cycles(features, cycles, ties)
+    """Labelled rows with their split; ``store`` is for derived inputs, see ``slices.running``."""
+    merged = with_cycles(features, cycles, ties, store)
     labelled = assign_health(assign_rul(merged, cap), thresholds)
     return with_split(labelled, machine_split(merged.select("machine_id"), train, validation))
 

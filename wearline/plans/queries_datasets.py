@@ -46,6 +46,7 @@ def asof_cycle(spark, folder):
         right_on="cycle_at",
         take=["cycle"],
         right_ties=["event_id"],
+        store=True,
     )
 
 

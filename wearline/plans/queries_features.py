@@ -146,7 +146,7 @@ def segment_reset(spark, folder):
         roles.events_long(spark, folder), F.col("sensor") == "error", order=EVENT_ORDER
     )
     out = rolling.cumulative_stats(
-        cut, keys=["machine_id", "sensor", "segment_id"], order=EVENT_ORDER
+        cut, keys=["machine_id", "sensor", "segment_id"], order=EVENT_ORDER, store=True
     )
     names = ["cumulative_mean", "cumulative_max"]
     return rounded(out.select("machine_id", "sensor", "recorded_at", "segment_id", *names), names)

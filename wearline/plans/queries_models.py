@@ -41,7 +41,7 @@ def offline_dataset(spark, folder):
     known = numbered.where(F.col("sensor") == "error").select(
         "machine_id", "recorded_at", "event_id", "cycle"
     )
-    out = offline.build_dataset(features, known, ties=["event_id"])
+    out = offline.build_dataset(features, known, ties=["event_id"], store=True)
     return longs(rounded(out, ["value"]), "cycle", "rul_cycles")
 
 

@@ -49,6 +49,12 @@ def file_stream(
     return reader.parquet(path)
 
 
+def dedup_stream(df: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """First row per key of a stream; keys are remembered for ``delay`` of event time."""
+    timed = df.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder per batch: writing it again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
