@@ -27,6 +27,7 @@ from wearline.streaming.processors import (
     ReadingProcessor,
 )
 
+STREAM_RULES = 2_000  # rules one alert job carries; independent rules split over jobs exactly
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
 # Sensors with spectral features, their sampling rate and gates.
@@ -252,12 +253,12 @@ def alert_rows(
 
     Rules the row alone decides are one array expression; the processor adds
     the drop-rate rules and applies cooldowns. The rule set is a bounded
-    dimension and travels with the processor.
+    authored dimension and travels with the processor.
     """
-    head = rule_table.where("enabled").limit(rules.INLINE_LIMIT + 1).collect()
-    if len(head) > rules.INLINE_LIMIT:
-        raise ValueError(f"streaming evaluates at most {rules.INLINE_LIMIT} rules at once")
-    usable = [r for r in head if rules._usable(r)]
+    head = rule_table.where("enabled").limit(STREAM_RULES + 1).collect()
+    if len(head) > STREAM_RULES:
+        raise ValueError(f"more than {STREAM_RULES} rules: run several alert jobs over parts of them")
+    usable = [r for r in head if rules.usable_rule(r)]
     bound = {r["rule_id"]: r["thresholds"][rules.THRESHOLD_NAME[r["condition_type"]]] for r in usable}
     drops = {r["rule_id"]: float(bound[r["rule_id"]]) for r in usable if r["condition_type"] == "rul_drop_rate"}
     plain = []
