@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, tokenfile, topk
+from wearline.llm import bpe, classifier, lm, packing, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,12 @@ def op1_bpe_pair_index(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 ids."""
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
 @_query
 def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products for every 50th vector against all others."""
@@ -54,6 +60,19 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+@_query
+def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's marginal probability over all segmentations, and its word score."""
+    return lm.score(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score by attention over its passages."""
+    docs = _table(spark, folder, "documents")
+    return classifier.score(docs, classifier.fit(docs, _table(spark, folder, "labels")), threshold=0.7)
+
+
 @_query
 def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place and ids, read back from the token shards."""
