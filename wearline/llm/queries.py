@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, classifier, lm, packing, tokenfile, topk
+from wearline.llm import bpe, classifier, lm, packing, rules, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,54 @@ def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+@_query
+def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's base counts and the verdict of its host's frequent lines."""
+    return rules.line_frequency(_table(spark, folder, "documents"))
+
+
+ORACLES["op4_line_frequency"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+    SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
+), grams AS (
+    SELECT id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g
+    FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), twice AS (
+    SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM grams) WHERE n > 1
+), repeated AS (
+    SELECT id, sum(least(5, coalesce(lead_i - i, 5)))::BIGINT AS n
+    FROM (SELECT id, i, lead(i) OVER (PARTITION BY id ORDER BY i) AS lead_i FROM twice) GROUP BY id
+), l AS (
+    SELECT id, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+        array_to_string(regexp_extract_all(lower(l), '[^\x20\x09-\x0D]+'), ' ') AS norm
+    FROM (SELECT id, host, unnest(string_split(text, chr(10))) AS l FROM d)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), dup AS (
+    SELECT id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY id
+), hosts AS (
+    SELECT host, count(*) AS n FROM d GROUP BY host
+), often AS (
+    SELECT host, norm FROM (SELECT host, norm, count(DISTINCT id) AS n FROM l GROUP BY host, norm) x
+    JOIN hosts USING (host) WHERE x.n > 20 AND x.n > 0.1 * hosts.n
+), removed AS (
+    SELECT id, sum(n)::BIGINT AS n FROM l JOIN often USING (host, norm) GROUP BY id
+), base AS (
+    SELECT d.id, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words
+    FROM d JOIN w USING (id) LEFT JOIN dup USING (id) LEFT JOIN repeated USING (id) LEFT JOIN removed USING (id)
+), judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND n_words - n_removed_words >= 10 AND n_words - n_removed_words >= 0.5 * n_words AS kept,
+    n_removed_words
+FROM judged
+"""
+
+
 @_query
 def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products for every 50th vector against all others."""
