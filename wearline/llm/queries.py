@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, classifier, lm, packing, rules, tokenfile, topk
+from wearline.llm import bpe, classifier, lm, minhash, packing, rules, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place and ids, read back from the token shards."""
     shards = tokenfile.write(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenfile.read(shards)
+
+
+@_query
+def op10_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    return minhash.classes(_table(spark, folder, "documents"))
