@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, classifier, lm, minhash, packing, rules, tokenfile, topk
+from wearline.llm import bpe, classifier, lm, minhash, packing, rules, suffixes, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,12 @@ def op6_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op7_suffix_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-byte strings that a document with a smaller id has."""
+    return suffixes.digest(_table(spark, folder, "documents"), length=50)
+
+
 @_query
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score by attention over its passages."""
