@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, classifier, lm, minhash, packing, rules, suffixes, tokenfile, topk
+from wearline.llm import bpe, classifier, lines, lm, minhash, packing, rules, suffixes, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,12 @@ def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+@_query
+def op3_segment_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that stand, up to two edits, in an earlier place."""
+    return lines.digest(_table(spark, folder, "documents"), threshold=2)
+
+
 @_query
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's base counts and the verdict of its host's frequent lines."""
