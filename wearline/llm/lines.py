@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wearline.llm.common import SPACES, stored
 
 THRESHOLD, LEAST_CHARS = 2, 20
-_SALTS = 16
+_SALTS, _SLOTS = 16, 1 << 20
 
 
 def _bind(value: Column, use) -> Column:
@@ -16,43 +16,44 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def segment_start(length: Column, index: int, parts: int) -> Column:
-    """First character (from 1) of a segment: the last segments are one character longer where the length does not divide."""
-    short = F.floor(length / parts)
-    longer = length - short * parts
-    return (short * index + F.greatest(F.lit(0), F.lit(index - parts) + longer) + 1).cast("int")
+def _segments(n: str, delta: int, parts: int) -> list[tuple[Column, Column]]:
+    """First character (from 1) and length of each segment of a line of ``n - delta`` characters; the last ones are longer."""
+    short, longer = F.expr(f"({n} - {delta}) div {parts}"), F.expr(f"({n} - {delta}) % {parts}")
+    found = []
+    for i in range(parts):
+        start = short * i + F.greatest(F.lit(0), longer + (i - parts)) + 1
+        found.append((start.cast("int"), (short + (longer >= parts - i).cast("int")).cast("int")))
+    return found
 
 
-def segment_keys(line: Column, length: Column, threshold: int) -> Column:
-    """One key per segment of an indexed line: of its length, the segment's number and text."""
-    parts = threshold + 1
-    keys = []
-    for i in range(parts):
-        start = segment_start(length, i, parts)
-        end = segment_start(length, i + 1, parts) if i + 1 < parts else length + 1
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, end - start)))
-    return F.array(*keys)
+def _key(length: Column, index: int, text: Column) -> Column:
+    return F.xxhash64(length, F.lit(index), text)
+
 
+def segment_keys(threshold: int) -> list[Column]:
+    """One key per segment of an indexed ``line`` of ``n`` characters: of its length, the segment's number and text."""
+    return [
+        _key(F.col("n"), i, F.substring(F.col("line"), start, size)) for i, (start, size) in enumerate(_segments("n", 0, threshold + 1))
+    ]
 
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
+
+def probe_keys(threshold: int) -> list[Column]:
     """Keys of the substrings that a line as long or up to ``threshold`` shorter may have as a segment.
 
     Seen from the left, segment i of the shorter line can have moved by i at most
     (that many edits before it); seen from the right by what the other edits allow.
     """
-    parts = threshold + 1
     keys = []
     for delta in range(threshold + 1):
-        shorter = length - delta
-        for i in range(parts):
-            start = segment_start(shorter, i, parts)
-            end = segment_start(shorter, i + 1, parts) if i + 1 < parts else shorter + 1
+        shorter = F.col("n") - delta
+        for i, (start, size) in enumerate(_segments("n", delta, threshold + 1)):
             lowest = max(-i, delta - (threshold - i))
             highest = min(i, delta + (threshold - i))
             for shift in range(lowest, highest + 1):
-                key = F.xxhash64(shorter, F.lit(i), F.substring(line, start + shift, end - start))
-                keys.append(F.when((start + shift >= 1) & (end + shift <= length + 1), key))
-    return F.array(*keys)
+                first = start + shift
+                text = F.substring(F.col("line"), first, size)
+                keys.append(F.when((first >= 1) & (first + size <= F.col("n") + 1), _key(shorter, i, text)))
+    return keys
 
 
 def common_prefix(one: Column, other: Column, most: Column) -> Column:
@@ -155,38 +156,41 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """``k, k2, doc_id, at, line, h, h2`` of each trimmed line of at least ``least_chars`` characters."""
+    """``k, k2, doc_id, at, line, n, h, h2, slot`` of each trimmed line of at least ``least_chars`` characters."""
     rows = _documents(docs.select("doc_id", "text")).select(
         F.col("__k").alias("k"), F.col("__k2").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line")
     )
-    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.char_length("line") >= least_chars)
-    return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).withColumn("n", F.char_length("line")).filter(F.col("n") >= least_chars)
+    rows = rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.withColumn("slot", F.pmod("h", F.lit(_SLOTS)).cast("int"))
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """The slots of the hashes in ``rows``: at most ``_SLOTS`` rows whatever the input, so they are broadcast."""
+    return F.broadcast(rows.select(F.pmod("h", F.lit(_SLOTS)).cast("int").alias("slot")).distinct())
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(lines: DataFrame, seen: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different lines within ``threshold`` edits: ``h, h2`` and ``g, g2``, each pair once.
 
-    Lines of length L are indexed by their threshold + 1 segments; a line probes
-    the segments of lines as long or shorter with its own substrings. Lines with
-    a hash in a pair are fetched, and the pair is verified.
+    ``seen`` counts the lines (h, n). Lines in the slot of a repeated one are made
+    distinct; the others are so already and stay where they are. Lines of length
+    L are indexed by their threshold + 1 segments; a line probes the segments of
+    lines as long or shorter with its own substrings. The lines of a pair are
+    fetched, after the same kind of slot filter, and verified.
     """
-    length = F.char_length("line")
-    base = lines.select("line", "h")
-    keyed = base.select(
-        "h",
-        F.explode(
-            F.concat(
-                F.transform(segment_keys(F.col("line"), length, threshold), lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed"))),
-                F.transform(probe_keys(F.col("line"), length, threshold), lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed"))),
-            )
-        ).alias("x"),
+    repeated = _slots(seen.filter("n > 1"))
+    base = lines.select("line", "n", "h", "slot")
+    different = base.join(repeated, "slot", "left_anti").select("line", "n", "h").unionByName(
+        base.join(repeated, "slot", "left_semi").select("line", "n", "h").distinct()
     )
-    keyed = keyed.select("x.key", "x.indexed", "h").filter("key IS NOT NULL").distinct()
-    keyed = stored(keyed)
-    index, probe = keyed.filter("indexed").select("key", "h"), keyed.filter("NOT indexed").select("key", F.col("h").alias("g"))
-    pairs = stored(probe.join(index.hint("merge"), "key").filter("g <> h").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct())
-    wanted = pairs.select("h").unionByName(pairs.select(F.col("g").alias("h"))).distinct()
-    texts = stored(lines.select("h", "h2", "line").join(wanted, "h").distinct())
+    index = different.select(F.explode(F.array(*segment_keys(threshold))).alias("key"), "h")
+    probe = different.select(F.explode(F.array(*probe_keys(threshold))).alias("key"), F.col("h").alias("g")).filter("key IS NOT NULL")
+    pairs = probe.join(index.hint("merge"), "key").filter("g <> h").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g"))
+    pairs = stored(pairs.distinct())
+    wanted = stored(pairs.select("h").unionByName(pairs.select(F.col("g").alias("h"))).distinct())
+    texts = lines.join(_slots(wanted), "slot", "left_semi").select("h", "h2", "line")
+    texts = stored(texts.join(wanted.hint("merge"), "h", "left_semi").distinct())
     left = pairs.join(texts.select("h", "h2", F.col("line").alias("one")).hint("merge"), "h")
     both = left.join(texts.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("other")).hint("merge"), "g")
     return stored(both.filter(within(F.col("one"), F.col("other"), threshold)).select("h", "h2", "g", "g2"))
@@ -210,9 +214,9 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     an empty table gives no rows.
     """
     lines = line_rows(docs, least_chars)
-    found = links(lines, threshold)
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    seen = lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    seen = stored(lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    found = links(lines, seen, threshold)
     touched = found.select("h", "h2").unionByName(found.select(F.col("g").alias("h"), F.col("g2").alias("h2"))).distinct()
     times = stored(seen.join(touched.withColumn("linked", F.lit(True)), ["h", "h2"], "left").filter("n > 1 OR linked"))
     mine = times.filter("linked").select("h", "h2", F.col("first").alias("hf"))
@@ -229,7 +233,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
         "h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     )
     # one row per document and line: where it stands first there, and all its places
-    own = lines.groupBy("k", "k2", "h", "h2").agg(F.min("at").alias("top"), F.min(order).alias("id"), F.collect_set("at").alias("places"))
+    own = lines.join(_slots(times), "slot", "left_semi").groupBy("k", "k2", "h", "h2").agg(F.min("at").alias("top"), F.min(order).alias("id"), F.collect_set("at").alias("places"))
     own = own.withColumn("salt", F.pmod("k", F.lit(_SALTS)).cast("int"))
     judged = own.join(known.hint("merge"), ["h", "h2", "salt"]).select(
         "k",
