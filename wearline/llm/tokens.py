@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 from wearline.llm.common import per_worker
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_200_000
 #: Up to this letter the pattern classes of all Unicode versions agree.
 LAST_SIMPLE = "\u024f"
 #: A space inside white space, where the byte-level pattern looks at the whole run.
@@ -46,50 +47,64 @@ class ChunkEncoder:
             content = json.load(file)
         self.special = [t["content"] for t in content["added_tokens"]]
         self.keeps_space = content["pre_tokenizer"]["type"] == "ByteLevel"
+        #: What NFC, white space and lower case, the steps of the known files, do to ASCII.
+        self.lowers = content["normalizer"] is not None
         self.normal = self.tokenizer.normalizer.normalize_str if content["normalizer"] else str
         split = BYTE_LEVEL if self.keeps_space else content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pretokens = regex.compile(split).findall
         self.alphabet = byte_alphabet()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        self.known = _Chunks(self._one, " " if self.keeps_space else "")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """None if the text has to be encoded whole."""
+    def _cuttable(self, text: str) -> bool:
+        """False if the text has to be encoded whole."""
         if any(s in text for s in self.special):
-            return None
-        if self.keeps_space:
-            if _RUN.search(text):
-                return None
-            first, *rest = text.split(" ")
-            return ([first] if first else []) + [" " + x for x in rest]
-        return [x for x in text.split(" ") if x]
+            return False
+        return not (self.keeps_space and _RUN.search(text))
 
     def _one(self, chunk: str) -> bytes:
-        if max(chunk) > LAST_SIMPLE:
+        if not chunk:
+            return b""
+        if chunk.isascii():
+            text = chunk.lower() if self.lowers else chunk
+        elif max(chunk) > LAST_SIMPLE:
             return self._whole(chunk)
-        ids = []
-        for piece in self.pretokens(self.normal(chunk)):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            text = self.normal(chunk)
+        tokenize, alphabet, ids = self.model.tokenize, self.alphabet, []
+        for piece in self.pretokens(text):
+            ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
         return array(self.code, ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``dtype``."""
         if len(self.known) > KEPT_CHUNKS:
             self.known.clear()
-        known, found = self.known, []
+        found = []
         for text in texts:
-            chunks = self._chunks(text)
-            if chunks is None:
+            if not self._cuttable(text):
                 found.append(self._whole(text))
-                continue
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._one(c)
-            found.append(b"".join([known[c] for c in chunks]))
+            elif self.keeps_space:
+                first, *rest = text.split(" ")
+                found.append((self._one(first) if first else b"") + b"".join(map(self.known.__getitem__, rest)))
+            else:
+                found.append(b"".join(map(self.known.__getitem__, text.split(" "))))
+        return found
+
+
+class _Chunks(dict):
+    """Ids by chunk, encoded when first asked for; ``before`` is what stands before each chunk in its text."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self.encode(self.before + chunk)
         return found
 
 
