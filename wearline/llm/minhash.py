@@ -19,7 +19,8 @@ BANDS, ROWS = 10, 4
 #: Words in a smaller share of the documents all weigh the same, so at most 1000 x the mean number of distinct words have a weight of their own.
 LEAST_SHARE = 0.001
 _COUNTED_WORDS = 200_000
-_PROBES = 2
+_HUBS = 2
+_BLOCK, _COLUMNS = 256, 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -29,6 +30,10 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def _copy(own: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(own), digest_size=16).digest()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
@@ -56,10 +61,15 @@ class Sampler:
         self.log_c = np.log(draw.gamma(2, 1, 1 << 16))
 
     def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, ascending, and weights. A text under five words is one shingle; one without words has none."""
+        """Hashes, ascending, and weights."""
+        hashes, unit, count = self.counted(text)
+        return hashes, unit * count
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, ascending, inverse document frequencies and counts. A text under five words is one shingle; one without words has none."""
         own = words(text)
         if not own:
-            return np.zeros(0, np.uint64), np.zeros(0)
+            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
         number: dict[bytes, int] = {}
         at = np.array([number.setdefault(w, len(number)) for w in own])
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)[at]
@@ -71,7 +81,7 @@ class Sampler:
             whole ^= whole >> _U(29)
             sums += weight[k : k + n]
         found, first, count = np.unique(whole, return_index=True, return_counts=True)
-        return found, sums[first] * count
+        return found, sums[first], count
 
     def signatures(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """One row of samples per non-empty set, as 64-bit hashes of (shingle, t)."""
@@ -120,7 +130,7 @@ def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float
         if counts:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = stored(counted)
     total = (counted.filter(F.col("word") == F.lit(b"")).agg(F.max("n")).first()[0]) or 0
     least = max(1.0, least_share * total)
@@ -136,7 +146,7 @@ def _sketched(rows: DataFrame, shared, bands: int) -> DataFrame:
         sampler = shared.value
         for batch in blocks(batches):
             texts = batch.column("text").to_pylist()
-            copies = [hashlib.blake2b(b" ".join(words(t)), digest_size=16).digest() for t in texts]
+            copies = [_copy(words(t)) for t in texts]
             sets = [sampler.shingles(t) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s[0])]
             found: list[list[int] | None] = [None] * len(texts)
@@ -171,72 +181,158 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) ->
                 keep.append(sampler.similarity(sampler.shingles(one[i]), last[1]) >= similarity)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
     return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+def _hub_pairs(rooted: DataFrame) -> DataFrame:
+    """In each band value with several roots, the members of other roots against its hub.
+
+    The hub is the member that shares most band values with others: in a group
+    of near copies the text they were made from, if it is there. In a band value
+    where the hub is not alone in its root, the hub of the other roots serves.
+    """
+    best = F.max_by(F.struct("id", "root"), F.struct("degree", -F.col("id")))
+    first = rooted.groupBy("band").agg(
+        best.alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).filter("low <> high").select("band", "hub")
+    seen = rooted.join(first.hint("merge"), "band")
+    joined = seen.groupBy("band").agg(F.sum((F.col("root") == F.col("hub.root")).cast("int")).alias("n")).filter("n > 1").select("band")
+    second = seen.filter("root <> hub.root").join(joined, "band").groupBy("band").agg(best.alias("other"))
+    chosen = first.join(second, "band", "left").select("band", F.coalesce("other", "hub").alias("hub"))
+    hubs = rooted.join(chosen.hint("merge"), "band").filter("root <> hub.root")
+    return hubs.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def block_links(sampler: Sampler, texts: list[str], roots: list[int], sides: list[bool] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that join different roots, a spanning set of them, among the texts of one or two blocks.
+
+    ``sides`` tells two blocks apart, of which only pairs across count. The
+    weighted overlaps of all pairs are a product of matrices: a shingle that a
+    text has n times is n columns. A pair close to the limit is measured again
+    without the product's rounding.
+    """
+    sets = [sampler.counted(t) for t in texts]
+    total = np.array([(u * n).sum() for _, u, n in sets])
+    hashes, unit, count = (np.concatenate([s[i] for s in sets]) for i in range(3))
+    owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    layer = np.concatenate([np.arange(n) for n in count.tolist()]) if len(count) else np.zeros(0, int)
+    hashes, unit, owner = np.repeat(hashes, count), np.repeat(unit, count), np.repeat(owner, count)
+    order = np.lexsort((layer, hashes))
+    hashes, layer, unit, owner = hashes[order], layer[order], unit[order], owner[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (layer[1:] != layer[:-1]))
+    column = np.cumsum(new) - 1
+    sizes = np.bincount(column)
+    wide = sizes[column] > 1
+    column, unit, owner = np.unique(column[wide], return_inverse=True)[1], unit[wide], owner[wide]
+    overlap = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + _COLUMNS]))
+        x = np.zeros((len(sets), _COLUMNS))
+        x[owner[part], column[part] - at] = np.sqrt(unit[part])
+        overlap += x @ x.T
+    score = overlap / np.maximum(total[:, None] + total[None, :] - overlap, 1e-300)
+    apart = np.array(roots)[:, None] != np.array(roots)[None, :]
+    if sides is not None:
+        apart &= np.array(sides)[:, None] != np.array(sides)[None, :]
+    parent = {r: r for r in roots}
+
+    def top(r):
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    found = []
+    for i, j in np.argwhere(np.triu(apart & (score > similarity - 1e-6), 1)).tolist():
+        x, y = top(roots[i]), top(roots[j])
+        if x == y:
+            continue
+        one, other = ((h, u * n) for h, u, n in (sets[i], sets[j]))
+        if score[i, j] > similarity + 1e-6 or sampler.similarity(one, other) >= similarity:
+            parent[max(x, y)] = min(x, y)
+            found.append((i, j))
+    return found
+
+
+def _block_links(rooted: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+    """Links between the roots of each band value that still has several, by pairs of blocks of its members.
+
+    A task holds two blocks of ``_BLOCK`` members; it emits links that join
+    roots, never its pairs.
+    """
+    spread = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    spread = spread.filter("low <> high").select("band", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
+    rows = rooted.join(spread, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root")
+    rows = rows.join(texts, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, low, high = (table.column(c).to_pylist() for c in ("block", "low", "high"))
+        sides = [b == low[0] for b in block] if low[0] != high[0] else None
+        ids = table.column("id").to_pylist()
+        found = block_links(shared.value, table.column("text").to_pylist(), table.column("root").to_pylist(), sides, similarity)
+        pairs = [sorted((ids[i], ids[j])) for i, j in found]
+        return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
+
+    return rows.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, class_id`` for every row: the smallest id that links of at least ``similarity`` lead to.
 
     Texts with the same words are copies; one of each set of copies goes on. Two
     texts are candidates if they agree in a band of ``rows`` samples. In each
-    band value every member is held against its smallest member, then against
-    ``_PROBES`` others unless their classes are already one; what is left, the
-    pairs of different classes within a band value, is verified in full. So a
-    large group costs a few pairs per member, and no link between classes is
-    lost. A link inside a class changes nothing and is not looked at.
+    band value every member is held against the value's hub, then those of other
+    classes against a second hub. Band values that still have several classes
+    are cut into blocks, and each pair of blocks is searched for further links
+    between classes. So no link between classes is lost, and pairs are never
+    rows. A link inside a class changes nothing and is not looked at.
 
     A text under five words is one shingle; texts without words (null, empty)
-    are copies of each other. Rows without id have a null class. Repeated rows
-    each give a row; rows with one id and different texts share the class of
-    the smallest. Extra columns are ignored; an empty table gives no rows.
+    are copies of each other. Rows without id have a null class. Each row has the
+    class of its own text, also if its id stands for several; repeated rows each
+    give a row. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(sampler_of(texts, bands * rows))
     sketched = stored(_sketched(texts, shared, bands))
     copies = sketched.filter("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
-    copies = stored(copies)
-    members = copies.filter("bands IS NOT NULL").groupBy("first").agg(F.max("bands").alias("bands"))
-    members = members.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = stored(members.join(sizes, "band"))
-    # one text per id, of the ids that meet another
-    meeting = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = stored(
-        texts.join(meeting, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    )
+    copies = stored(copies.withColumn("id", F.monotonically_increasing_id()))
+    members = copies.select("id", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = members.join(sizes, "band")
+    hubs = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    members = stored(members.drop("n").join(hubs, "id"))
+    # the text of each set of copies that meets another: of its first id, the one with those words
+    meeting = copies.join(members.select("id").distinct(), "id").select("id", F.col("first").alias("doc_id"), "copy")
+
+    def matching(batches):
+        for batch in batches:
+            same = [_copy(words(t)) == c for t, c in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist())]
+            yield batch.select(["id", "text"]).filter(pa.array(same, pa.bool_()))
+
+    texts = texts.join(meeting, "doc_id").select("id", "copy", "text").mapInArrow(matching, "id long, text string")
+    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")))
     rooted = members.withColumn("root", F.col("id"))
     links = None
-    for probe in range(_PROBES + 1):
-        pivot = F.min("id") if probe == 0 else F.min_by("id", F.xxhash64("id", F.lit(probe)))
-        chosen = rooted.groupBy("band").agg(pivot.alias("b"), F.min_by("root", "id" if probe == 0 else F.xxhash64("id", F.lit(probe))).alias("own"), F.min("root").alias("low"), F.max("root").alias("high"))
-        open_bands = chosen.filter("low <> high").select("band", "b", "own")
-        pairs = rooted.join(open_bands.hint("merge"), "band").filter("root <> own AND id <> b").select(F.col("id").alias("a"), "b").distinct()
+    for _ in range(_HUBS):
+        pairs = _hub_pairs(rooted).distinct()
         found = stored(_verified(pairs, texts, shared, similarity))
         links = found if links is None else stored(links.unionByName(found))
-        roots = components(links)
-        rooted = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    x, y = rooted.alias("x"), rooted.alias("y")
-    rest = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = stored(_verified(rest, texts, shared, similarity))
-    copied = sketched.join(copies.select("copy", "first"), "copy", "left").select("doc_id", "first")
-    # an id with several texts links its copies' first ids
-    own = copied.filter("first IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).filter("a <> b")
-    roots = components(links.unionByName(found).unionByName(_several(own)))
-    return copied.join(roots, F.col("first") == F.col("id"), "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id")
-    )
-
-
-def _several(own: DataFrame) -> DataFrame:
-    """Links among the first ids of those ids that have more than one."""
-    return own.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low <> high").select(F.col("high").alias("a"), F.col("low").alias("b"))
+        rooted = stored(members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    found = stored(_block_links(rooted, texts, shared, similarity))
+    roots = components(links.unionByName(found))
+    named = copies.join(roots, "id", "left").select("copy", "first", F.coalesce("root", "id").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = named.join(smallest, "root").select("copy", "class_id")
+    return sketched.join(named, "copy", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of each class; rows without id stay."""
+    """The rows of ``docs``, all columns, with the smallest id of each class; rows without id stay, rows that repeat an id go together."""
     found = classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
