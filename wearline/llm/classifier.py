@@ -16,7 +16,7 @@ HIDDEN, ATTENTION = 24, 12
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!?", b"|", b"#*$%&<>^~", b"\"'()[]{}-_/\\@=+`"]
 _CLASSES = len(_GROUPS) + 2
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _class_table() -> np.ndarray:
@@ -56,7 +56,8 @@ def passages(text: str) -> np.ndarray:
     hashes = {1: rows}
     for width, left in ((2, 1), (4, 2), (8, 4), (16, 8), (24, 16)):
         n_at, right = PASSAGE_BYTES - width + 1, width - left
-        hashes[width] = hashes[left][:, :n_at] * _ODD ^ (hashes[right][:, left : left + n_at] + _ODD >> np.uint64(7))
+        joined = hashes[left][:, :n_at] * _ODD + hashes[right][:, left : left + n_at] * _OTHER
+        hashes[width] = joined ^ (joined >> np.uint64(29))
     for column, width in ((-3, 8), (-2, 24)):
         at = np.arange(PASSAGE_BYTES - width + 1)
         own = np.where(at + width <= sizes[:, None], hashes[width] >> np.uint64(4), at.astype(np.uint64) + np.uint64(1 << 62))
