@@ -23,9 +23,11 @@ def asof_backward(
     """Each left row takes the latest right row at or before its time, nulls if none.
 
     Both sides are stacked and scanned once in time order, so no row pairs are
-    built. Among right rows of one time the last by ``right_ties`` wins. ``store``
-    is for costly inputs, see ``slices.running``.
+    built. Among right rows of one time the last by ``right_ties`` wins. A right
+    row without a time or a key matches nothing. ``store`` is for costly inputs,
+    see ``slices.running``.
     """
+    right = right.dropna("any", subset=[right_on, *by])
     payload = F.struct(*take)
     ties = [f"_t{i}" for i in range(len(right_ties))]
     kept = left.columns

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wearline.operators.lookups import sized
+from wearline.operators.lookups import join_null_safe, sized
 
 GROUPS = ["temporal", "spectral", "correlation"]
 _COLUMN_LIMIT = 20_000  # names collected to the driver when maps become columns
@@ -80,7 +80,7 @@ def minmax_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
         *[F.min(c).alias(f"_lo_{c}") for c in columns],
         *[F.max(c).alias(f"_hi_{c}") for c in columns],
     )
-    joined = df.join(sized(bounds), by, "inner")
+    joined = join_null_safe(df, sized(bounds), by)
     scaled = {}
     for c in columns:
         span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
@@ -116,11 +116,6 @@ def readings_to_long(df: DataFrame, keep: list[str], column: str = "readings") -
     return df.select(*keep, F.explode(column).alias("sensor", "value"))
 
 
-def is_map_of_numbers(df: DataFrame, column: str) -> bool:
-    kind = df.schema[column].dataType
-    return isinstance(kind, T.MapType) and isinstance(kind.valueType, T.NumericType)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name of the frames given, missing columns as nulls."""
     if not frames:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions.tails import kolmogorov_tail, student_upper_tail
 from wearline.operators.columns import require
-from wearline.operators.slices import AUTO, Running, rows_per_slice, running
+from wearline.operators.slices import Running, running
 from wearline.session import cut
 
 KS_THRESHOLD = 0.05
@@ -35,7 +35,8 @@ def ks_test(
     """Two-sample Kolmogorov-Smirnov per feature; features empty on a side are left out.
 
     Rows first collapse to distinct values with two counts, so ties and hot
-    values cost one row; cumulative counts are running sums in value order.
+    values cost one row; that table is stored once, and cumulative counts are
+    running sums in value order. An empty sample is refused; infinities count.
     """
     require(reference, features)
     require(current, features)
@@ -47,19 +48,18 @@ def ks_test(
             F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")
         )
     )
-    # Distinct values of a feature are at most the rows; only beyond the bound of
-    # one task is the collapsed table stored, so that sizing does not recompute it.
-    small = reference.count() + current.count() <= rows_per_slice(counts)
-    if not small:
-        counts = cut(counts)
+    if reference.isEmpty() or current.isEmpty():
+        raise ValueError("reference and current samples must not be empty")
+    counts = cut(counts)
     # asinh keeps the order and tames outliers, which makes it a usable slicing axis.
-    placed = counts.withColumn("_at", (F.asinh("value") * F.lit(2.0**50)).cast("long"))
+    end = F.lit(2.0**60)
+    scaled = F.greatest(F.least(F.asinh("value") * F.lit(2.0**50), end), -end)
+    placed = counts.withColumn("_at", scaled.cast("long"))
     summed = running(
         placed,
         ["feature"],
         ["_at", "value"],
         [Running("_ca", "sum", F.col("a")), Running("_cb", "sum", F.col("b"))],
-        slice_length=None if small else AUTO,
     )
     sizes = counts.groupBy("feature").agg(
         F.sum("a").alias("n_reference"), F.sum("b").alias("n_current")
@@ -110,14 +110,10 @@ def _below(p: Column, limit: float) -> Column:
 
 def validate_errors(df: DataFrame, error: str, side: str) -> dict[int, int]:
     """Counts per side; refuses an empty side and non-finite values."""
-    value = F.col(error)
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    rows = df.groupBy(side).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).collect()
-    sizes = {r[side]: r["n"] for r in rows}
+    _refuse_non_finite(df, error)
+    sizes = {r[side]: r["n"] for r in df.groupBy(side).agg(F.count("*").alias("n")).collect()}
     if sizes.get(0, 0) == 0 or sizes.get(1, 0) == 0:
         raise ValueError("baseline and recent errors must not be empty")
-    if any(r["bad"] for r in rows):
-        raise ValueError("errors contain non-finite values")
     return sizes
 
 
@@ -156,6 +152,13 @@ def welch_moments(df: DataFrame, error: str, side: str) -> DataFrame:
     )
 
 
+def _refuse_non_finite(df: DataFrame, error: str) -> None:
+    value = F.col(error)
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    if df.agg(F.count_if(bad)).first()[0]:
+        raise ValueError("errors contain non-finite values")
+
+
 def concept_drift(
     df: DataFrame,
     error: str,
@@ -163,14 +166,18 @@ def concept_drift(
     p_threshold: float = KS_THRESHOLD,
     rise_threshold: float = ERROR_RISE,
 ) -> DataFrame:
-    """One row: Welch's one-sided test, the MAE rise and the recommendation."""
+    """One row: Welch's one-sided test, the MAE rise and the recommendation.
+
+    Null, NaN and infinite errors are refused. Without rows on a side nothing is detected.
+    """
+    _refuse_non_finite(df, error)
     m = welch_moments(df, error, side)
     m = m.withColumn("p_value", student_upper_tail("t_statistic", "freedom"))
     rise = F.col("error_increase")
     detected = _below(F.col("p_value"), p_threshold) & (rise > rise_threshold)
     advice = F.when(F.col("detected"), "retrain").when(rise > rise_threshold * 0.5, "monitor")
     return (
-        m.withColumn("detected", detected)
+        m.withColumn("detected", F.coalesce(detected, F.lit(False)))
         .withColumn("recommendation", advice.otherwise("ok"))
         .withColumn("drift_type", F.lit("concept"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.operators.columns import require
-from wearline.operators.lookups import sized
+from wearline.operators.lookups import join_null_safe, sized
 from wearline.operators.slices import AUTO, Running, running, with_key_aggregates, with_previous
 from wearline.schemas import HEALTH_LABELS
 
@@ -99,4 +99,4 @@ def class_weights(df: DataFrame, label: str = "health_label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "health_label") -> DataFrame:
-    return df.join(sized(class_weights(df, label).select(label, "weight")), label, "inner")
+    return join_null_safe(df, sized(class_weights(df, label).select(label, "weight")), [label])

@@ -19,3 +19,12 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) > limit:
         return small
     return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys match each other; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_n_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"_n_{k}"])
+    return left.join(renamed, match, how).drop(*[f"_n_{k}" for k in keys])

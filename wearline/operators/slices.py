@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearline import session
-from wearline.operators.lookups import sized
+from wearline.operators.lookups import join_null_safe, sized
 
 ROWS_PER_SLICE = 2_000_000
 ROWS_SETTING = "wearline.rowsPerSlice"
@@ -30,6 +30,7 @@ SLICE = "_slice"
 HOME = "_home"
 AUTO = "auto"
 _HISTOGRAM_BINS = 4096
+_TIMELESS = -(1 << 62)
 
 
 def axis(df: DataFrame, name: str) -> Column:
@@ -88,13 +89,14 @@ def with_lookback(df: DataFrame, order: str, length: int | None, lookback: int)
 
     Compute over ``keys + _slice`` and keep rows where ``_slice = _home``. The
     slice is never shorter than the look-back, so a row has at most one copy.
+    Rows without a time share a slice of their own, as they share a frame unsliced.
     """
     if length is None:
         return with_slice(df, order, None).withColumn(HOME, F.lit(0).cast("long"))
     length = max(length, lookback)
     at = axis(df, order)
-    home = slice_of(at, length)
-    last = slice_of(at + F.lit(lookback), length)
+    home = F.coalesce(slice_of(at, length), F.lit(_TIMELESS))
+    last = F.coalesce(slice_of(at + F.lit(lookback), length), F.lit(_TIMELESS))
     return df.withColumn(HOME, home).withColumn(SLICE, F.explode(F.sequence(home, last)))
 
 
@@ -197,6 +199,7 @@ def with_key_aggregates(df: DataFrame, keys: list[str], aggregates: dict[str, Co
 
     The aggregate combines map-side. With few keys it is broadcast; with many,
     adaptive execution splits a skewed join partition. A hot key costs no single task.
+    Rows with a null key form a group like any other.
     """
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-    return df.join(sized(totals), keys, "inner")
+    return join_null_safe(df, sized(totals), keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.operators.columns import require
-from wearline.operators.lookups import sized
+from wearline.operators.lookups import join_null_safe, sized
 from wearline.operators.ordering import with_position
 
 
@@ -44,7 +44,7 @@ def _cut_ids(ids: DataFrame, key: str, n: int, n_train: int, n_val: int, n_test:
 
 def with_split(df: DataFrame, split: DataFrame, key: str = "machine_id") -> DataFrame:
     """Joins membership, broadcasting the id table when it is small."""
-    return df.join(sized(split), key, "inner")
+    return join_null_safe(df, sized(split), [key])
 
 
 def rows_of_split(df: DataFrame, split: DataFrame, name: str, key: str = "machine_id") -> DataFrame:

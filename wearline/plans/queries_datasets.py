@@ -248,52 +248,39 @@ def extraction_summary(spark, folder):
 @query(
     "training_join",
     f"""WITH {CYCLES} SELECT e.machine_id, e.recorded_at, e.sensor, e.value, CAST(u.rul_cycles AS BIGINT) AS rul_cycles
-    FROM e JOIN u ON e.machine_id = u.machine_id AND e.recorded_at = u.recorded_at
-    ORDER BY e.recorded_at DESC, e.machine_id DESC LIMIT 50000""",
+    FROM e JOIN u ON e.machine_id = u.machine_id AND e.recorded_at = u.recorded_at""",
 )
 def training_join(spark, folder):
     features = roles.events_long(spark, folder).select("machine_id", "recorded_at", "sensor", "value")
     rul = labelled(spark, folder).select("machine_id", "recorded_at", "rul_cycles")
     joined = features.join(rul, ["machine_id", "recorded_at"], "inner")
-    return longs(views.newest(joined, 50_000, ["recorded_at", "machine_id"]), "rul_cycles")
+    return longs(joined, "rul_cycles")
 
 
 @query(
     "drift_windows",
-    f"""WITH {E_LONG}, a AS (SELECT 'reference' AS side, event_id, recorded_at, value FROM e
-      ORDER BY recorded_at, event_id LIMIT 10000),
-    b AS (SELECT 'current' AS side, event_id, recorded_at, value FROM e
-      ORDER BY recorded_at DESC, event_id DESC LIMIT 5000)
-    SELECT * FROM a UNION ALL SELECT * FROM b""",
+    f"""WITH {E_LONG} SELECT CASE WHEN recorded_at < TIMESTAMP '2024-01-21' THEN 'reference' ELSE 'current' END AS side,
+      event_id, recorded_at, value FROM e""",
 )
 def drift_windows(spark, folder):
-    """The oldest 10,000 and the newest 5,000 rows, the windows drift is tested on."""
+    """All rows before and from the 21st, the samples drift is tested on."""
     base = roles.events_long(spark, folder).select("event_id", "recorded_at", "value")
-    first = views.oldest(base, 10_000, EVENT_ORDER).withColumn("side", F.lit("reference"))
-    last = views.newest(base, 5_000, EVENT_ORDER).withColumn("side", F.lit("current"))
-    return first.unionByName(last)
+    early = F.col("recorded_at") < F.lit("2024-01-21").cast("timestamp_ntz")
+    return base.withColumn("side", F.when(early, "reference").otherwise("current"))
 
 
 @query(
     "error_windows",
-    """WITH x AS (SELECT event_id, ts, abs(value - 25.0::DOUBLE) AS abs_error FROM events),
-    a AS (SELECT 'baseline' AS side, event_id, abs_error FROM x WHERE ts < TIMESTAMP '2024-01-24'
-      ORDER BY ts DESC, event_id DESC LIMIT 1000),
-    b AS (SELECT 'recent' AS side, event_id, abs_error FROM x WHERE ts >= TIMESTAMP '2024-01-24'
-      ORDER BY ts DESC, event_id DESC LIMIT 1000)
-    SELECT side, event_id, round(abs_error, 6) + 0.0 AS abs_error FROM a
-    UNION ALL SELECT side, event_id, round(abs_error, 6) + 0.0 FROM b""",
+    """SELECT CASE WHEN ts < TIMESTAMP '2024-01-24' THEN 'baseline' ELSE 'recent' END AS side, event_id,
+      round(abs(value - 25.0::DOUBLE), 6) + 0.0 AS abs_error FROM events""",
 )
 def error_windows(spark, folder):
-    """The newest 1,000 errors on either side of a week ago, 25 playing the truth."""
-    base = roles.table(spark, folder, "events").select(
-        "ts", "event_id", F.abs(F.col("value") - 25.0).alias("abs_error")
+    """All errors on either side of a week ago, 25 playing the truth."""
+    early = F.col("ts") < F.lit("2024-01-24").cast("timestamp_ntz")
+    rows = roles.table(spark, folder, "events").select(
+        F.when(early, "baseline").otherwise("recent").alias("side"), "event_id", F.abs(F.col("value") - 25.0).alias("abs_error")
     )
-    cut = F.lit("2024-01-24").cast("timestamp_ntz")
-    order = ["ts", "event_id"]
-    old = views.newest(base.where(F.col("ts") < cut), 1_000, order).withColumn("side", F.lit("baseline"))
-    new = views.newest(base.where(F.col("ts") >= cut), 1_000, order).withColumn("side", F.lit("recent"))
-    return rounded(old.unionByName(new).select("side", "event_id", "abs_error"), ["abs_error"])
+    return rounded(rows, ["abs_error"])
 
 
 @query(

@@ -13,18 +13,14 @@ from wearline.operators import drift
 from wearline.operators.columns import numeric_columns
 from wearline.operators.labels import assign_health
 from wearline.operators.splits import machine_split, rows_of_split
-from wearline.operators.views import newest, oldest
 from wearline.plans import training
 from wearline.plans.models import ModelLog, promotion, should_retrain
 from wearline.schemas import DRIFT_EVENT, HEALTH_LABELS
 from wearline.sources.tables import append
 
-# Window sizes of the tests and of the training pull.
-REFERENCE_ROWS = 10_000
-CURRENT_ROWS = 5_000
-ERROR_ROWS = 1_000
-TRAINING_ROWS = 50_000
+# Fixed value: errors younger than this are the recent ones.
 ERROR_DAYS = 7
+REFERENCE_SHARE = 2 / 3  # of the feature rows, by time; the later ones are the current sample
 RUL, HEALTH = "lifespan_predictor", "condition_classifier"
 
 
@@ -39,14 +35,20 @@ class Sizes:
 
 
 def error_rows(audit: DataFrame, as_of: datetime) -> DataFrame:
-    """Absolute errors with ``side`` 0 (older than a week) and 1, the newest of each."""
+    """All absolute errors, with ``side`` 0 before and 1 within the last week; rows without an error are left out."""
     cut = F.lit(as_of) - F.expr(f"INTERVAL {ERROR_DAYS} DAYS")
     rows = audit.select(
         "created_at", F.abs(F.col("predicted_rul") - F.col("actual_rul")).alias("abs_error")
     )
-    older = newest(rows.where(F.col("created_at") < cut), ERROR_ROWS, ["created_at"])
-    later = newest(rows.where(F.col("created_at") >= cut), ERROR_ROWS, ["created_at"])
-    return older.withColumn("side", F.lit(0)).unionByName(later.withColumn("side", F.lit(1)))
+    side = F.when(F.col("created_at") < cut, 0).otherwise(1)
+    return rows.withColumn("side", side).where(F.col("abs_error").isNotNull() & ~F.isnan("abs_error"))
+
+
+def time_windows(features: DataFrame, share: float = REFERENCE_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The feature rows before and from the time that ``share`` of them lie before."""
+    at = F.unix_micros("computed_at")
+    edge = features.agg(F.percentile_approx(at, share, 100_000)).first()[0]
+    return features.where(at < F.lit(edge)), features.where(at >= F.lit(edge))
 
 
 def drift_decision(
@@ -54,10 +56,7 @@ def drift_decision(
 ) -> DataFrame:
     """One row: both drift verdicts and whether to retrain."""
     names = numeric_columns(features, exclude=("machine_id", "window_s"))
-    order = ["computed_at", "machine_id"]
-    tests = drift.ks_test(
-        oldest(features, REFERENCE_ROWS, order), newest(features, CURRENT_ROWS, order), names
-    )
+    tests = drift.ks_test(*time_windows(features), names)
     data = drift.data_drift_report(tests).select(
         F.col("detected").alias("data_drift"), "affected_features", "ks_statistic", "p_value"
     )
@@ -77,10 +76,10 @@ def drift_decision(
 
 
 def training_rows(features: DataFrame, rul_labels: DataFrame) -> DataFrame:
-    """Newest labelled feature rows with their health label."""
+    """All labelled feature rows with their health label."""
     named = rul_labels.select("machine_id", F.col("recorded_at").alias("computed_at"), "rul_cycles")
     joined = features.join(named, ["machine_id", "computed_at"], "inner")
-    return assign_health(newest(joined, TRAINING_ROWS, ["computed_at", "machine_id"]))
+    return assign_health(joined)
 
 
 def run(

@@ -27,7 +27,6 @@ from wearline.streaming.processors import (
     ReadingProcessor,
 )
 
-STREAM_RULES = 2_000  # rules one alert job carries; independent rules split over jobs exactly
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
 # Sensors with spectral features, their sampling rate and gates.
@@ -113,7 +112,7 @@ def feature_rows(
         reset.alias("reset"),
     )
     processed = keyed.groupBy("machine_id").transformWithState(
-        ReadingProcessor(windows_s, fft_sensors, delay_s, ttl_ms), READING_OUTPUT, "append", "none"
+        ReadingProcessor(windows_s, fft_sensors, delay_s, ttl_ms), READING_OUTPUT, "append", _time_mode(ttl_ms)
     )
     states = dict(quality.stateless_flags(limits, clock))
     states["DUPLICATE_TIMESTAMP"] = F.col("duplicate")
@@ -242,6 +241,11 @@ def rollup_view(spark: SparkSession, out: str) -> DataFrame:
 # --- alerts ------------------------------------------------------------------------
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    """State that expires needs processing time."""
+    return "none" if ttl_ms is None else "processingTime"
+
+
 def alert_rows(
     predictions: DataFrame,
     rule_table: DataFrame,
@@ -255,20 +259,21 @@ def alert_rows(
     the drop-rate rules and applies cooldowns. The rule set is a bounded
     authored dimension and travels with the processor.
     """
-    head = rule_table.where("enabled").limit(STREAM_RULES + 1).collect()
-    if len(head) > STREAM_RULES:
-        raise ValueError(f"more than {STREAM_RULES} rules: run several alert jobs over parts of them")
-    usable = [r for r in head if rules.usable_rule(r)]
-    bound = {r["rule_id"]: r["thresholds"][rules.THRESHOLD_NAME[r["condition_type"]]] for r in usable}
-    drops = {r["rule_id"]: float(bound[r["rule_id"]]) for r in usable if r["condition_type"] == "rul_drop_rate"}
-    plain = []
-    for r in usable:
-        if r["rule_id"] in drops:
-            continue
-        text = r["condition_type"] == "health_label_is"
-        number = F.lit(None).cast("double") if text else F.lit(float(bound[r["rule_id"]]))
-        fires = rules.condition(r["condition_type"], number, F.lit(bound[r["rule_id"]]))
-        plain.append(F.when(fires, F.lit(r["rule_id"])))
+    usable = rules.prepared_rules(rule_table).collect()
+    drops = {r["rule_id"]: r["_number"] for r in usable if r["condition_type"] == "rul_drop_rate"}
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(r["rule_id"]).alias("rule_id"),
+                F.lit(r["condition_type"]).alias("kind"),
+                F.lit(r["_number"]).cast("double").alias("number"),
+                F.lit(r["_text"]).alias("text"),
+            )
+            for r in usable
+            if r["rule_id"] not in drops
+        ]
+    )
+    firing = F.filter(known, lambda r: rules.condition(r["kind"], r["number"], r["text"]))
     timed = predictions.select(
         "machine_id",
         F.col("predicted_at").cast("timestamp").alias("predicted_at"),
@@ -280,11 +285,11 @@ def alert_rows(
         rules.anomalous_sensors(F.col("anomaly_score")).alias("active_sensor_count"),
         F.lit(None).cast("double").alias("previous_rul"),
     )
-    hit_rules = F.array_compact(F.array(*plain)) if plain else F.array().cast("array<string>")
+    hit_rules = F.transform(firing, lambda r: r["rule_id"]) if len(drops) < len(usable) else F.array().cast("array<string>")
     keyed = timed.select("machine_id", "predicted_at", "at", "seq", "rul_cycles", hit_rules.alias("hit_rules"))
     cooldowns = {r["rule_id"]: int(r["cooldown_s"]) for r in usable}
     fired = keyed.groupBy("machine_id").transformWithState(
-        AlertProcessor(drops, cooldowns, window_s, ttl_ms), ALERT_OUTPUT, "append", "none"
+        AlertProcessor(drops, cooldowns, window_s, ttl_ms), ALERT_OUTPUT, "append", _time_mode(ttl_ms)
     )
     names = F.array(
         *[
@@ -307,11 +312,17 @@ def alert_rows(
 
 
 def alert_job(
-    predictions: DataFrame, rule_table: DataFrame, out: str, checkpoint: str, window_s: int = 300, **run
+    predictions: DataFrame,
+    rule_table: DataFrame,
+    out: str,
+    checkpoint: str,
+    window_s: int = 300,
+    ttl_ms: int | None = None,
+    **run,
 ) -> StreamingQuery:
     """Writes fired rules and incident rows; ``notify`` marks the opener of each window."""
     use_rocksdb(predictions.sparkSession)
-    fired = alert_rows(predictions, rule_table, window_s=window_s)
+    fired = alert_rows(predictions, rule_table, window_s=window_s, ttl_ms=ttl_ms)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

@@ -149,7 +149,7 @@ class AlertProcessor(StatefulProcessor):
             before, seen = known[0], {rule: tuple(v) for rule, v in _as_dict(known[1]).items()}
         for row in ordered:
             hits = list(row["hit_rules"])
-            if before is not None:
+            if before is not None and row["rul_cycles"] is not None:
                 hits += [r for r, limit in self.drops.items() if before - row["rul_cycles"] > limit]
             for rule in hits:
                 fired, opened = seen.get(rule, (None, None))
