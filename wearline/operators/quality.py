@@ -74,7 +74,7 @@ def quantile_of_sorted(values: Column, share: float) -> Column:
 
 def outlier_flag(readings: Column, limits: QualityLimits) -> Column:
     """Any present value outside the interquartile fences of its own reading."""
-    present = F.array_sort(F.filter(F.map_values(readings), lambda v: ~missing(v)))
+    present = F.sort_array(F.filter(F.map_values(readings), lambda v: ~missing(v)))
     q1, q3 = quantile_of_sorted(present, 0.25), quantile_of_sorted(present, 0.75)
     reach = F.lit(limits.iqr_factor) * (q3 - q1)
     # The array is sorted, so only its ends can lie outside.

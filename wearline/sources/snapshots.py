@@ -18,7 +18,7 @@ def save_snapshot(
     snapshot_at: str,
     keep: list[str] = [],
 ) -> None:
-    """Appends labelled rows of ``version``, partitioned by version and split.
+    """Writes labelled rows of ``version``, partitioned by version and split; a repeated run replaces its rows.
 
     ``df`` carries its ``split``; features become one JSON object per row, and
     all rows share the snapshot time.
@@ -44,7 +44,8 @@ def save_snapshot(
         F.lit(version).alias("dataset_version"),
         "split",
     )
-    rows.write.mode("append").partitionBy("dataset_version", "split").parquet(path)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset_version", "split").parquet(path)
 
 
 def load_snapshot(

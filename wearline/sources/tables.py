@@ -30,9 +30,13 @@ def write_by_day(
     df: DataFrame, path: str, time: str, *, mode: str = "append", chunk_days: int = 1
 ) -> None:
     """Appends rows under ``event_day=...``; rows of a day spread over several writers."""
+    _dealt_by_day(df, time, chunk_days).write.mode(mode).partitionBy(DAY).parquet(path)
+
+
+def _dealt_by_day(df: DataFrame, time: str, chunk_days: int) -> DataFrame:
     out = df.withColumn(DAY, day_of(F.col(time), chunk_days))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(_SALTS))
-    out.repartition(DAY, salt).write.mode(mode).partitionBy(DAY).parquet(path)
+    return out.repartition(DAY, salt)
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -40,10 +44,9 @@ def _hashable(df: DataFrame) -> list[str]:
 
 
 def overwrite_days(df: DataFrame, path: str, time: str, chunk_days: int = 1) -> None:
-    """Replaces just the days present in ``df``."""
-    out = df.withColumn(DAY, day_of(F.col(time), chunk_days))
+    """Replaces just the days present in ``df``, so a repeated run leaves the same rows."""
     (
-        out.repartition(DAY)
+        _dealt_by_day(df, time, chunk_days)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY)
