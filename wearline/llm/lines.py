@@ -9,6 +9,7 @@ from wearline.llm.common import SPACES, stored
 
 THRESHOLD, LEAST_CHARS = 2, 20
 _SALTS, _SLOTS = 16, 1 << 20
+_BLOCK = 256
 
 
 def _bind(value: Column, use) -> Column:
@@ -16,44 +17,42 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _segments(n: str, delta: int, parts: int) -> list[tuple[Column, Column]]:
-    """First character (from 1) and length of each segment of a line of ``n - delta`` characters; the last ones are longer."""
-    short, longer = F.expr(f"({n} - {delta}) div {parts}"), F.expr(f"({n} - {delta}) % {parts}")
-    found = []
-    for i in range(parts):
-        start = short * i + F.greatest(F.lit(0), longer + (i - parts)) + 1
-        found.append((start.cast("int"), (short + (longer >= parts - i).cast("int")).cast("int")))
-    return found
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """``key`` for each line and place: hash of length, segment number and the text of that segment.
 
-
-def _key(length: Column, index: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(index), text)
+    A place (delta, i, shift) is segment i of a line ``delta`` shorter, looked
+    for ``shift`` characters further right. The last segments of a line are one
+    longer if the length does not divide. Places are rows, so one short
+    expression serves all of them. No key where the text would leave the line.
+    """
+    rows = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in places])
+    placed = lines.select("*", F.inline(rows)).withColumn("m", F.col("n") - F.col("delta"))
+    longer = F.col("m") % parts - (parts - F.col("i"))
+    placed = placed.withColumn("start", F.expr(f"(m div {parts}) * i").cast("int") + F.greatest(F.lit(0), longer) + 1 + F.col("shift"))
+    placed = placed.withColumn("size", F.expr(f"m div {parts}").cast("int") + (longer >= 0).cast("int"))
+    inside = (F.col("start") >= 1) & (F.col("start") + F.col("size") <= F.col("n") + 1)
+    text = F.substring(F.col("line"), F.col("start"), F.col("size"))
+    return placed.filter(inside).withColumn("key", F.xxhash64("m", "i", text))
 
 
-def segment_keys(threshold: int) -> list[Column]:
-    """One key per segment of an indexed ``line`` of ``n`` characters: of its length, the segment's number and text."""
-    return [
-        _key(F.col("n"), i, F.substring(F.col("line"), start, size)) for i, (start, size) in enumerate(_segments("n", 0, threshold + 1))
-    ]
+def segment_places(threshold: int) -> list[tuple[int, int, int]]:
+    """Where an indexed line has its segments."""
+    return [(0, i, 0) for i in range(threshold + 1)]
 
 
-def probe_keys(threshold: int) -> list[Column]:
-    """Keys of the substrings that a line as long or up to ``threshold`` shorter may have as a segment.
+def probe_places(threshold: int) -> list[tuple[int, int, int]]:
+    """Where a line may have the segments of a line as long or up to ``threshold`` shorter.
 
     Seen from the left, segment i of the shorter line can have moved by i at most
     (that many edits before it); seen from the right by what the other edits allow.
     """
-    keys = []
+    places = []
     for delta in range(threshold + 1):
-        shorter = F.col("n") - delta
-        for i, (start, size) in enumerate(_segments("n", delta, threshold + 1)):
+        for i in range(threshold + 1):
             lowest = max(-i, delta - (threshold - i))
             highest = min(i, delta + (threshold - i))
-            for shift in range(lowest, highest + 1):
-                first = start + shift
-                text = F.substring(F.col("line"), first, size)
-                keys.append(F.when((first >= 1) & (first + size <= F.col("n") + 1), _key(shorter, i, text)))
-    return keys
+            places += [(delta, i, shift) for shift in range(lowest, highest + 1)]
+    return places
 
 
 def common_prefix(one: Column, other: Column, most: Column) -> Column:
@@ -176,24 +175,63 @@ def links(lines: DataFrame, seen: DataFrame, threshold: int = THRESHOLD) -> Data
     ``seen`` counts the lines (h, n). Lines in the slot of a repeated one are made
     distinct; the others are so already and stay where they are. Lines of length
     L are indexed by their threshold + 1 segments; a line probes the segments of
-    lines as long or shorter with its own substrings. The lines of a pair are
-    fetched, after the same kind of slot filter, and verified.
+    lines as long or shorter with its own substrings. Of the index a probe meets
+    two entries at most, the least and the largest, which tell whether another
+    line has the key; so the join makes no more rows than there are probes. An
+    indexed line probes its own keys too, so the probes left, and the entry they
+    meet where it is the only one, are all members of their keys. Members are
+    fetched, after the same kind of slot filter, and
+    compared within blocks.
     """
     repeated = _slots(seen.filter("n > 1"))
     base = lines.select("line", "n", "h", "slot")
     different = base.join(repeated, "slot", "left_anti").select("line", "n", "h").unionByName(
         base.join(repeated, "slot", "left_semi").select("line", "n", "h").distinct()
     )
-    index = different.select(F.explode(F.array(*segment_keys(threshold))).alias("key"), "h")
-    probe = different.select(F.explode(F.array(*probe_keys(threshold))).alias("key"), F.col("h").alias("g")).filter("key IS NOT NULL")
-    pairs = probe.join(index.hint("merge"), "key").filter("g <> h").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g"))
-    pairs = stored(pairs.distinct())
-    wanted = stored(pairs.select("h").unionByName(pairs.select(F.col("g").alias("h"))).distinct())
+    index = _keys(different, segment_places(threshold), threshold + 1)
+    index = index.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    own = (F.col("delta") == 0) & (F.col("shift") == 0)
+    probe = _keys(different, probe_places(threshold), threshold + 1).select("key", "h", own.alias("own"))
+    met = probe.join(index.hint("merge"), "key").filter("least <> h OR most <> h")
+    both = F.array(F.struct("h", "own"), F.struct(F.col("least").alias("h"), F.lit(True).alias("own")))
+    met = stored(met.select("key", F.inline(both)).groupBy("key", "h").agg(F.max("own").alias("own")))
+    wanted = stored(met.select("h").distinct())
     texts = lines.join(_slots(wanted), "slot", "left_semi").select("h", "h2", "line")
     texts = stored(texts.join(wanted.hint("merge"), "h", "left_semi").distinct())
-    left = pairs.join(texts.select("h", "h2", F.col("line").alias("one")).hint("merge"), "h")
-    both = left.join(texts.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("other")).hint("merge"), "g")
-    return stored(both.filter(within(F.col("one"), F.col("other"), threshold)).select("h", "h2", "g", "g2"))
+    return stored(_compared(met, texts, threshold).distinct())
+
+
+def _compared(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of members of a key within ``threshold`` edits; members meet as arrays of a block each, and only links become rows."""
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).hint("merge")
+    rows = met.join(sizes, "key").withColumn("block", F.pmod("h", "blocks").cast("int"))
+    rows = rows.select(
+        "key", "h", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    rows = rows.join(texts.hint("merge"), "h").select(
+        "key",
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        F.struct("h", "h2", "own", "line", F.char_length("line").alias("n"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second")).alias("x"),
+    )
+    groups = rows.groupBy("key", "low", "high").agg(F.collect_list("x").alias("xs"))
+
+    def partners(a: Column) -> Column:
+        def linked(b: Column) -> Column:
+            # within a block each pair once; across blocks from the first to the second
+            once = b["second"] & ((a["h"] != b["h"]) & ((F.col("low") < F.col("high")) | (a["h"] < b["h"])))
+            near = once & (a["own"] | b["own"]) & (F.abs(a["n"] - b["n"]) <= threshold)
+            return F.when(near, within(a["line"], b["line"], threshold)).otherwise(False)
+
+        return F.transform(
+            F.filter("xs", linked),
+            lambda b: F.when(a["h"] < b["h"], F.struct(a["h"].alias("h"), a["h2"].alias("h2"), b["h"].alias("g"), b["h2"].alias("g2"))).otherwise(
+                F.struct(b["h"].alias("h"), b["h2"].alias("h2"), a["h"].alias("g"), a["h2"].alias("g2"))
+            ),
+        )
+
+    found = F.flatten(F.transform(F.filter("xs", lambda a: a["first"]), partners))
+    return groups.select(F.inline(found))
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
