@@ -35,7 +35,9 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
 
     def run(batches):
         encode = encoder(path)
-        kind, frequency, total, rows = encode.dtype, None, 0, []
+        kind, total, rows = encode.dtype, 0, []
+        frequency = np.zeros(encode.tokenizer.get_vocab_size() + end_id + 1, np.int64)
+        seen = np.zeros(len(frequency), bool)
 
         def flush():
             columns = list(zip(*rows)) or [()] * 7
@@ -48,20 +50,18 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
             for doc, raw in zip(batch.column("doc_id").to_pylist(), encode.ids(batch.column("text").to_pylist())):
                 ids = np.append(np.frombuffer(raw, kind), kind.type(end_id))
                 n, tail = len(ids), len(ids) // window * window
-                terms = np.unique(ids)
-                if frequency is None:
-                    frequency = np.zeros(np.iinfo(kind).max + 1 if kind.itemsize == 2 else 1 << 20, np.int64)
-                frequency[terms] += 1
+                seen[ids] = True
+                frequency[np.flatnonzero(seen)] += 1
+                seen[ids] = False
                 total += 1
                 rows += [(doc, at, window, _crc(ids[at : at + window]), n, 0, None) for at in range(0, tail, window)]
                 if tail < n:
-                    part = np.unique(ids[tail:])
-                    first, second = (int(_mixed(part, s).min()) for s in (0x5BD1E995, 0x1B873593))
+                    first, second = (int(_mixed(ids[tail:], s).min()) for s in (0x5BD1E995, 0x1B873593))
                     rows.append((doc, tail, n - tail, 0, n, first << 31 | second >> 1, ids[tail:].tobytes()))
             yield flush()
         if total:
-            seen = np.flatnonzero(frequency)
-            rows.append((None, total, -1, 0, 0, 0, np.stack([seen, frequency[seen]]).astype("<i8").tobytes()))
+            terms = np.flatnonzero(frequency)
+            rows.append((None, total, -1, 0, 0, 0, np.stack([terms, frequency[terms]]).astype("<i8").tobytes()))
             yield flush()
 
     return stored(text_of(docs).mapInArrow(run, PIECES))
