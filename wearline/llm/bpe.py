@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from wearline.llm.common import blocks, per_worker, text_of
 from wearline.llm.tokens import BYTE_LEVEL, byte_alphabet
 
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

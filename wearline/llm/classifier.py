@@ -12,6 +12,7 @@ from wearline.llm.common import blocks, remainder, text_of
 PASSAGE_BYTES = 1024
 SAMPLE_ROWS = 6000
 SAMPLE_PASSAGES = 32
+_AT_ONCE = 256
 HIDDEN, ATTENTION = 24, 12
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!?", b"|", b"#*$%&<>^~", b"\"'()[]{}-_/\\@=+`"]
@@ -36,12 +37,17 @@ def passages(text: str) -> np.ndarray:
 
     Features: square roots of the shares of character-class pairs, the share of
     repeated 8-byte strings, the share of repeated 24-byte strings, and how full
-    the passage is.
+    the passage is. Long texts are worked on in parts of ``_AT_ONCE`` passages.
     """
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    step = _AT_ONCE * PASSAGE_BYTES
+    return np.concatenate([_features(data[at : at + step]) for at in range(0, max(1, len(data)), step)])
+
+
+def _features(data: np.ndarray) -> np.ndarray:
     n = max(1, -(-len(data) // PASSAGE_BYTES))
     out = np.zeros((n, WIDTH), dtype=np.float32)
-    if len(data) < 2:
+    if not len(data):
         return out
     kinds = _TABLE[data]
     pair = kinds[:-1].astype(np.int32) * _CLASSES + kinds[1:]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -50,6 +51,15 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on and serves other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``size`` bytes of text (one row at least)."""
     for batch in batches:
@@ -57,6 +67,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
         if batch.nbytes <= size:
             if n:
                 yield batch
+            release()
             continue
         lengths = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
         while at < n:
@@ -66,3 +77,4 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
                 end += 1
             yield batch.slice(at, end - at)
             at = end
+        release()

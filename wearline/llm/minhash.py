@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import blocks, stored
+from wearline.llm.common import blocks, release, stored
 from wearline.llm.graphs import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -20,6 +20,7 @@ BANDS, ROWS = 10, 4
 LEAST_SHARE = 0.001
 _COUNTED_WORDS = 200_000
 _HUBS = 2
+_SKETCHED_BYTES = 1 << 20
 _BLOCK, _COLUMNS = 256, 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
@@ -144,7 +145,7 @@ def _sketched(rows: DataFrame, shared, bands: int) -> DataFrame:
 
     def run(batches):
         sampler = shared.value
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=_SKETCHED_BYTES):
             texts = batch.column("text").to_pylist()
             copies = [_copy(words(t)) for t in texts]
             sets = [sampler.shingles(t) for t in texts]
@@ -274,6 +275,7 @@ def _block_links(rooted: DataFrame, texts: DataFrame, shared, similarity: float)
         sides = [b == low[0] for b in block] if low[0] != high[0] else None
         ids = table.column("id").to_pylist()
         found = block_links(shared.value, table.column("text").to_pylist(), table.column("root").to_pylist(), sides, similarity)
+        release()
         pairs = [sorted((ids[i], ids[j])) for i, j in found]
         return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
 

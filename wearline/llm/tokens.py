@@ -16,7 +16,7 @@ import numpy as np
 
 from wearline.llm.common import per_worker
 
-KEPT_CHUNKS = 1_200_000
+KEPT_CHUNKS = 500_000
 #: Up to this letter the pattern classes of all Unicode versions agree.
 LAST_SIMPLE = "\u024f"
 #: A space inside white space, where the byte-level pattern looks at the whole run.
