@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import PROSE, odd_rows, table
 from wearline.llm import graphs, lines, minhash, rules, suffixes
 
@@ -97,6 +98,35 @@ def test_line_dedup_keeps_null_text(spark):
     assert len(rows) == 1 and rows[0].text is None
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_short_lines_go(spark, threshold):
+    draw = random.Random(threshold)
+    pool = ["Yes.", "No.", "a", "ab", "abc", "Page 1", "Page 12", "Contents", "Read more", "", "  ", " ".join(PROSE)]
+    rows = [(i, "\n".join(draw.choices(pool, k=4))) for i in range(30)]
+    first = {}
+    for doc, text in rows:
+        for part in text.split("\n"):
+            first.setdefault(part.strip(SPACES), doc)
+    first.pop("")
+    hashes = {r.line: (r.h, r.h2) for r in spark.createDataFrame([(x,) for x in first], "line string").select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")).collect()}
+    linked = [(a, b) for a in first for b in first if a < b and min(len(a), len(b)) > threshold and edits(a, b) <= threshold]
+    near = {max(pair, key=lambda x: (first[x], *hashes[x])) for pair in linked}
+    degree = Counter(x for pair in linked for x in pair)
+    want = []
+    for doc, text in rows:
+        kept, here = [], set()
+        for part in text.split("\n"):
+            line = part.strip(SPACES)
+            if not line or not (line in near or first[line] < doc or line in here):
+                kept.append(part)
+            here.add(line)
+        want.append((doc, sum(degree[x] for x in here), "\n".join(kept)))
+    found = lines.deduplicated(table(spark, rows), threshold, least_chars=1).select("doc_id", "n_links", "text").collect()
+    assert sorted(map(tuple, found)) == want and linked
+    query = spark.createDataFrame([(1, "Yes.\none"), (2, "Yes.\ntwo hundred")], "doc_id long, text string")
+    assert [tuple(r) for r in corpus_pipeline.line_dedup(spark, query, "").orderBy("doc_id").select("text").collect()] == [("Yes.\none",), ("two hundred",)]
+
+
 def brute_rules(rows, share, least):
     words = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t, _ in rows]
     normal, hosts, seen = [], Counter(), Counter()

@@ -172,7 +172,8 @@ def _slots(rows: DataFrame) -> DataFrame:
 def links(lines: DataFrame, seen: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different lines within ``threshold`` edits: ``h, h2`` and ``g, g2``, each pair once.
 
-    ``seen`` counts the lines (h, n). Lines in the slot of a repeated one are made
+    Only lines of more than ``threshold`` characters have the segments and take
+    part. ``seen`` counts the lines (h, n). Lines in the slot of a repeated one are made
     distinct; the others are so already and stay where they are. Lines of length
     L are indexed by their threshold + 1 segments; a line probes the segments of
     lines as long or shorter with its own substrings. Of the index a probe meets
@@ -183,6 +184,7 @@ def links(lines: DataFrame, seen: DataFrame, threshold: int = THRESHOLD) -> Data
     fetched, after the same kind of slot filter, and
     compared within blocks.
     """
+    lines = lines.filter(F.col("n") > threshold)
     repeated = _slots(seen.filter("n > 1"))
     base = lines.select("line", "n", "h", "slot")
     different = base.join(repeated, "slot", "left_anti").select("line", "n", "h").unionByName(
@@ -238,7 +240,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     """``docs``, all columns, with repeated lines taken out of ``text``, and the columns ``n_lines``, ``n_removed``, ``n_near``, ``n_links``.
 
     Lines are compared without white space at their ends; those under
-    ``least_chars`` characters stay. A line goes if the same line stands earlier
+    ``least_chars`` characters stay (with 1, only empty lines do), and those of up
+    to ``threshold`` characters go only for the same line. A line goes if the same line stands earlier
     (in a document with a smaller id, or above it in its own), or if an earlier
     line is within ``threshold`` edits: earlier by the smallest id of a document
     that has it, then by hash. ``n_links`` counts, over the document's different

@@ -38,7 +38,7 @@ def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_segment_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that stand, up to two edits, in an earlier place."""
-    return lines.digest(_table(spark, folder, "documents"), threshold=2)
+    return lines.digest(_table(spark, folder, "documents"), threshold=2, least_chars=1)
 
 
 @_query
