@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -223,6 +224,42 @@ def test_minhash_classes(spark, monkeypatch, block):
     assert minhash.classes(table(spark, [])).collect() == []
 
 
+def test_minhash_weighs_rare_words(spark):
+    """Over 1,000 rows, pairs that differ in a word of 1 and of 3 documents, at both sides of the limit."""
+    draw = random.Random(10)
+    fill = [f"f{i}" for i in range(40)]
+    rows = [(10_000 + i, " ".join(draw.choices(fill, k=12))) for i in range(3300)]
+    for i in range(120):
+        own = [f"{'common' if i % 2 else 'p'}{i}x{k}" if draw.random() < 0.6 else draw.choice(fill) for k in range(draw.randint(24, 80))]
+        changed = list(own)
+        changed[-draw.randint(2, 9)] = f"q{i}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(changed))]
+        if i % 3 == 0:
+            rows += [(50_000 + 3 * i + k, f"q{i} " + " ".join(draw.choices(fill, k=12))) for k in range(2)]
+    seen = Counter(w for _, t in rows for w in set(minhash.words(t)))
+    exact = minhash.Sampler({w: 1 + math.log(len(rows) / n) for w, n in seen.items()}, 0.0, 4)
+    limited = minhash.Sampler({w: 1 + math.log(len(rows) / max(n, 0.001 * len(rows))) for w, n in seen.items()}, 0.0, 4)
+    text = dict(rows)
+
+    def alike(sampler, i):
+        return sampler.similarity(sampler.shingles(text[2 * i]), sampler.shingles(text[2 * i + 1]))
+
+    df = table(spark, rows)
+    found = {r.doc_id: r.class_id for r in minhash.classes(df).collect()}
+    assert len(found) == len(rows)
+    close = [i for i in range(120) if alike(exact, i) < 0.8 or alike(exact, i) > 0.83]
+    assert all((found[2 * i + 1] == found[2 * i]) <= (alike(exact, i) >= 0.8) for i in range(120))
+    assert sum((found[2 * i + 1] == found[2 * i]) == (alike(exact, i) >= 0.8) for i in close) >= len(close) - 2
+    # the weights the texts bring are the true ones
+    texts = minhash._with_key(df.select("doc_id", "text"))
+    counted = minhash.frequencies(texts)
+    sampler, total, least = minhash._frequent(counted, 4, minhash.LEAST_SHARE)
+    given = minhash._rare_words(texts, counted, spark.sparkContext.broadcast(sampler), least)
+    brought = {bytes(w): n for r in given.collect() for w, n in zip(r.rare, r.ns)}
+    assert total == len(rows) and brought == {w: n for w, n in seen.items() if n < least} and set(sampler.idf) == set(seen) - set(brought)
+    assert any(alike(exact, i) != pytest.approx(alike(limited, i), abs=1e-3) for i in range(120))
+
+
 def test_samples_agree_with_similarity():
     draw = random.Random(8)
     idf = {w.encode(): 1 + draw.random() * 5 for w in PROSE}

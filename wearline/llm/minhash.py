@@ -16,7 +16,7 @@ from wearline.llm.graphs import components
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
-#: Words in a smaller share of the documents all weigh the same, so at most 1000 x the mean number of distinct words have a weight of their own.
+#: Words in a smaller share of the documents are joined, not broadcast, so at most 1000 x the mean number of distinct words are in memory.
 LEAST_SHARE = 0.001
 _COUNTED_WORDS = 200_000
 _HUBS = 2
@@ -52,6 +52,9 @@ class Sampler:
     interval by the shingle's hash, takes t = floor(ln w / r + b), and keeps the
     shingle with the least ln c - r (t - b) - r. Two texts agree in (shingle, t)
     with the probability of their weighted Jaccard similarity.
+
+    Frequent words' weights are in ``idf``; a text brings those of its other
+    words as ``own``, and a word in neither weighs ``rare``.
     """
 
     def __init__(self, idf: dict[bytes, float], rare: float, samples: int, seed: int = 3):
@@ -61,21 +64,21 @@ class Sampler:
         self.r = draw.gamma(2, 1, 1 << 12)
         self.log_c = np.log(draw.gamma(2, 1, 1 << 16))
 
-    def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, text: str, own: dict[bytes, float] = {}) -> tuple[np.ndarray, np.ndarray]:
         """Hashes, ascending, and weights."""
-        hashes, unit, count = self.counted(text)
+        hashes, unit, count = self.counted(text, own)
         return hashes, unit * count
 
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(self, text: str, own: dict[bytes, float] = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, ascending, inverse document frequencies and counts. A text under five words is one shingle; one without words has none."""
-        own = words(text)
-        if not own:
+        tokens = words(text)
+        if not tokens:
             return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
         number: dict[bytes, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in own])
+        at = np.array([number.setdefault(w, len(number)) for w in tokens])
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)[at]
-        weight = np.array([self.idf.get(w, self.rare) for w in number])[at]
-        n, width = max(1, len(own) - WIDTH + 1), min(WIDTH, len(own))
+        weight = np.array([self.idf[w] if w in self.idf else own.get(w, self.rare) for w in number])[at]
+        n, width = max(1, len(tokens) - WIDTH + 1), min(WIDTH, len(tokens))
         whole, sums = np.full(n, width, dtype=np.uint64), np.zeros(n)
         for k in range(width):
             whole = (whole ^ hashed[k : k + n]) * _U(0x9E3779B97F4A7C15)
@@ -111,8 +114,8 @@ class Sampler:
         return float(shared / total) if total else 0.0
 
 
-def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float = LEAST_SHARE) -> Sampler:
-    """The sampler with the document frequencies of all rows of ``docs``."""
+def frequencies(docs: DataFrame) -> DataFrame:
+    """``word, n``: the rows of ``docs`` that have it; the empty word counts all rows."""
 
     def run(batches):
         counts: Counter[bytes] = Counter()
@@ -131,16 +134,61 @@ def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float
         if counts:
             yield flush()
 
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = stored(counted)
+    return stored(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def _idf(total: int, n: int) -> float:
+    return 1 + float(np.log(max(1, total) / n))
+
+
+def _frequent(counted: DataFrame, samples: int, least_share: float) -> tuple[Sampler, int, float]:
+    """The sampler of the words in at least a share of the rows, all rows, and that share of them."""
     total = (counted.filter(F.col("word") == F.lit(b"")).agg(F.max("n")).first()[0]) or 0
     least = max(1.0, least_share * total)
     rows = counted.filter(F.col("n") >= least).collect()
-    idf = {bytes(w): 1 + float(np.log(max(1, total) / n)) for w, n in rows if bytes(w)}
-    return Sampler(idf, 1 + float(np.log(max(1, total) / least)), samples)
+    return Sampler({bytes(w): _idf(total, n) for w, n in rows if bytes(w)}, _idf(total, 1), samples), total, least
+
+
+def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float = LEAST_SHARE) -> Sampler:
+    """The sampler with the document frequencies of all rows of ``docs``; words under ``least_share`` come with the texts."""
+    return _frequent(frequencies(docs), samples, least_share)[0]
+
+
+def _own(batch: pa.RecordBatch, total: int, prefix: str = "") -> list[dict[bytes, float]]:
+    """The weights each text brings, from its lists of words and of their frequencies."""
+    given, ns = (batch.column(prefix + c).to_pylist() for c in ("rare", "ns"))
+    return [{w: _idf(total, n) for w, n in zip(g or (), k or ())} for g, k in zip(given, ns)]
+
 
+def _with_key(texts: DataFrame) -> DataFrame:
+    """With ``key``, by which a text finds the frequencies of its words."""
+    return texts.withColumn("key", F.xxhash64("doc_id", "text"))
 
-def _sketched(rows: DataFrame, shared, bands: int) -> DataFrame:
+
+def _rare_words(texts: DataFrame, counted: DataFrame, shared, least: float) -> DataFrame:
+    """``key, rare, ns``: each text's words that are not broadcast, and in how many rows each is.
+
+    They are joined by word with the stored counts; a word here is in fewer than
+    ``least`` rows. Texts under one key share a list, which holds the words of all.
+    """
+
+    def run(batches):
+        known = shared.value.idf
+        for batch in blocks(batches):
+            keys, found = [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                own = [w for w in set(words(text)) if w not in known]
+                keys += [key] * len(own)
+                found += own
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "word"])
+
+    pairs = texts.select("key", "text").mapInArrow(run, "key long, word binary")
+    met = pairs.join(counted.filter(F.col("n") < least).hint("shuffle_hash"), "word")
+    lists = met.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("x"))
+    return stored(lists.select("key", F.col("x")["word"].alias("rare"), F.col("x")["n"].alias("ns")))
+
+
+def _sketched(rows: DataFrame, shared, total: int, bands: int) -> DataFrame:
     """``doc_id, copy`` (hash of the word sequence) and ``bands`` (null without words)."""
 
     def run(batches):
@@ -148,7 +196,7 @@ def _sketched(rows: DataFrame, shared, bands: int) -> DataFrame:
         for batch in blocks(batches, size=_SKETCHED_BYTES):
             texts = batch.column("text").to_pylist()
             copies = [_copy(words(t)) for t in texts]
-            sets = [sampler.shingles(t) for t in texts]
+            sets = [sampler.shingles(t, own) for t, own in zip(texts, _own(batch, total))]
             full = [i for i, s in enumerate(sets) if len(s[0])]
             found: list[list[int] | None] = [None] * len(texts)
             if full:
@@ -167,7 +215,7 @@ def _sketched(rows: DataFrame, shared, bands: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, copy binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shared, total: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough. The text of a frequent ``b`` follows in a join that Spark can split."""
 
     def run(batches):
@@ -175,16 +223,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) ->
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             one, other = batch.column("one").to_pylist(), batch.column("other").to_pylist()
+            one_own, other_own = _own(batch, total, "one_"), _own(batch, total, "other_")
             keep = []
             for i in range(len(a)):
                 if last[0] != b[i]:
-                    last = (b[i], sampler.shingles(other[i]))
-                keep.append(sampler.similarity(sampler.shingles(one[i]), last[1]) >= similarity)
+                    last = (b[i], sampler.shingles(other[i], other_own[i]))
+                keep.append(sampler.similarity(sampler.shingles(one[i], one_own[i]), last[1]) >= similarity)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
-    return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+    def side(id: str, name: str) -> DataFrame:
+        return texts.select(F.col("id").alias(id), F.col("text").alias(name), F.col("rare").alias(f"{name}_rare"), F.col("ns").alias(f"{name}_ns")).hint("merge")
+
+    both = pairs.join(side("a", "one"), "a").join(side("b", "other"), "b")
+    return both.select("a", "b", *[f"{x}{c}" for x in ("one", "other") for c in ("", "_rare", "_ns")]).mapInArrow(run, "a long, b long")
 
 
 def _hub_pairs(rooted: DataFrame) -> DataFrame:
@@ -206,7 +257,9 @@ def _hub_pairs(rooted: DataFrame) -> DataFrame:
     return hubs.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
 
-def block_links(sampler: Sampler, texts: list[str], roots: list[int], sides: list[bool] | None, similarity: float) -> list[tuple[int, int]]:
+def block_links(
+    sampler: Sampler, texts: list[str], roots: list[int], sides: list[bool] | None, similarity: float, own: list[dict[bytes, float]] | None = None
+) -> list[tuple[int, int]]:
     """Links that join different roots, a spanning set of them, among the texts of one or two blocks.
 
     ``sides`` tells two blocks apart, of which only pairs across count. The
@@ -214,7 +267,7 @@ def block_links(sampler: Sampler, texts: list[str], roots: list[int], sides: lis
     text has n times is n columns. A pair close to the limit is measured again
     without the product's rounding.
     """
-    sets = [sampler.counted(t) for t in texts]
+    sets = [sampler.counted(t, w) for t, w in zip(texts, own or [{}] * len(texts))]
     total = np.array([(u * n).sum() for _, u, n in sets])
     hashes, unit, count = (np.concatenate([s[i] for s in sets]) for i in range(3))
     owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
@@ -257,7 +310,7 @@ def block_links(sampler: Sampler, texts: list[str], roots: list[int], sides: lis
     return found
 
 
-def _block_links(rooted: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+def _block_links(rooted: DataFrame, texts: DataFrame, shared, total: int, similarity: float) -> DataFrame:
     """Links between the roots of each band value that still has several, by pairs of blocks of its members.
 
     A task holds two blocks of ``_BLOCK`` members; it emits links that join
@@ -274,7 +327,7 @@ def _block_links(rooted: DataFrame, texts: DataFrame, shared, similarity: float)
         block, low, high = (table.column(c).to_pylist() for c in ("block", "low", "high"))
         sides = [b == low[0] for b in block] if low[0] != high[0] else None
         ids = table.column("id").to_pylist()
-        found = block_links(shared.value, table.column("text").to_pylist(), table.column("root").to_pylist(), sides, similarity)
+        found = block_links(shared.value, table.column("text").to_pylist(), table.column("root").to_pylist(), sides, similarity, _own(table, total))
         release()
         pairs = [sorted((ids[i], ids[j])) for i, j in found]
         return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
@@ -293,6 +346,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     between classes. So no link between classes is lost, and pairs are never
     rows. A link inside a class changes nothing and is not looked at.
 
+    Every word weighs by its own document frequency over all rows: that of the
+    words in a share of ``LEAST_SHARE`` is broadcast, the others' is joined.
+
     A text under five words is one shingle; texts without words (null, empty)
     are copies of each other. Rows without id have a null class. Each row has the
     class of its own text, also if its id stands for several; repeated rows each
@@ -300,8 +356,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast(sampler_of(texts, bands * rows))
-    sketched = stored(_sketched(texts, shared, bands))
+    texts = _with_key(texts)
+    counted = frequencies(texts)
+    sampler, total, least = _frequent(counted, bands * rows, LEAST_SHARE)
+    shared = spark.sparkContext.broadcast(sampler)
+    weights = _rare_words(texts, counted, shared, least)
+    sketched = stored(_sketched(texts.join(weights.hint("merge"), "key", "left"), shared, total, bands))
     copies = sketched.filter("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
     copies = stored(copies.withColumn("id", F.monotonically_increasing_id()))
     members = copies.select("id", F.explode("bands").alias("band"))
@@ -315,18 +375,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     def matching(batches):
         for batch in batches:
             same = [_copy(words(t)) == c for t, c in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist())]
-            yield batch.select(["id", "text"]).filter(pa.array(same, pa.bool_()))
+            yield batch.select(["id", "text", "key"]).filter(pa.array(same, pa.bool_()))
 
-    texts = texts.join(meeting, "doc_id").select("id", "copy", "text").mapInArrow(matching, "id long, text string")
-    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")))
+    texts = texts.join(meeting, "doc_id").select("id", "copy", "text", "key").mapInArrow(matching, "id long, text string, key long")
+    texts = texts.groupBy("id").agg(F.min(F.struct("text", "key")).alias("x")).select("id", "x.*")
+    texts = stored(texts.join(weights.hint("merge"), "key", "left").select("id", "text", "rare", "ns"))
     rooted = members.withColumn("root", F.col("id"))
     links = None
     for _ in range(_HUBS):
         pairs = _hub_pairs(rooted).distinct()
-        found = stored(_verified(pairs, texts, shared, similarity))
+        found = stored(_verified(pairs, texts, shared, total, similarity))
         links = found if links is None else stored(links.unionByName(found))
         rooted = stored(members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    found = stored(_block_links(rooted, texts, shared, similarity))
+    found = stored(_block_links(rooted, texts, shared, total, similarity))
     roots = components(links.unionByName(found))
     named = copies.join(roots, "id", "left").select("copy", "first", F.coalesce("root", "id").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
