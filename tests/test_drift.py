@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wearline.functions.tails import student_upper
+from tests.conftest import at
 from wearline.operators import drift, slices
+from wearline.plans import retraining
 
 RNG = np.random.default_rng(7)
 
@@ -121,3 +123,14 @@ def test_class_helpers(spark):
         drift.first_max_index(F.col("p")).alias("i"), drift.one_hot(F.lit(5), 4).alias("h")
     ).first()
     assert row["i"] == 1 and row["h"] == [0.0, 1.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_broken_predictions_are_refused_not_dropped(spark, bad):
+    rows = [(at(-86_400 * d), 10.0 if d > 7 else bad, 9.0) for d in range(1, 15)]
+    rows += [(at(0), None, 1.0), (at(0), 1.0, None)]
+    audit = spark.createDataFrame(rows, "created_at timestamp, predicted_rul double, actual_rul double")
+    kept = retraining.error_rows(audit, at(0))
+    assert kept.count() == 14
+    with pytest.raises(ValueError, match="non-finite"):
+        drift.concept_drift(kept, "abs_error", "side")

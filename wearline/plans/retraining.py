@@ -35,13 +35,16 @@ class Sizes:
 
 
 def error_rows(audit: DataFrame, as_of: datetime) -> DataFrame:
-    """All absolute errors, with ``side`` 0 before and 1 within the last week; rows without an error are left out."""
+    """All absolute errors, with ``side`` 0 before and 1 within the last week; rows without a prediction or an actual value are left out.
+
+    NaN and infinite errors stay: ``concept_drift`` refuses them.
+    """
     cut = F.lit(as_of) - F.expr(f"INTERVAL {ERROR_DAYS} DAYS")
     rows = audit.select(
         "created_at", F.abs(F.col("predicted_rul") - F.col("actual_rul")).alias("abs_error")
     )
     side = F.when(F.col("created_at") < cut, 0).otherwise(1)
-    return rows.withColumn("side", side).where(F.col("abs_error").isNotNull() & ~F.isnan("abs_error"))
+    return rows.withColumn("side", side).where(F.col("abs_error").isNotNull())
 
 
 def time_windows(features: DataFrame, share: float = REFERENCE_SHARE) -> tuple[DataFrame, DataFrame]:
