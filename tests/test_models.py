@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wearline.operators import labels
-from wearline.plans import models, retraining, training
+from wearline.plans import models, queries_models, retraining, training
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
 SMALL = retraining.Sizes(boost_trees=4, boost_depth=3, forest_trees=6, forest_depth=4)
@@ -140,3 +140,21 @@ def test_cross_validation(data):
         data, ["a", "b"], ["computed_at", "machine_id"], "health_label", n_folds=1, classify=True, trees=3, depth=3
     )
     assert 0 <= out.first()["accuracy"] <= 1
+
+
+def test_queries_train_models_of_the_default_sizes(spark, monkeypatch):
+    sizes = []
+
+    def record(rows, features, *args, **options):
+        sizes.append(options)
+        raise StopIteration
+
+    monkeypatch.setattr(training, "train_health", record)
+    monkeypatch.setattr(training, "train_rul", record)
+    monkeypatch.setattr(training, "train_rul_ensemble", record)
+    monkeypatch.setattr(training, "cross_validate", record)
+    names = ["rf_health", "rf_health_metrics", "feature_importance", "gbt_rul", "rul_intervals", "batch_scoring", "walk_forward_scores"]
+    for name in names:
+        with pytest.raises(StopIteration):
+            getattr(queries_models, name)(spark, "/root/testdata/sf0.001")
+    assert len(sizes) == len(names) and not any(sizes)

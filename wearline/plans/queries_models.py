@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wearline import session
 from wearline.operators import labels, metrics, splits
 from wearline.operators.rolling import rolling_stats
 from wearline.plans import offline, roles, training
@@ -12,8 +13,6 @@ from wearline.plans.queries_datasets import cycles
 from wearline.plans.roles import DAY_S, EVENT_ORDER
 
 FEATURES = ["value", "mean", "std", "max", "cycle"]
-# Sizes of the registered runs; the library defaults are larger.
-TREES, DEPTH, BOOST = 12, 6, 8
 
 
 @query(
@@ -46,12 +45,12 @@ def offline_dataset(spark, folder):
 
 
 def training_rows(spark, folder):
-    """Wide feature rows with both labels."""
+    """Wide feature rows with both labels, stored once: every tree level and fold reads them."""
     base = cycles(spark, folder)
     rolled = rolling_stats(
         base, [7 * DAY_S], keys=["machine_id"], order=EVENT_ORDER, stats=["mean", "std", "max"]
     )
-    return labels.assign_health(labels.assign_rul(rolled))
+    return session.cut(labels.assign_health(labels.assign_rul(rolled)))
 
 
 def _parts(spark, folder):
@@ -64,7 +63,7 @@ def _parts(spark, folder):
 def rf_health(spark, folder):
     """Forest trained on the train machines, predictions on the test machines."""
     train, test = _parts(spark, folder)
-    model = training.train_health(train, FEATURES, trees=TREES, depth=DEPTH)
+    model = training.train_health(train, FEATURES)
     scored = training.predict_health(model, test, FEATURES)
     return scored.select(
         "machine_id",
@@ -78,7 +77,7 @@ def rf_health(spark, folder):
 @query("rf_health_metrics")
 def rf_health_metrics(spark, folder):
     train, test = _parts(spark, folder)
-    model = training.train_health(train, FEATURES, trees=TREES, depth=DEPTH)
+    model = training.train_health(train, FEATURES)
     return metrics.classification_metrics(
         training.predict_health(model, test, FEATURES), "health_label", "predicted_label"
     )
@@ -87,14 +86,14 @@ def rf_health_metrics(spark, folder):
 @query("feature_importance")
 def feature_importance(spark, folder):
     train, _ = _parts(spark, folder)
-    model = training.train_health(train, FEATURES, trees=TREES, depth=DEPTH)
+    model = training.train_health(train, FEATURES)
     return training.feature_importance(model, train, FEATURES)
 
 
 @query("gbt_rul")
 def gbt_rul(spark, folder):
     train, test = _parts(spark, folder)
-    model = training.train_rul(train, FEATURES, trees=BOOST)
+    model = training.train_rul(train, FEATURES)
     scored = training.predict_rul(model, test, FEATURES)
     return metrics.regression_metrics(scored, "rul_cycles", "predicted_rul")
 
@@ -103,7 +102,7 @@ def gbt_rul(spark, folder):
 def rul_intervals(spark, folder):
     """Per-tree spread as interval, with every field of a prediction."""
     train, test = _parts(spark, folder)
-    model = training.train_rul_ensemble(train, FEATURES, trees=TREES, depth=DEPTH)
+    model = training.train_rul_ensemble(train, FEATURES)
     return training.predict_rul_interval(model, test, FEATURES).select(
         "machine_id",
         "event_id",
@@ -122,8 +121,8 @@ def batch_scoring(spark, folder):
     """Every event as a scoring request, alternating in type; zero k makes a bad request."""
     rows = training_rows(spark, folder)
     train = splits.rows_of_split(rows, splits.machine_split(rows.select("machine_id")), "train")
-    rul = training.train_rul_ensemble(train, FEATURES, trees=TREES, depth=DEPTH)
-    health = training.train_health(train, FEATURES, trees=TREES, depth=DEPTH)
+    rul = training.train_rul_ensemble(train, FEATURES)
+    health = training.train_health(train, FEATURES)
     pairs = [x for c in FEATURES for x in (F.lit(c), F.col(c).cast("double"))]
     named = F.create_map(*pairs)
     even = F.pmod("event_id", F.lit(2)) == 0
@@ -144,6 +143,4 @@ def batch_scoring(spark, folder):
 @query("walk_forward_scores")
 def walk_forward_scores(spark, folder):
     rows = training_rows(spark, folder)
-    return training.cross_validate(
-        rows, FEATURES, EVENT_ORDER, "rul_cycles", n_folds=2, trees=4, depth=3
-    )
+    return training.cross_validate(rows, FEATURES, EVENT_ORDER, "rul_cycles")
