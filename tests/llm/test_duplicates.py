@@ -255,8 +255,11 @@ def test_minhash_weighs_rare_words(spark):
     counted = minhash.frequencies(texts)
     sampler, total, least = minhash._frequent(counted, 4, minhash.LEAST_SHARE)
     given = minhash._rare_words(texts, counted, spark.sparkContext.broadcast(sampler), least)
-    brought = {bytes(w): n for r in given.collect() for w, n in zip(r.rare, r.ns)}
-    assert total == len(rows) and brought == {w: n for w, n in seen.items() if n < least} and set(sampler.idf) == set(seen) - set(brought)
+    with_text = [(r.text or "", r.rare) for r in texts.join(given, "key", "left").collect()]
+    brought = {w: x for own in minhash._own(*map(list, zip(*with_text)), sampler, total) for w, x in own.items()}
+    assert total == len(rows) and sampler.rare == pytest.approx(exact.idf[b"q1"])
+    assert brought and brought == pytest.approx({w: exact.idf[w] for w, n in seen.items() if 1 < n < least})
+    assert sampler.idf == pytest.approx({w: exact.idf[w] for w, n in seen.items() if n >= least})
     assert any(alike(exact, i) != pytest.approx(alike(limited, i), abs=1e-3) for i in range(120))
 
 

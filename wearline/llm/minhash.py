@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -20,6 +21,7 @@ BANDS, ROWS = 10, 4
 LEAST_SHARE = 0.001
 _COUNTED_WORDS = 200_000
 _HUBS = 2
+_NUMBER = 40
 _SKETCHED_BYTES = 1 << 20
 _BLOCK, _COLUMNS = 256, 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -138,7 +140,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 
 def _idf(total: int, n: int) -> float:
-    return 1 + float(np.log(max(1, total) / n))
+    return 1 + math.log(max(1, total) / n)
 
 
 def _frequent(counted: DataFrame, samples: int, least_share: float) -> tuple[Sampler, int, float]:
@@ -154,10 +156,18 @@ def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float
     return _frequent(frequencies(docs), samples, least_share)[0]
 
 
-def _own(batch: pa.RecordBatch, total: int, prefix: str = "") -> list[dict[bytes, float]]:
-    """The weights each text brings, from its lists of words and of their frequencies."""
-    given, ns = (batch.column(prefix + c).to_pylist() for c in ("rare", "ns"))
-    return [{w: _idf(total, n) for w, n in zip(g or (), k or ())} for g, k in zip(given, ns)]
+def _apart(text: str, idf: dict[bytes, float]) -> list[bytes]:
+    """The text's distinct words that are not broadcast, by first place."""
+    return [w for w in dict.fromkeys(words(text)) if w not in idf]
+
+
+def _own(texts: list[str], rare: list[list[int] | None], sampler: Sampler, total: int) -> list[dict[bytes, float]]:
+    """The weights each text brings; ``rare`` has word numbers and frequencies as ``_rare_words`` packs them."""
+    out = []
+    for text, packed in zip(texts, rare):
+        names = _apart(text, sampler.idf) if packed else []
+        out.append({names[x >> _NUMBER]: _idf(total, x & ((1 << _NUMBER) - 1)) for x in packed or ()})
+    return out
 
 
 def _with_key(texts: DataFrame) -> DataFrame:
@@ -166,26 +176,27 @@ def _with_key(texts: DataFrame) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, counted: DataFrame, shared, least: float) -> DataFrame:
-    """``key, rare, ns``: each text's words that are not broadcast, and in how many rows each is.
+    """``key, rare``: for each text's words that are not broadcast, but in two rows or more, the number in ``_apart`` and the rows that have it.
 
     They are joined by word with the stored counts; a word here is in fewer than
-    ``least`` rows. Texts under one key share a list, which holds the words of all.
+    ``least`` rows. A word without an entry is in one row. Both numbers share a long.
     """
 
     def run(batches):
         known = shared.value.idf
         for batch in blocks(batches):
-            keys, found = [], []
+            keys, places, found = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                own = [w for w in set(words(text)) if w not in known]
+                own = _apart(text, known)
                 keys += [key] * len(own)
+                places += range(len(own))
                 found += own
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "word"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], names=["key", "at", "word"])
 
-    pairs = texts.select("key", "text").mapInArrow(run, "key long, word binary")
-    met = pairs.join(counted.filter(F.col("n") < least).hint("shuffle_hash"), "word")
-    lists = met.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("x"))
-    return stored(lists.select("key", F.col("x")["word"].alias("rare"), F.col("x")["n"].alias("ns")))
+    pairs = texts.select("key", "text").mapInArrow(run, "key long, at long, word binary")
+    met = pairs.join(counted.filter((F.col("n") > 1) & (F.col("n") < least)).hint("shuffle_hash"), "word")
+    packed = met.select("key", (F.shiftleft("at", _NUMBER) + F.col("n")).alias("x"))
+    return stored(packed.groupBy("key").agg(F.collect_set("x").alias("rare")))
 
 
 def _sketched(rows: DataFrame, shared, total: int, bands: int) -> DataFrame:
@@ -196,7 +207,7 @@ def _sketched(rows: DataFrame, shared, total: int, bands: int) -> DataFrame:
         for batch in blocks(batches, size=_SKETCHED_BYTES):
             texts = batch.column("text").to_pylist()
             copies = [_copy(words(t)) for t in texts]
-            sets = [sampler.shingles(t, own) for t, own in zip(texts, _own(batch, total))]
+            sets = [sampler.shingles(t, own) for t, own in zip(texts, _own(texts, batch.column("rare").to_pylist(), sampler, total))]
             full = [i for i, s in enumerate(sets) if len(s[0])]
             found: list[list[int] | None] = [None] * len(texts)
             if full:
@@ -223,7 +234,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, total: int, similarity
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             one, other = batch.column("one").to_pylist(), batch.column("other").to_pylist()
-            one_own, other_own = _own(batch, total, "one_"), _own(batch, total, "other_")
+            one_own, other_own = (_own(t, batch.column(c).to_pylist(), sampler, total) for t, c in ((one, "one_rare"), (other, "other_rare")))
             keep = []
             for i in range(len(a)):
                 if last[0] != b[i]:
@@ -232,10 +243,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, total: int, similarity
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(id: str, name: str) -> DataFrame:
-        return texts.select(F.col("id").alias(id), F.col("text").alias(name), F.col("rare").alias(f"{name}_rare"), F.col("ns").alias(f"{name}_ns")).hint("merge")
+        return texts.select(F.col("id").alias(id), F.col("text").alias(name), F.col("rare").alias(f"{name}_rare")).hint("merge")
 
     both = pairs.join(side("a", "one"), "a").join(side("b", "other"), "b")
-    return both.select("a", "b", *[f"{x}{c}" for x in ("one", "other") for c in ("", "_rare", "_ns")]).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", *[f"{x}{c}" for x in ("one", "other") for c in ("", "_rare")]).mapInArrow(run, "a long, b long")
 
 
 def _hub_pairs(rooted: DataFrame) -> DataFrame:
@@ -327,7 +338,9 @@ def _block_links(rooted: DataFrame, texts: DataFrame, shared, total: int, simila
         block, low, high = (table.column(c).to_pylist() for c in ("block", "low", "high"))
         sides = [b == low[0] for b in block] if low[0] != high[0] else None
         ids = table.column("id").to_pylist()
-        found = block_links(shared.value, table.column("text").to_pylist(), table.column("root").to_pylist(), sides, similarity, _own(table, total))
+        sampler, own = shared.value, table.column("text").to_pylist()
+        weights = _own(own, table.column("rare").to_pylist(), sampler, total)
+        found = block_links(sampler, own, table.column("root").to_pylist(), sides, similarity, weights)
         release()
         pairs = [sorted((ids[i], ids[j])) for i, j in found]
         return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
@@ -379,7 +392,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     texts = texts.join(meeting, "doc_id").select("id", "copy", "text", "key").mapInArrow(matching, "id long, text string, key long")
     texts = texts.groupBy("id").agg(F.min(F.struct("text", "key")).alias("x")).select("id", "x.*")
-    texts = stored(texts.join(weights.hint("merge"), "key", "left").select("id", "text", "rare", "ns"))
+    texts = stored(texts.join(weights.hint("merge"), "key", "left").select("id", "text", "rare"))
     rooted = members.withColumn("root", F.col("id"))
     links = None
     for _ in range(_HUBS):
