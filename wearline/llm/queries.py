@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, classifier, lines, lm, minhash, packing, rules, suffixes, tokenfile, topk
+from wearline.llm import bestfit, bpe, classifier, lines, lm, minhash, packing, rules, runs, scan, suffixes, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,56 @@ def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class of near duplicates."""
     return minhash.classes(_table(spark, folder, "documents"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's periodic runs of words, and digests of them and of the text without their repeats."""
+    return runs.digest(_table(spark, folder, "documents"), least=24, exponent=3)
+
+
+@_query
+def op12_dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in sequences of at most 4096 ids."""
+    return bestfit.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=1)
+
+
+@_query
+def op13_automaton_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty documents with the highest lexical score for every benchmark item."""
+    return scan.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=50)
+
+
+ORACLES["op13_automaton_search"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), sizes AS (
+    SELECT id, doc_id, len(w) AS n FROM d WHERE len(w) > 0
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), hits AS (
+    SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM asked) GROUP BY id, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM hits GROUP BY term), totals
+), parts AS (
+    SELECT id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part
+    FROM hits JOIN weights USING (term) JOIN sizes USING (id), totals
+), scores AS (
+    SELECT item_id, doc_id, id, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) JOIN sizes USING (id)
+    GROUP BY item_id, doc_id, id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
