@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.operators.slices import AUTO, HOME, SLICE, axis, resolve, with_lookback
+from wearline.operators import moving
+from wearline.operators.slices import AUTO, resolve
 
 CONSTANT_BELOW = 1e-12  # a deviation below this counts as a constant signal
-MICROS = 1_000_000
 
 
 def sensor_pairs(sensors: list[str]) -> list[tuple[str, str]]:
@@ -33,36 +33,21 @@ def rolling_pearson(
 
     Null when a pair has fewer than ``min_samples`` rows with both values, or
     when either signal is constant. ``aligned`` promises that every row carries
-    all sensors; each sensor's spread is then computed once, not once per pair.
+    all sensors, so no row has to be left out of a pair. Work per row grows with
+    the logarithm of the frame only (``moving``).
     """
     if min_samples < 2:
         raise ValueError(f"min_samples must be at least 2, got {min_samples}")
-    length = resolve(df, keys, order, slice_length)
-    base = with_lookback(df, order, length, window_s * MICROS).withColumn("_at", axis(df, order))
-    frame = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy("_at")
-        .rangeBetween(-window_s * MICROS, Window.currentRow)
-    )
-    outputs = []
-    for a, b in sensor_pairs(sensors):
-        left, right = F.col(a), F.col(b)
-        if not aligned:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            left, right = F.when(both, F.col(a)), F.when(both, F.col(b))
-        spread_a = F.stddev_pop(left).over(frame)
-        spread_b = F.stddev_pop(right).over(frame)
-        usable = (
-            (F.count(F.lit(1) if aligned else left).over(frame) >= min_samples)
-            & (spread_a >= CONSTANT_BELOW)
-            & (spread_b >= CONSTANT_BELOW)
-        )
-        value = F.try_divide(F.covar_pop(left, right).over(frame), spread_a * spread_b)
-        outputs.append(F.when(usable, value).alias(f"{a}_x_{b}_pearson"))
-    return (
-        base.select(*df.columns, SLICE, HOME, *outputs)
-        .where(F.col(SLICE) == F.col(HOME))
-        .drop(SLICE, HOME)
+    return moving.moving_pearson(
+        df,
+        sensor_pairs(sensors),
+        window_s,
+        keys=keys,
+        order=order,
+        min_samples=min_samples,
+        constant_below=CONSTANT_BELOW,
+        aligned=aligned,
+        length=resolve(df, keys, order, slice_length),
     )
 
 

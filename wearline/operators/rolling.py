@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.operators import moving
 from wearline.operators.slices import (
     AUTO,
     HOME,
@@ -33,25 +34,6 @@ def _frame(keys: list[str], window_s: int) -> Window:
     )
 
 
-def _statistics(window, value: Column, step: Column, wanted: list[str]) -> list[Column]:
-    """Statistics of one frame; ``step`` is |change| against the preceding row."""
-    n = F.count(value).over(window)
-    lowest, highest = F.min(value).over(window), F.max(value).over(window)
-    # The first row's step reaches outside the frame, so it is taken back out.
-    moved = F.sum(step).over(window) - F.coalesce(F.first(step).over(window), F.lit(0.0))
-    by_name = {
-        "mean": F.avg(value).over(window),
-        "std": F.stddev_pop(value).over(window),
-        "min": lowest,
-        "max": highest,
-        "median": F.percentile(value, F.lit(0.5)).over(window),
-        "rms": F.sqrt(F.avg(value * value).over(window)),
-        "range": highest - lowest,
-        "rate_of_change": F.when(n >= 2, moved / (n - 1)),
-    }
-    return [by_name[name].alias(name) for name in wanted]
-
-
 def rolling_stats(
     df: DataFrame,
     windows_s: list[int],
@@ -65,33 +47,19 @@ def rolling_stats(
 ) -> DataFrame:
     """One row per reading and window size, with ``window_s``, ``n`` and the statistics.
 
-    All frames share one shuffle and one sort. Rows whose frame holds fewer
-    than ``min_rows`` samples are not emitted.
+    One shuffle and one sort; work per row does not grow with the window
+    (``moving``). Rows whose frame holds fewer than ``min_rows`` samples are not
+    emitted. Null values do not count; rows without a time share a frame.
     """
-    length = resolve(df, keys, order[0], slice_length)
-    base = with_lookback(df, order[0], length, max(windows_s) * MICROS)
-    base = base.withColumn("_at", axis(df, order[0]))
-    arrival = Window.partitionBy(*keys, SLICE).orderBy("_at", *order[1:])
-    if "rate_of_change" in stats:
-        step = F.abs(F.col(value) - F.lag(value).over(arrival))
-        base = base.withColumn("_step", step)
-    else:
-        base = base.withColumn("_step", F.lit(None).cast("double"))
-    per_window = []
-    for w in windows_s:
-        frame = _frame(keys, w)
-        base_stats = _statistics(frame, F.col(value), F.col("_step"), stats)
-        per_window.append(
-            F.struct(
-                F.lit(w).alias("window_s"), F.count(value).over(frame).alias("n"), *base_stats
-            )
-        )
-    return (
-        base.select(*df.columns, SLICE, HOME, F.array(*per_window).alias("_w"))
-        .where(F.col(SLICE) == F.col(HOME))
-        .select(*df.columns, F.explode("_w").alias("_w"))
-        .select(*df.columns, "_w.*")
-        .where(F.col("n") >= min_rows)
+    return moving.moving_statistics(
+        df,
+        windows_s,
+        stats,
+        keys=keys,
+        order=order,
+        value=value,
+        min_rows=min_rows,
+        length=resolve(df, keys, order[0], slice_length),
     )
 
 
