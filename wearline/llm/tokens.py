@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with the ids of chunks kept per worker.
 
-A text is cut before spaces where no token can cross, each new chunk is encoded
-once by the library, and the text's ids are the chunks' ids in order. A text in
-which a cut could matter is encoded whole.
+A text is cut before spaces where no token can cross. The ids of each new chunk
+are those of its pre-tokens, each of which the library's model encodes once;
+``word`` and ``word,`` share one. The text's ids are the chunks' ids in order. A
+text in which a cut could matter is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ import numpy as np
 
 from wearline.llm.common import per_worker
 
-KEPT_CHUNKS = 500_000
+#: Chunks and pre-tokens that stay in memory together.
+KEPT_CHUNKS = 800_000
 #: Up to this letter the pattern classes of all Unicode versions agree.
 LAST_SIMPLE = "\u024f"
+#: Characters that are a pre-token of their own after letters, whatever the letters.
+_MARKS = frozenset('.,;:!?)]}"%&*#$')
 #: A space inside white space, where the byte-level pattern looks at the whole run.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 #: The byte-level pre-tokenizer's pattern.
@@ -33,7 +37,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """ids(texts) as ``encode(text, add_special_tokens=False).ids``; at most ``KEPT_CHUNKS`` chunks stay in memory."""
+    """ids(texts) as ``encode(text, add_special_tokens=False).ids``; about ``KEPT_CHUNKS`` entries stay in memory."""
 
     def __init__(self, path: str):
         import regex
@@ -47,15 +51,16 @@ class ChunkEncoder:
             content = json.load(file)
         self.special = [t["content"] for t in content["added_tokens"]]
         self.keeps_space = content["pre_tokenizer"]["type"] == "ByteLevel"
-        #: What NFC, white space and lower case, the steps of the known files, do to ASCII.
+        #: Of the known files' NFC, white space and lower case, what acts on characters up to ``LAST_SIMPLE``.
         self.lowers = content["normalizer"] is not None
-        self.normal = self.tokenizer.normalizer.normalize_str if content["normalizer"] else str
         split = BYTE_LEVEL if self.keeps_space else content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pretokens = regex.compile(split).findall
         self.alphabet = byte_alphabet()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.space = self.alphabet[0x20]
         self.known = _Chunks(self._one, " " if self.keeps_space else "")
+        self.pieces = _Chunks(self._piece, "")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -69,21 +74,33 @@ class ChunkEncoder:
     def _one(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk.isascii():
-            text = chunk.lower() if self.lowers else chunk
-        elif max(chunk) > LAST_SIMPLE:
+        if not chunk.isascii() and max(chunk) > LAST_SIMPLE:
             return self._whole(chunk)
+        # composition leaves these characters alone, so lower case is all that changes them
+        text = chunk.lower() if self.lowers else chunk
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return self.pieces[text]
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return self.pieces[text[:-1]] + self.pieces[word[-1]]
+        pieces = self.pretokens(text)
+        if len(pieces) == 1:
+            return self.pieces[pieces[0]]
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, written in the byte alphabet (printable ASCII stands for itself)."""
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.space)
         else:
-            text = self.normal(chunk)
-        tokenize, alphabet, ids = self.model.tokenize, self.alphabet, []
-        for piece in self.pretokens(text):
-            ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
-        return array(self.code, ids).tobytes()
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``dtype``."""
-        if len(self.known) > KEPT_CHUNKS:
+        if len(self.known) + len(self.pieces) > KEPT_CHUNKS:
             self.known.clear()
+            self.pieces.clear()
         found = []
         for text in texts:
             if not self._cuttable(text):
@@ -92,7 +109,8 @@ class ChunkEncoder:
                 first, *rest = text.split(" ")
                 found.append((self._one(first) if first else b"") + b"".join(map(self.known.__getitem__, rest)))
             else:
-                found.append(b"".join(map(self.known.__getitem__, text.split(" "))))
+                # white space is dropped, so a line's end cuts as a space does
+                found.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
         return found
 
 
