@@ -54,7 +54,7 @@ def test_features_equal_batch(spark, tmp_path, cuts):
     )
     out = str(tmp_path / "out")
     drain(jobs.start(processed, lambda b, i: jobs.write_batch(b, out, i), str(tmp_path / "cp"), available_now=True))
-    stream = {r["seq"]: r for r in jobs.read_batches(spark, out).collect()}
+    stream = {r["seq"]: r for r in jobs.assembled(jobs.read_batches(spark, out)).collect()}
 
     batch = quality.check_quality(
         spark.createDataFrame(rows, READING), limits, as_of=as_of, order=order
@@ -102,7 +102,7 @@ def test_reset_and_late_rows(spark, tmp_path):
     out = str(tmp_path / "out")
     processed = jobs.feature_rows(source, windows_s=[30], fft_sensors=[], as_of=F.lit(at(99)))
     drain(jobs.start(processed, lambda b, i: jobs.write_batch(b, out, i), str(tmp_path / "cp"), available_now=True))
-    got = {r["seq"]: r["windows"][0]["temporal"] for r in jobs.read_batches(spark, out).collect()}
+    got = {r["seq"]: r["windows"][0]["temporal"] for r in jobs.assembled(jobs.read_batches(spark, out)).collect()}
     assert got[1]["t_30s_mean"] == 2.0
     assert got[2]["t_30s_mean"] == 1.5 and got[2]["t_cumulative_mean"] == 2.0
     assert "t_30s_mean" not in got[3] and got[3]["t_cumulative_mean"] == 9.0

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,14 +18,19 @@ from wearline.functions.spectral import FEATURES, spectral_features
 from wearline.operators import quality, rollups, rules
 from wearline.operators.correlation import array_pearson, sensor_pairs
 from wearline.operators.incidents import build_incidents
-from wearline.schemas import DEFAULT_WINDOWS_S
+from wearline.schemas import DEFAULT_WINDOWS_S, RULE
 from wearline.sources import messages, tables
 from wearline.streaming.processors import (
-    ALERT_OUTPUT,
-    READING_OUTPUT,
-    AlertProcessor,
-    ReadingProcessor,
+    FIRED,
+    ORDERED_PREDICTION,
+    ORDERED_READING,
+    WINDOW_OUTPUT,
+    CooldownProcessor,
+    PredictionOrder,
+    ReadingOrder,
+    WindowProcessor,
 )
+from wearline.streaming.windows import STATS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
@@ -34,6 +39,7 @@ FFT_SENSORS = ["vibration_rms", "vibration_x", "vibration_y"]
 FFT_RATE_HZ = 100.0
 FFT_MIN_SAMPLES = 32
 PEARSON_MIN_SAMPLES = 10
+LATE_LABEL = "\x00late"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -81,6 +87,18 @@ def start(
 # --- readings to features ------------------------------------------------------
 
 
+def _ordered(df: DataFrame, time: str, delay: str | None) -> tuple[DataFrame, str]:
+    """``df`` with its watermark set, and the time mode of the ordering step.
+
+    The time goes on as a number: what the ordering step finds late is its own
+    to report, so no row may be dropped before it.
+    """
+    timed = df.withColumn(time, F.col(time).cast("timestamp"))
+    if delay is None:
+        return timed, "none"
+    return timed.withWatermark(time, delay), "eventTime"
+
+
 def feature_rows(
     readings: DataFrame,
     *,
@@ -88,38 +106,114 @@ def feature_rows(
     limits: quality.QualityLimits = quality.QualityLimits(),
     as_of=None,
     fft_sensors: list[str] = FFT_SENSORS,
+    delay: str | None = None,
     delay_s: int = 0,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Decoded readings (with ``seq`` and ``value``) to processed rows.
-
-    The processor keeps per-machine state; rejection before it and outliers
-    after it are plain expressions. One shuffle, by machine.
+    """Decoded readings (with ``seq`` and ``value``) to the parts of processed rows; ``assembled`` joins them.
+
+    Two keyed steps. By machine, readings are put in order and take from the
+    reading before what quality needs; then each sensor's windows are kept by
+    machine and sensor. Rejection before and outliers between are expressions.
+
+    With ``delay`` a reading waits until the watermark, that far behind the
+    newest time, has passed it; one that comes later than that is marked
+    ``late`` and changes nothing. Without it readings are taken as they come, and
+    one behind its time is put into windows that still reach it (``delay_s``
+    keeps samples longer for such). A key without readings for ``ttl_ms`` is
+    forgotten.
     """
     clock = F.current_timestamp() if as_of is None else as_of
     flags = quality.stateless_flags(limits, clock)
     reject = flags["MISSING_ID"] | flags["FUTURE_TIMESTAMP"] | flags["NULL_FRACTION_HIGH"]
     original = F.col("value") if "value" in readings.columns else F.lit(None)
     reset = F.col("reset") if "reset" in readings.columns else F.lit(False)
-    keyed = quality.null_counts(readings).select(
+    timed, mode = _ordered(readings, "recorded_at", delay)
+    at = F.unix_micros("recorded_at")
+    keyed = quality.null_counts(timed).select(
         "machine_id",
-        F.col("recorded_at").cast("timestamp").alias("recorded_at"),
-        F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("at"),
+        F.timestamp_micros(at).alias("recorded_at"),
+        at.alias("at"),
         F.col("seq").cast("long").alias("seq"),
         "readings",
-        reject.alias("rejected"),
+        F.coalesce(reject, F.lit(False)).alias("rejected"),
         original.cast("string").alias("original"),
-        reset.alias("reset"),
+        F.coalesce(reset, F.lit(False)).alias("reset"),
     )
-    processed = keyed.groupBy("machine_id").transformWithState(
-        ReadingProcessor(windows_s, fft_sensors, delay_s, ttl_ms), READING_OUTPUT, "append", _time_mode(ttl_ms)
+    waits = delay is not None
+    ordered = keyed.groupBy("machine_id").transformWithState(
+        ReadingOrder(waits, ttl_ms), ORDERED_READING, "append", mode if waits else _time_mode(ttl_ms)
     )
     states = dict(quality.stateless_flags(limits, clock))
     states["DUPLICATE_TIMESTAMP"] = F.col("duplicate")
     states["OUTLIER_DETECTED"] = ~F.col("rejected") & quality.outlier_flag(F.col("filled"), limits)
-    bits, names = quality.flag_columns(states)
-    counted = quality.null_counts(processed)
-    return counted.withColumn("flag_bits", bits).withColumn("quality_flags", names).drop("_size", "_nulls")
+    bits, names = quality.flag_columns({k: F.coalesce(v, F.lit(False)) for k, v in states.items()})
+    flagged = quality.null_counts(ordered).withColumn("flag_bits", bits).withColumn("quality_flags", names)
+    entry = "struct<sensor:string,value:double,whole:boolean>"
+    reading = F.array(F.struct(F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(True)).cast(entry))
+    sensors = F.transform(F.map_entries("filled"), lambda e: F.struct(e["key"], e["value"], F.lit(False)).cast(entry))
+    used = ~F.col("late") & ~F.col("rejected")
+    parts = flagged.withColumn("_part", F.explode(F.when(used, F.concat(reading, sensors)).otherwise(reading)))
+    whole = F.col("_part.whole")
+    payload = ["late", "rejected", "duplicate", "readings", "filled", "original", "flag_bits", "quality_flags"]
+    split = parts.select(
+        "machine_id",
+        "recorded_at",
+        "at",
+        "seq",
+        "segment",
+        F.col("_part.sensor").alias("sensor"),
+        F.col("_part.value").alias("value"),
+        *[F.when(whole, F.col(c)).alias(c) for c in payload],
+    )
+    return split.groupBy("machine_id", "sensor").transformWithState(
+        WindowProcessor(windows_s, fft_sensors, delay_s, ttl_ms), WINDOW_OUTPUT, "append", _time_mode(ttl_ms)
+    )
+
+
+_READING = ["machine_id", "recorded_at", "seq"]
+_PAYLOAD = ["late", "rejected", "duplicate", "readings", "filled", "original", "flag_bits", "quality_flags"]
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """One row per reading: its flags and values, and ``windows`` with feature and sample maps. One shuffle, by reading."""
+    w = F.concat(F.col("window_s").cast("string"), F.lit("s"))
+
+    def entry(name: Column, value: str) -> Column:
+        return F.struct(name.alias("key"), F.col(value).alias("value"))
+
+    rolling = [entry(F.concat_ws("_", "sensor", w, F.lit(s)), s) for s in STATS]
+    running = [entry(F.concat_ws("_", "sensor", F.lit(s)), s) for s in ("cumulative_mean", "cumulative_max")]
+    entries = F.when(F.col("mean").isNotNull(), F.array(*rolling, *running)).otherwise(F.array(*running))
+    of_sensor = F.col("window_s").isNotNull()
+    by_window = (
+        parts.repartition(*_READING)
+        .withColumn("_whole", F.when(~of_sensor, F.struct(*_PAYLOAD)))
+        .groupBy(*_READING, "window_s")
+        .agg(
+            F.first("_whole", ignorenulls=True).alias("_whole"),
+            F.map_from_entries(F.flatten(F.collect_list(F.when(of_sensor, entries)))).alias("temporal"),
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("samples").isNotNull(), F.struct("sensor", "samples")))
+            ).alias("samples"),
+        )
+    )
+    window = F.when(F.col("window_s").isNotNull(), F.struct("window_s", "temporal", "samples"))
+    rows = by_window.groupBy(*_READING).agg(
+        F.first("_whole", ignorenulls=True).alias("_whole"), F.collect_list(window).alias("windows")
+    )
+    ordered = F.array_sort("windows", lambda a, b: a["window_s"] - b["window_s"])
+    return rows.select(*_READING, "_whole.*", ordered.alias("windows"))
+
+
+def late_rows(parts: DataFrame) -> DataFrame:
+    """The readings that came after the watermark had passed their time."""
+    return parts.where("late").select("machine_id", "recorded_at", "seq", "readings", "original", "rejected")
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """How many late rows each micro-batch brought; ``path`` is a table of batches."""
+    return read_batches(spark, path).groupBy(BATCH).agg(F.count("*").alias("late_rows"))
 
 
 def computed_features(
@@ -130,8 +224,8 @@ def computed_features(
     fft_min: int = FFT_MIN_SAMPLES,
     pearson_min: int = PEARSON_MIN_SAMPLES,
 ) -> DataFrame:
-    """One feature row per accepted reading and window, in three maps."""
-    rows = processed.where(~F.col("rejected")).select(
+    """One feature row per accepted reading in time and window, in three maps; of ``assembled`` rows."""
+    rows = processed.where(~F.col("rejected") & ~F.col("late")).select(
         "machine_id", F.col("recorded_at").alias("computed_at"), F.explode("windows").alias("w")
     )
     samples = F.col("w.samples")
@@ -178,7 +272,7 @@ def computed_features(
 def feature_job(
     raw: DataFrame, out: str, checkpoint: str, *, group_id: str = "features", **options
 ) -> StreamingQuery:
-    """Raw JSON messages to three tables: readings, features, dead letters."""
+    """Raw JSON messages to tables: readings, features, late readings, dead letters of both kinds."""
     use_rocksdb(raw.sparkSession)
     run = {k: options.pop(k) for k in ("available_now", "trigger") if k in options}
     decoded = messages.decode(raw, "reading").withColumn("seq", F.col("offset"))
@@ -188,16 +282,18 @@ def feature_job(
     fft = {k: v for k, v in options.items() if k == "fft_sensors"}
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        readings = batch.where(~F.col("rejected")).select(
+        rows = assembled(batch).persist()
+        in_time = rows.where(~F.col("late"))
+        readings = in_time.where(~F.col("rejected")).select(
             "machine_id", "recorded_at", F.col("filled").alias("readings"), "quality_flags"
         )
         write_batch(readings, f"{out}/readings", batch_id)
-        write_batch(computed_features(batch, **fft), f"{out}/features", batch_id)
-        rejects = batch.where("rejected").withColumn("value", F.col("original"))
+        write_batch(computed_features(rows, **fft), f"{out}/features", batch_id)
+        rejects = in_time.where("rejected").withColumn("value", F.col("original"))
         letters = messages.stage_envelope(rejects, "quality_rejected", F.col("quality_flags"))
         write_batch(letters, f"{out}/rejects", batch_id)
-        batch.unpersist()
+        write_batch(late_rows(rows), f"{out}/late", batch_id)
+        rows.unpersist()
 
     def broken_sink(batch: DataFrame, batch_id: int) -> None:
         write_batch(messages.decode_envelope(batch, group_id), f"{out}/undecoded", batch_id)
@@ -251,64 +347,48 @@ def alert_rows(
     rule_table: DataFrame,
     *,
     window_s: int = 300,
+    delay: str | None = None,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Predictions (with ``seq``) to fired rules after cooldown, ready for ``build_incidents``.
+    """Predictions (with ``seq``) to fired rules after cooldown, ready for ``build_incidents``; late predictions marked.
 
-    Rules the row alone decides are one array expression; the processor adds
-    the drop-rate rules and applies cooldowns. The rule set is a bounded
-    authored dimension and travels with the processor.
+    Two keyed steps: by machine, predictions are put in order and get the one
+    before (``delay`` as in ``feature_rows``); by machine and rule, hits pass the
+    cooldown. Between them rules are looked up as in a batch (``rules.rule_hits``),
+    so any number of rules costs no literals. Late predictions come out once,
+    without a rule.
     """
-    usable = rules.prepared_rules(rule_table).collect()
-    drops = {r["rule_id"]: r["_number"] for r in usable if r["condition_type"] == "rul_drop_rate"}
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(r["rule_id"]).alias("rule_id"),
-                F.lit(r["condition_type"]).alias("kind"),
-                F.lit(r["_number"]).cast("double").alias("number"),
-                F.lit(r["_text"]).alias("text"),
-            )
-            for r in usable
-            if r["rule_id"] not in drops
-        ]
-    )
-    firing = F.filter(known, lambda r: rules.condition(r["kind"], r["number"], r["text"]))
-    timed = predictions.select(
+    timed, mode = _ordered(predictions, "predicted_at", delay)
+    at = F.unix_micros("predicted_at")
+    keyed = timed.select(
         "machine_id",
-        F.col("predicted_at").cast("timestamp").alias("predicted_at"),
-        F.unix_micros(F.col("predicted_at").cast("timestamp")).alias("at"),
+        F.timestamp_micros(at).alias("predicted_at"),
+        at.alias("at"),
         F.col("seq").cast("long").alias("seq"),
         "rul_cycles",
         "health_label",
         "anomaly_score",
-        rules.anomalous_sensors(F.col("anomaly_score")).alias("active_sensor_count"),
-        F.lit(None).cast("double").alias("previous_rul"),
     )
-    hit_rules = F.transform(firing, lambda r: r["rule_id"]) if len(drops) < len(usable) else F.array().cast("array<string>")
-    keyed = timed.select("machine_id", "predicted_at", "at", "seq", "rul_cycles", hit_rules.alias("hit_rules"))
-    cooldowns = {r["rule_id"]: int(r["cooldown_s"]) for r in usable}
-    fired = keyed.groupBy("machine_id").transformWithState(
-        AlertProcessor(drops, cooldowns, window_s, ttl_ms), ALERT_OUTPUT, "append", _time_mode(ttl_ms)
+    waits = delay is not None
+    ordered = keyed.groupBy("machine_id").transformWithState(
+        PredictionOrder(waits, ttl_ms), ORDERED_PREDICTION, "append", mode if waits else _time_mode(ttl_ms)
     )
-    names = F.array(
-        *[
-            F.struct(
-                F.lit(r["rule_id"]).alias("rule_id"),
-                F.lit(r["rule_name"]).alias("rule_name"),
-                F.lit(r["severity"]).alias("severity"),
-                F.lit(r["condition_type"]).alias("condition_type"),
-            )
-            for r in usable
-        ]
+    context = ordered.withColumn("active_sensor_count", rules.anomalous_sensors(F.col("anomaly_score")))
+    # A late row fires no rule but one made to carry it: a label that no prediction has.
+    late, values = F.col("late"), ["rul_cycles", "health_label", "anomaly_score", "active_sensor_count"]
+    seen = {c: F.when(~late, F.col(c)) for c in values}
+    seen["health_label"] = F.when(late, F.lit(LATE_LABEL)).otherwise(F.col("health_label"))
+    marked = context.withColumn("_was", F.struct(*values)).withColumns(seen)
+    carrier = [(None, None, None, None, "health_label_is", {"label": LATE_LABEL}, 0, True)]
+    table = rule_table.select(*RULE.names).unionByName(predictions.sparkSession.createDataFrame(carrier, RULE))
+    hits = rules.rule_hits(marked, table).select(
+        "machine_id", "predicted_at", "at", "seq", "late", "previous_rul", "_was.*", *rules.RULE_FIELDS
+    )
+    return (
+        hits.groupBy("machine_id", "rule_id")
+        .transformWithState(CooldownProcessor(window_s, ttl_ms), FIRED, "append", _time_mode(ttl_ms))
+        .withColumn("window_start", F.timestamp_micros("window_start"))
     )
-    rule = F.filter(names, lambda n: n["rule_id"] == F.col("rule_id"))[0]
-    return fired.select(
-        "*",
-        rule["rule_name"].alias("rule_name"),
-        rule["severity"].alias("severity"),
-        rule["condition_type"].alias("condition_type"),
-    ).withColumn("window_start", F.timestamp_micros("window_start"))
 
 
 def alert_job(
@@ -317,20 +397,25 @@ def alert_job(
     out: str,
     checkpoint: str,
     window_s: int = 300,
+    delay: str | None = None,
     ttl_ms: int | None = None,
     **run,
 ) -> StreamingQuery:
-    """Writes fired rules and incident rows; ``notify`` marks the opener of each window."""
+    """Writes fired rules, incident rows and late predictions; ``notify`` marks the opener of each window."""
     use_rocksdb(predictions.sparkSession)
-    fired = alert_rows(predictions, rule_table, window_s=window_s, ttl_ms=ttl_ms)
+    rows = alert_rows(predictions, rule_table, window_s=window_s, delay=delay, ttl_ms=ttl_ms)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        write_batch(batch, f"{out}/fired", batch_id)
-        write_batch(build_incidents(batch), f"{out}/incidents", batch_id)
+        fired = batch.where(~F.col("late"))
+        write_batch(fired, f"{out}/fired", batch_id)
+        write_batch(build_incidents(fired), f"{out}/incidents", batch_id)
+        if delay is not None:
+            kept = ["machine_id", "predicted_at", "seq", "rul_cycles", "health_label", "anomaly_score"]
+            write_batch(batch.where("late").select(*kept), f"{out}/late", batch_id)
         batch.unpersist()
 
-    return start(fired, sink, checkpoint, **run)
+    return start(rows, sink, checkpoint, **run)
 
 
 # --- scoring -------------------------------------------------------------------------

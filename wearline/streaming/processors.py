@@ -1,26 +1,22 @@
-"""Keyed-state processors. State holds only what the next reading needs."""
+"""Keyed-state processors.
+
+An ordering processor per machine holds rows back until the watermark has passed
+their time, so that what depends on the previous row sees rows in order of time
+however they arrive. What it hands on goes to finer keys: windows per machine
+and sensor, cooldowns per machine and rule, so a busy machine keeps several
+tasks busy and the ordering step does little per row.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wearline.functions.windowing import MICROS, statistics, window_bounds
-
-READING_STATE = (
-    "at long, readings map<string,double>, buffers map<string,"
-    "struct<at:array<long>,v:array<double>,n:long,mean:double,top:double>>"
-)
-READING_OUTPUT = (
-    "machine_id string, recorded_at timestamp, seq long, rejected boolean, duplicate boolean, "
-    "readings map<string,double>, filled map<string,double>, original string, "
-    "windows array<struct<window_s:int,temporal:map<string,double>,"
-    "samples:map<string,array<double>>>>"
-)
+from wearline.functions.windowing import MICROS
+from wearline.streaming.windows import STATS, SensorWindows
 
 
 def _as_dict(entries) -> dict[str, float]:
@@ -32,142 +28,325 @@ def _absent(value: float | None) -> bool:
     return value is None or value != value
 
 
-class ReadingProcessor(StatefulProcessor):
-    """Quality context and rolling features of one machine.
+class InOrder(StatefulProcessor):
+    """Rows of one key by ``(at, seq)``.
+
+    With ``waits`` a row is kept until the watermark reaches its time ``at``
+    (microseconds); a timer then hands on all rows that are due, in order. A row
+    whose time the watermark has passed already is late: it is handed on at once,
+    marked, and touches no state. Without ``waits`` rows are handed on as they
+    come, in order within a micro-batch. Rows without a time count as late.
 
-    Input rows carry ``at`` (microseconds), ``seq``, ``rejected`` and
-    ``readings``. Kept per machine: the last accepted reading; per sensor: the
-    samples of the longest window plus the allowed delay, and the cumulative
-    mean and maximum. ``reset`` rows clear everything.
+    Subclasses give the schemas, ``opened`` (the state when there is none),
+    ``step`` (state and row to state and output) and ``late`` (the output of a
+    late row). ``idle_ms``: a key without rows for so long loses its state, by
+    event time with ``waits`` and by processing time without.
     """
 
-    def __init__(self, windows_s: list[int], sample_sensors: list[str], delay_s: int, ttl_ms: int | None):
-        self.windows = sorted(windows_s)
-        self.sampled = set(sample_sensors)
-        self.keep = (max(windows_s) + delay_s) * MICROS
-        self.ttl = ttl_ms
+    pending_schema: str
+    known_schema: str
+
+    def __init__(self, waits: bool, idle_ms: int | None = None):
+        self.waits, self.idle = waits, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # One value per machine: every state access is a round trip to the JVM.
-        self.state = handle.getValueState("machine", READING_STATE, self.ttl)
+        self.handle = handle
+        self.known = handle.getValueState("known", self.known_schema, None if self.waits else self.idle)
+        self.pending = handle.getListState("pending", self.pending_schema) if self.waits else None
+
+    def opened(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, key: Any, state: tuple, row: tuple) -> tuple[tuple, Iterable[Row]]:
+        raise NotImplementedError
+
+    def late(self, key: Any, row: tuple) -> Row:
+        raise NotImplementedError
+
+    def received(self, row: Row) -> tuple:
+        """The row as it is kept: time and number first."""
+        raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r["at"], r["seq"]))
-        last_at, last, buffers = None, {}, {}
-        known = self.state.get()
-        if known is not None:
-            last_at, last = known[0], _as_dict(known[1])
-            buffers = {s: [list(b[0]), list(b[1]), *b[2:]] for s, b in _as_dict(known[2]).items()}
-        for row in ordered:
-            if row["reset"]:
-                last_at, last, buffers = None, {}, {}
-            duplicate = last_at is not None and row["at"] == last_at
-            given = _as_dict(row["readings"])
-            if row["rejected"]:
-                yield self._out(key, row, duplicate, given, given, [])
-                continue
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 if self.waits else 0
+        fresh = []
+        for row in map(self.received, rows):
+            if row[0] is None or (passed > 0 and row[0] <= passed):
+                yield self.late(key, row)
+            else:
+                fresh.append(row)
+        if not fresh:
+            return
+        if self.waits:
+            self.pending.appendList(fresh)
+            self.handle.registerTimer(self._due(min(r[0] for r in fresh)))
+        else:
+            yield from self._hand_on(key, fresh)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        due = [r for r in rows if r[0] <= passed]
+        rest = [r for r in rows if r[0] > passed]
+        if due:
+            self.pending.clear()
+            if rest:
+                self.pending.appendList(rest)
+                self.handle.registerTimer(self._due(min(r[0] for r in rest)))
+            yield from self._hand_on(key, due)
+            if self.idle is not None:
+                self.handle.registerTimer(self._due(max(r[0] for r in due)) + self.idle)
+        elif not rest and self.idle is not None and self.known.exists():
+            # the last row's own idle timer comes last
+            if self._due(self.known.get()[0]) + self.idle <= expiredTimerInfo.getExpiryTimeInMs():
+                self.known.clear()
+
+    @staticmethod
+    def _due(at: int) -> int:
+        """The first millisecond that is not before ``at``."""
+        return -(-at // 1000)
+
+    def _hand_on(self, key: Any, rows: list[tuple]) -> Iterator[Row]:
+        state = self.known.get()
+        state = self.opened() if state is None else tuple(state)
+        for row in sorted(rows, key=lambda r: r[:2]):
+            state, out = self.step(key, state, row)
+            yield from out
+        self.known.update(state)
+
+
+READING = "at long, seq long, recorded_at timestamp, rejected boolean, reset boolean, readings map<string,double>, original string"
+READING_STATE = "last_row long, at long, readings map<string,double>, segment long"
+ORDERED_READING = (
+    "machine_id string, recorded_at timestamp, at long, seq long, segment long, late boolean, "
+    "rejected boolean, duplicate boolean, readings map<string,double>, filled map<string,double>, original string"
+)
+
+
+class ReadingOrder(InOrder):
+    """What a reading's quality takes from the accepted reading before it: duplicate times, values to fill.
+
+    ``segment`` counts the machine's ``reset`` rows; a reset forgets the last reading.
+    """
+
+    pending_schema, known_schema = READING, READING_STATE
+
+    def opened(self) -> tuple:
+        return None, None, {}, 0
+
+    def received(self, row: Row) -> tuple:
+        return (
+            row["at"],
+            row["seq"],
+            row["recorded_at"],
+            row["rejected"],
+            row["reset"],
+            _as_dict(row["readings"]),
+            row["original"],
+        )
+
+    def step(self, key, state, row):
+        _, last_at, last, segment = state
+        at, seq, recorded_at, rejected, reset, readings, original = row
+        last, given = _as_dict(last), _as_dict(readings)
+        if reset:
+            last_at, last, segment = None, {}, segment + 1
+        duplicate = last_at is not None and at == last_at
+        filled = given
+        if not rejected:
             filled = {k: last.get(k, 0.0) if _absent(v) else v for k, v in given.items()}
-            for sensor, value in filled.items():
-                self._push(buffers.setdefault(sensor, [[], [], 0, 0.0, float("-inf")]), row["at"], value)
-            yield self._out(key, row, duplicate, given, filled, self._windows(buffers, filled, row["at"]))
-            last_at, last = row["at"], filled
-        self.state.update((last_at, last, {s: tuple(b) for s, b in buffers.items()}))
-
-    def _push(self, buffer: list, at: int, value: float) -> None:
-        times, values, n, mean, top = buffer
-        place = bisect_right(times, at)
-        times.insert(place, at)
-        values.insert(place, value)
-        stale = bisect_left(times, times[-1] - self.keep)
-        if stale:
-            del times[:stale], values[:stale]
-        buffer[2] = n + 1
-        buffer[3] = mean + (value - mean) / (n + 1)
-        buffer[4] = max(top, value)
-
-    def _windows(self, buffers: dict[str, list], filled: dict[str, float], at: int) -> list[tuple]:
-        out = []
-        for w in self.windows:
-            temporal: dict[str, float] = {}
-            samples: dict[str, list[float]] = {}
-            for sensor in filled:
-                times, values, _, mean, top = buffers[sensor]
-                low, high = window_bounds(times, at, w)
-                if high - low >= 2:
-                    part = values[low:high]
-                    for name, value in statistics(part).items():
-                        temporal[f"{sensor}_{w}s_{name}"] = value
-                    if sensor in self.sampled:
-                        samples[sensor] = part
-                temporal[f"{sensor}_cumulative_mean"] = mean
-                temporal[f"{sensor}_cumulative_max"] = top
-            out.append((w, temporal, samples))
-        return out
+            last_at, last = at, filled
+        out = self._out(key, row, given, filled, segment, duplicate, False)
+        return (at, last_at, last, segment), [out]
+
+    def late(self, key, row):
+        given = _as_dict(row[5])
+        return self._out(key, row, given, given, None, False, True)
 
     @staticmethod
-    def _out(key, row, duplicate, given, filled, windows) -> Row:
+    def _out(key, row, given, filled, segment, duplicate, late) -> Row:
+        at, seq, recorded_at, rejected, _, _, original = row
         return Row(
             machine_id=key[0],
-            recorded_at=row["recorded_at"],
-            seq=row["seq"],
-            rejected=row["rejected"],
+            recorded_at=recorded_at,
+            at=at,
+            seq=seq,
+            segment=segment,
+            late=late,
+            rejected=rejected,
             duplicate=duplicate,
             readings=given,
             filled=filled,
-            original=row["original"],
-            windows=windows,
+            original=original,
         )
 
 
-ALERT_STATE = "rul double, rules map<string,struct<fired:long,opened:long>>"
-ALERT_OUTPUT = (
-    "machine_id string, predicted_at timestamp, seq long, rul_cycles double, previous_rul double, "
-    "rule_id string, window_start long, notify boolean"
+WINDOW_STATE = "times binary, values binary, segment long, n long, mean double, top double"
+#: What a reading carries past the windows, and the windows' own columns.
+PAYLOAD = (
+    "late boolean, rejected boolean, duplicate boolean, readings map<string,double>, "
+    "filled map<string,double>, original string, flag_bits int, quality_flags array<string>"
+)
+WINDOW_OUTPUT = (
+    "machine_id string, recorded_at timestamp, seq long, sensor string, window_s int, n long, "
+    + ", ".join(f"{s} double" for s in STATS)
+    + ", cumulative_mean double, cumulative_max double, samples array<double>, "
+    + PAYLOAD
 )
+_PAYLOAD = [c.split(" ")[0] for c in PAYLOAD.replace("map<string,double>", "m").split(", ")]
+_NOTHING = dict.fromkeys([*STATS, "cumulative_mean", "cumulative_max", "samples"])
+_NO_PAYLOAD = dict.fromkeys(_PAYLOAD)
 
 
-class AlertProcessor(StatefulProcessor):
-    """Previous RUL, drop-rate rules, cooldowns and aggregation windows of one machine.
+class WindowProcessor(StatefulProcessor):
+    """Rolling and cumulative statistics of one sensor of one machine.
 
-    Input rows carry ``at``, ``seq``, ``rul_cycles`` and ``hit_rules``, the
-    rules the row alone decides. ``drop_limits`` maps drop-rate rules to their
-    limits, ``cooldowns`` every rule to its seconds.
+    Kept per key: the samples of the longest window plus ``delay_s``, and the
+    cumulative mean and maximum; ``segment`` clears them when it changes. Rows
+    without a sensor are readings on their way past the windows.
     """
 
-    def __init__(self, drop_limits: dict[str, float], cooldowns: dict[str, int], window_s: int, ttl_ms: int | None):
-        self.drops, self.cooldowns = drop_limits, cooldowns
-        self.window, self.ttl = window_s * MICROS, ttl_ms
+    def __init__(self, windows_s: list[int], sampled: list[str], delay_s: int, ttl_ms: int | None):
+        self.windows, self.sampled = sorted(windows_s), set(sampled)
+        self.keep = (max(windows_s) + delay_s) * MICROS
+        self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", ALERT_STATE, self.ttl)
+        self.state = handle.getValueState("sensor", WINDOW_STATE, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r["at"], r["seq"]))
+        machine, sensor = key
+        if sensor is None:
+            for row in rows:
+                payload = {c: row[c] for c in _PAYLOAD}
+                for c in ("readings", "filled"):
+                    payload[c] = _as_dict(payload[c])
+                yield Row(
+                    machine_id=machine, recorded_at=row["recorded_at"], seq=row["seq"], sensor=None, window_s=None, n=None, **_NOTHING, **payload
+                )
+            return
         known = self.state.get()
-        before, seen = None, {}
-        if known is not None:
-            before, seen = known[0], {rule: tuple(v) for rule, v in _as_dict(known[1]).items()}
-        for row in ordered:
-            hits = list(row["hit_rules"])
-            if before is not None and row["rul_cycles"] is not None:
-                hits += [r for r, limit in self.drops.items() if before - row["rul_cycles"] > limit]
-            for rule in hits:
-                fired, opened = seen.get(rule, (None, None))
-                if fired is not None and row["at"] - fired < self.cooldowns[rule] * MICROS:
-                    continue
-                notify = opened is None or row["at"] - opened > self.window
-                if notify:
-                    opened = row["at"]
-                seen[rule] = (row["at"], opened)
+        segment, n, mean, top = (None, 0, 0.0, float("-inf")) if known is None else known[2:]
+        buffer = SensorWindows(self.windows, self.keep, *(known[:2] if known is not None else ()))
+        for row in sorted(rows, key=lambda r: (r["at"], r["seq"])):
+            if row["segment"] != segment:
+                segment, n, mean, top = row["segment"], 0, 0.0, float("-inf")
+                buffer = SensorWindows(self.windows, self.keep)
+            at, value = row["at"], row["value"]
+            buffer.push(at, value)
+            n += 1
+            mean += (value - mean) / n
+            top = max(top, value)
+            for window, (size, found, (low, high)) in zip(self.windows, buffer.at(at)):
+                samples = list(buffer.values[low:high]) if sensor in self.sampled and size >= 2 else None
                 yield Row(
-                    machine_id=key[0],
-                    predicted_at=row["predicted_at"],
+                    machine_id=machine,
+                    recorded_at=row["recorded_at"],
                     seq=row["seq"],
-                    rul_cycles=row["rul_cycles"],
-                    previous_rul=before,
-                    rule_id=rule,
-                    window_start=opened,
-                    notify=notify,
+                    sensor=sensor,
+                    window_s=window,
+                    n=size,
+                    **dict(zip(STATS, found or (None,) * len(STATS))),
+                    cumulative_mean=mean,
+                    cumulative_max=top,
+                    samples=samples,
+                    **_NO_PAYLOAD,
                 )
-            before = row["rul_cycles"]
-        self.state.update((before, seen))
+        self.state.update((*buffer.packed(), segment, n, mean, top))
+
+
+PREDICTION = "at long, seq long, predicted_at timestamp, rul_cycles double, health_label string, anomaly_score double"
+PREDICTION_STATE = "last_row long, rul double"
+ORDERED_PREDICTION = (
+    "machine_id string, predicted_at timestamp, at long, seq long, rul_cycles double, health_label string, "
+    "anomaly_score double, previous_rul double, late boolean"
+)
+
+
+class PredictionOrder(InOrder):
+    """The remaining life that the prediction before stated."""
+
+    pending_schema, known_schema = PREDICTION, PREDICTION_STATE
+    _NAMES = ["at", "seq", "predicted_at", "rul_cycles", "health_label", "anomaly_score"]
+
+    def opened(self) -> tuple:
+        return None, None
+
+    def received(self, row: Row) -> tuple:
+        return tuple(row[c] for c in self._NAMES)
+
+    def step(self, key, state, row):
+        return (row[0], row[3]), [self._out(key, row, state[1], False)]
+
+    def late(self, key, row):
+        return self._out(key, row, None, True)
+
+    def _out(self, key, row, previous, late) -> Row:
+        values = dict(zip(self._NAMES, row))
+        return Row(
+            machine_id=key[0],
+            predicted_at=values["predicted_at"],
+            at=values["at"],
+            seq=values["seq"],
+            rul_cycles=values["rul_cycles"],
+            health_label=values["health_label"],
+            anomaly_score=values["anomaly_score"],
+            previous_rul=previous,
+            late=late,
+        )
+
+
+COOLDOWN_STATE = "fired long, opened long"
+FIRED = (
+    "machine_id string, predicted_at timestamp, seq long, rul_cycles double, health_label string, "
+    "anomaly_score double, active_sensor_count int, previous_rul double, rule_id string, rule_name string, "
+    "severity string, condition_type string, thresholds map<string,string>, window_start long, notify boolean, late boolean"
+)
+_HIT = ["predicted_at", "seq", "rul_cycles", "health_label", "anomaly_score", "active_sensor_count", "previous_rul"]
+_RULE = ["rule_name", "severity", "condition_type"]
+
+
+class CooldownProcessor(StatefulProcessor):
+    """Cooldown and aggregation window of one rule on one machine.
+
+    Input rows are hits, with the rule's fields. Late rows pass by, as rows
+    without a rule.
+    """
+
+    def __init__(self, window_s: int, ttl_ms: int | None):
+        self.window, self.ttl = window_s * MICROS, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("rule", COOLDOWN_STATE, self.ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if key[1] is None:
+            for row in rows:
+                yield self._out(key, row, None, False)
+            return
+        known = self.state.get()
+        fired, opened = (None, None) if known is None else tuple(known)
+        changed = False
+        for row in sorted(rows, key=lambda r: (r["at"], r["seq"])):
+            if fired is not None and row["at"] - fired < row["cooldown_s"] * MICROS:
+                continue
+            notify = opened is None or row["at"] - opened > self.window
+            if notify:
+                opened = row["at"]
+            fired, changed = row["at"], True
+            yield self._out(key, row, opened, notify)
+        if changed:
+            self.state.update((fired, opened))
+
+    @staticmethod
+    def _out(key, row, opened, notify) -> Row:
+        return Row(
+            machine_id=key[0],
+            **{c: row[c] for c in _HIT},
+            rule_id=key[1],
+            **{c: row[c] for c in _RULE},
+            thresholds=_as_dict(row["thresholds"]),
+            window_start=opened,
+            notify=notify,
+            late=row["late"],
+        )
