@@ -274,10 +274,53 @@ def rule_hits(spark, folder):
 
 @query("rule_hits_joined", _HIT_SQL)
 def rule_hits_joined(spark, folder):
-    """The path of large rule sets, forced by an inline limit of zero."""
+    """The index of large rule sets, forced by an inline limit of zero."""
     return hits(spark, folder, inline_limit=0).select("machine_id", "event_id", "rule_id", "severity")
 
 
+@query(
+    "rule_hits_many",
+    f"""WITH {_CONTEXT}, r AS (SELECT 'o' || o_orderkey AS rule_id, o_orderkey AS k, floor(o_totalprice) AS price,
+        CASE WHEN o_orderkey % 64 = 1 THEN 'anomaly_score_above' WHEN o_orderkey % 2000 = 3 THEN 'health_label_is'
+          WHEN o_orderkey % 2 = 0 THEN 'rul_below' ELSE 'rul_drop_rate' END AS kind FROM orders)
+    SELECT machine_id, event_id, rule_id, kind AS condition_type FROM x JOIN r
+      ON kind = 'rul_below' AND rul_cycles < price / 10000000::DOUBLE
+    UNION ALL SELECT machine_id, event_id, rule_id, kind FROM x JOIN r
+      ON kind = 'rul_drop_rate' AND previous_rul - rul_cycles > 400 + price / 5000::DOUBLE
+    UNION ALL SELECT machine_id, event_id, rule_id, kind FROM x JOIN r
+      ON kind = 'anomaly_score_above' AND anomaly_score > 0.98::DOUBLE + price / 100000000::DOUBLE
+    UNION ALL SELECT machine_id, event_id, rule_id, kind FROM x JOIN r
+      ON kind = 'health_label_is' AND health_label = 'imminent_failure'""",
+)
+def rule_hits_many(spark, folder):
+    """Every order a rule, with a threshold that few events pass."""
+    price, key = F.floor("o_totalprice").cast("double"), F.col("o_orderkey")
+    kind = (
+        F.when(key % 64 == 1, "anomaly_score_above")
+        .when(key % 2000 == 3, "health_label_is")
+        .when(key % 2 == 0, "rul_below")
+        .otherwise("rul_drop_rate")
+    )
+    bound = (
+        F.when(kind == "rul_below", (price / 10_000_000.0).cast("string"))
+        .when(kind == "rul_drop_rate", (400 + price / 5_000.0).cast("string"))
+        .when(kind == "anomaly_score_above", (0.98 + price / 100_000_000.0).cast("string"))
+        .otherwise("imminent_failure")
+    )
+    name = roles.mapped(kind, rules.THRESHOLD_NAME)
+    table = roles.table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), key.cast("string")).alias("rule_id"),
+        F.concat(F.lit("Order "), key.cast("string")).alias("rule_name"),
+        F.lit("info").alias("severity"),
+        kind.alias("condition_type"),
+        F.create_map(name, bound).alias("thresholds"),
+        F.lit(60).alias("cooldown_s"),
+        F.lit(True).alias("enabled"),
+    )
+    context = rules.with_context(roles.events_predictions(spark, folder), PRED_ORDER)
+    return rules.rule_hits(context, table).select("machine_id", "event_id", "rule_id", "condition_type")
+
+
 def _chain_sql(held: str, source: str) -> str:
     """Recursive fold over numbered rows; ``held`` tests a row against the last opener."""
     return f""", num AS (SELECT *, row_number() OVER (PARTITION BY machine_id, rule_id

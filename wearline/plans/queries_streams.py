@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from wearline import session
+from wearline.operators import rollups
 from wearline.plans import roles
 from wearline.plans.catalog import E_LONG, ntz, query, rounded
 from wearline.plans.queries_features import _bucket_sql
 from wearline.plans.queries_fleet import _COOLED, stretched_rules
 from wearline.plans.queries_stats import _MESSAGE_SQL, raw_messages
 from wearline.plans.roles import DAY_S
+from wearline.sources import daystore
 from wearline.streaming import jobs
 
 _WINDOWS = [DAY_S, 7 * DAY_S]
@@ -249,6 +251,37 @@ def stream_rollup(spark, folder):
     return rounded(view, [c for c in view.columns if c[:4] in ("avg_", "min_", "max_")])
 
 
+_ALL_EVENTS = ["click", "view", "signup", "purchase", "error"]
+_REFRESH_SQL = (
+    "SELECT date_trunc('hour', ts) AS bucket, CAST(user_id AS VARCHAR) AS machine_id, "
+    + ", ".join(f"round(avg(value) FILTER (event_type = '{s}'), 6) + 0.0 AS avg_{s}" for s in _ALL_EVENTS)
+    + ", round(min(value) FILTER (event_type = 'view'), 6) + 0.0 AS min_view, "
+    "round(max(value) FILTER (event_type = 'view'), 6) + 0.0 AS max_view, "
+    "count(*) AS reading_count FROM events GROUP BY ALL"
+)
+
+
+@query("rollup_refresh", _REFRESH_SQL)
+def rollup_refresh(spark, folder):
+    """Events arrive out of order in four batches; after each, their days are merged and only those rolled up again."""
+    events = _arrivals(spark, folder).select(
+        F.col("user_id").cast("string").alias("machine_id"),
+        F.col("event_type").alias("sensor"),
+        F.col("ts").alias("recorded_at"),
+        "value",
+        "_cut",
+    )
+    source = _folder(spark, "batches")
+    base, rolled = (daystore.DayStore(spark, _folder(spark, n)) for n in ("readings", "hourly"))
+    values = {s: F.when(F.col("sensor") == s, F.col("value")) for s in _ALL_EVENTS}
+    for cut in range(_CUTS):
+        jobs.write_batch(events.where(F.col("_cut") == cut).drop("_cut"), source, cut)
+        base.absorb(source, "recorded_at")
+        rolled.follow(base, lambda df: rollups.bucket_rollup(df, "1 hour", values, extremes=["view"]), "bucket")
+    view = ntz(rolled.read(), "bucket")
+    return rounded(view, [c for c in view.columns if c[:4] in ("avg_", "min_", "max_")])
+
+
 @query(
     "stream_alerts",
     _COOLED

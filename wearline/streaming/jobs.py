@@ -22,12 +22,14 @@ from wearline.schemas import DEFAULT_WINDOWS_S, RULE
 from wearline.sources import messages, tables
 from wearline.streaming.processors import (
     FIRED,
-    ORDERED_PREDICTION,
-    ORDERED_READING,
-    WINDOW_OUTPUT,
+    NO_TIME,
+    ORDERED,
+    PARTS,
     CooldownProcessor,
     PredictionOrder,
     ReadingOrder,
+    ReadingProcessor,
+    SensorState,
     WindowProcessor,
 )
 from wearline.streaming.windows import STATS
@@ -40,6 +42,8 @@ FFT_RATE_HZ = 100.0
 FFT_MIN_SAMPLES = 32
 PEARSON_MIN_SAMPLES = 10
 LATE_LABEL = "\x00late"
+#: Groups of state. Each is one unit of work, so there are several for every task of a large cluster.
+BUCKETS = 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -109,12 +113,15 @@ def feature_rows(
     delay: str | None = None,
     delay_s: int = 0,
     ttl_ms: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """Decoded readings (with ``seq`` and ``value``) to the parts of processed rows; ``assembled`` joins them.
+    """Decoded readings (with ``seq`` and ``value``) to processed rows, which ``assembled`` puts into shape.
 
-    Two keyed steps. By machine, readings are put in order and take from the
-    reading before what quality needs; then each sensor's windows are kept by
-    machine and sensor. Rejection before and outliers between are expressions.
+    By machine, readings are put in order and take from the reading before what
+    quality needs; the windows of a machine's sensors are kept in the same step.
+    With ``spread`` they are kept in a second step by machine and sensor, for
+    machines with more readings than a task can take. Rejection and outliers are
+    expressions. Results do not depend on ``spread``.
 
     With ``delay`` a reading waits until the watermark, that far behind the
     newest time, has passed it; one that comes later than that is marked
@@ -129,86 +136,136 @@ def feature_rows(
     original = F.col("value") if "value" in readings.columns else F.lit(None)
     reset = F.col("reset") if "reset" in readings.columns else F.lit(False)
     timed, mode = _ordered(readings, "recorded_at", delay)
-    at = F.unix_micros("recorded_at")
-    keyed = quality.null_counts(timed).select(
-        "machine_id",
-        F.timestamp_micros(at).alias("recorded_at"),
-        at.alias("at"),
-        F.col("seq").cast("long").alias("seq"),
-        "readings",
-        F.coalesce(reject, F.lit(False)).alias("rejected"),
-        original.cast("string").alias("original"),
-        F.coalesce(reset, F.lit(False)).alias("reset"),
-    )
+    marks = F.concat(*[_digit(m) for m in (reject, reset, F.col("_nulls") > 0)])
+    content = F.struct("readings", original.cast("string").alias("original"))
+    keyed = quality.null_counts(timed).select(_bucket("machine_id"), "machine_id", _text("recorded_at", marks, _json(content)).alias("body"))
     waits = delay is not None
-    ordered = keyed.groupBy("machine_id").transformWithState(
-        ReadingOrder(waits, ttl_ms), ORDERED_READING, "append", mode if waits else _time_mode(ttl_ms)
-    )
+    sensors = SensorState(windows_s, fft_sensors, delay_s)
+    first = ReadingOrder(waits, ttl_ms) if spread else ReadingProcessor(waits, ttl_ms, sensors)
+    ordered = keyed.groupBy("bucket").transformWithState(first, ORDERED, "append", mode if waits else _time_mode(ttl_ms))
+    texts = F.split("body", " ", 5)
+    found = F.from_json(texts[4], f"{_CONTENT}, x map<string,struct<{_SENSOR}>>")
+    seen = ordered.select(
+        "machine_id",
+        _number(texts[0]).alias("at"),
+        texts[1].cast("long").alias("seq"),
+        texts[2].cast("long").alias("segment"),
+        *[(F.substring(texts[3], i + 1, 1) == "1").alias(c) for i, c in enumerate(("late", "rejected", "duplicate"))],
+        found["readings"].alias("readings"),
+        F.coalesce(found["filled"], found["readings"]).alias("filled"),
+        found["original"].alias("original"),
+        found["x"].alias("sensors"),
+    ).withColumn("recorded_at", F.timestamp_micros("at"))
     states = dict(quality.stateless_flags(limits, clock))
     states["DUPLICATE_TIMESTAMP"] = F.col("duplicate")
     states["OUTLIER_DETECTED"] = ~F.col("rejected") & quality.outlier_flag(F.col("filled"), limits)
     bits, names = quality.flag_columns({k: F.coalesce(v, F.lit(False)) for k, v in states.items()})
-    flagged = quality.null_counts(ordered).withColumn("flag_bits", bits).withColumn("quality_flags", names)
-    entry = "struct<sensor:string,value:double,whole:boolean>"
-    reading = F.array(F.struct(F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(True)).cast(entry))
-    sensors = F.transform(F.map_entries("filled"), lambda e: F.struct(e["key"], e["value"], F.lit(False)).cast(entry))
-    used = ~F.col("late") & ~F.col("rejected")
-    parts = flagged.withColumn("_part", F.explode(F.when(used, F.concat(reading, sensors)).otherwise(reading)))
-    whole = F.col("_part.whole")
-    payload = ["late", "rejected", "duplicate", "readings", "filled", "original", "flag_bits", "quality_flags"]
-    split = parts.select(
-        "machine_id",
-        "recorded_at",
-        "at",
-        "seq",
-        "segment",
-        F.col("_part.sensor").alias("sensor"),
-        F.col("_part.value").alias("value"),
-        *[F.when(whole, F.col(c)).alias(c) for c in payload],
+    flagged = quality.null_counts(seen).withColumn("flag_bits", bits).withColumn("quality_flags", names)
+    if not spread:
+        return flagged.select("machine_id", "at", "seq", *_PAYLOAD, "sensors")
+    entry = "struct<sensor:string,body:string>"
+    reading = F.array(F.struct(F.lit(None).cast("string"), _json(F.struct("at", "seq", *_PAYLOAD))).cast(entry))
+    head = F.concat_ws(" ", "at", "seq", "segment")
+    values = F.transform(
+        F.map_entries("filled"), lambda e: F.struct(e["key"], F.concat_ws(" ", head, e["value"].cast("string"))).cast(entry)
     )
-    return split.groupBy("machine_id", "sensor").transformWithState(
-        WindowProcessor(windows_s, fft_sensors, delay_s, ttl_ms), WINDOW_OUTPUT, "append", _time_mode(ttl_ms)
+    used = ~F.col("late") & ~F.col("rejected")
+    parts = flagged.select("machine_id", F.inline(F.when(used, F.concat(reading, values)).otherwise(reading)))
+    spread = parts.select(_bucket("machine_id", "sensor"), "*")
+    return spread.groupBy("bucket").transformWithState(
+        WindowProcessor(sensors, ttl_ms), PARTS, "append", _time_mode(ttl_ms)
     )
 
 
-_READING = ["machine_id", "recorded_at", "seq"]
 _PAYLOAD = ["late", "rejected", "duplicate", "readings", "filled", "original", "flag_bits", "quality_flags"]
+_CONTENT = "readings map<string,double>, filled map<string,double>, original string"
+_WHOLE = f"at long, seq long, late boolean, rejected boolean, duplicate boolean, {_CONTENT}, flag_bits int, quality_flags array<string>"
+_SENSOR = "mean: double, top: double, w: array<array<double>>, s: array<array<double>>"
+_WINDOW = "array<struct<window_s:int,entries:array<struct<key:string,value:double>>,sample:struct<key:string,value:array<double>>>>"
+
+
+def _bucket(*keys: str) -> Column:
+    """The group whose state holds the keys' entries; the number of groups stays as long as the state does."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _json(content: Column) -> Column:
+    return F.to_json(content, {"ignoreNullFields": "false"})
+
+
+def _digit(flag: Column) -> Column:
+    return F.when(flag, F.lit("1")).otherwise(F.lit("0"))
+
+
+def _text(time: str, *rest: Column) -> Column:
+    """What an ordering step reads: the row's time and number, and the rest."""
+    at = F.coalesce(F.unix_micros(time).cast("string"), F.lit(NO_TIME))
+    return F.concat_ws(" ", at, F.coalesce(F.col("seq").cast("string"), F.lit("0")), *rest)
+
+
+def _number(text: Column, kind: str = "long") -> Column:
+    return F.when(text != NO_TIME, text).cast(kind)
+
+
+def _sensor_windows(sensor: Column, one: Column) -> Column:
+    """A sensor's windows, each with its named features and its samples."""
+
+    def entry(*name: Column, value: Column) -> Column:
+        return F.struct(F.concat_ws("_", sensor, *name).alias("key"), value.alias("value"))
+
+    running = F.array(entry(F.lit("cumulative_mean"), value=one["mean"]), entry(F.lit("cumulative_max"), value=one["top"]))
+
+    def of_window(w: Column, i: Column) -> Column:
+        length = F.concat(w[0].cast("int").cast("string"), F.lit("s"))
+        rolling = F.array(*[entry(length, F.lit(s), value=F.get(w, F.lit(2 + k))) for k, s in enumerate(STATS)])
+        samples = F.get(one["s"], i)
+        return F.struct(
+            w[0].cast("int").alias("window_s"),
+            F.when(w[1] >= 2, F.concat(rolling, running)).otherwise(running).alias("entries"),
+            F.when(samples.isNotNull(), F.struct(sensor.alias("key"), samples.alias("value"))).alias("sample"),
+        )
+
+    return F.transform(one["w"], of_window)
 
 
 def assembled(parts: DataFrame) -> DataFrame:
-    """One row per reading: its flags and values, and ``windows`` with feature and sample maps. One shuffle, by reading."""
-    w = F.concat(F.col("window_s").cast("string"), F.lit("s"))
-
-    def entry(name: Column, value: str) -> Column:
-        return F.struct(name.alias("key"), F.col(value).alias("value"))
-
-    rolling = [entry(F.concat_ws("_", "sensor", w, F.lit(s)), s) for s in STATS]
-    running = [entry(F.concat_ws("_", "sensor", F.lit(s)), s) for s in ("cumulative_mean", "cumulative_max")]
-    entries = F.when(F.col("mean").isNotNull(), F.array(*rolling, *running)).otherwise(F.array(*running))
-    of_sensor = F.col("window_s").isNotNull()
-    by_window = (
-        parts.repartition(*_READING)
-        .withColumn("_whole", F.when(~of_sensor, F.struct(*_PAYLOAD)))
-        .groupBy(*_READING, "window_s")
-        .agg(
-            F.first("_whole", ignorenulls=True).alias("_whole"),
-            F.map_from_entries(F.flatten(F.collect_list(F.when(of_sensor, entries)))).alias("temporal"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("samples").isNotNull(), F.struct("sensor", "samples")))
-            ).alias("samples"),
+    """One row per reading: its flags and values, and ``windows`` with feature and sample maps.
+
+    Rows of a stream that was ``spread`` take one shuffle, by reading.
+    """
+    if "sensors" in parts.columns:
+        of_sensors = F.transform(F.map_entries("sensors"), lambda e: _sensor_windows(e["key"], e["value"]))
+        rows = parts.withColumn("_w", F.coalesce(F.flatten(of_sensors), F.array().cast(_WINDOW)))
+    else:
+        whole, one = F.from_json("body", _WHOLE), F.from_json("body", f"struct<at: long, seq: long, {_SENSOR}>")
+        of_sensor = F.col("sensor").isNotNull()
+        read = parts.select(
+            "machine_id", "sensor", F.when(~of_sensor, whole).alias("_whole"), F.when(of_sensor, one).alias("_one")
         )
+        rows = (
+            read.withColumn("_w", F.when(of_sensor, _sensor_windows(F.col("sensor"), F.col("_one"))).otherwise(F.array().cast(_WINDOW)))
+            .groupBy("machine_id", F.coalesce("_whole.at", "_one.at").alias("at"), F.coalesce("_whole.seq", "_one.seq").alias("seq"))
+            .agg(F.first("_whole", ignorenulls=True).alias("_whole"), F.flatten(F.collect_list("_w")).alias("_w"))
+            .select("machine_id", "at", "seq", "_w", *[F.col(f"_whole.{c}").alias(c) for c in _PAYLOAD])
+        )
+    lengths = F.array_sort(F.array_distinct(F.transform("_w", lambda x: x["window_s"])))
+
+    def window(length: Column) -> Column:
+        own = F.filter("_w", lambda x: x["window_s"] == length)
+        return F.struct(
+            length.alias("window_s"),
+            F.map_from_entries(F.flatten(F.transform(own, lambda x: x["entries"]))).alias("temporal"),
+            F.map_from_entries(F.array_compact(F.transform(own, lambda x: x["sample"]))).alias("samples"),
+        )
+
+    return rows.select(
+        "machine_id", F.timestamp_micros("at").alias("recorded_at"), "seq", *_PAYLOAD, F.transform(lengths, window).alias("windows")
     )
-    window = F.when(F.col("window_s").isNotNull(), F.struct("window_s", "temporal", "samples"))
-    rows = by_window.groupBy(*_READING).agg(
-        F.first("_whole", ignorenulls=True).alias("_whole"), F.collect_list(window).alias("windows")
-    )
-    ordered = F.array_sort("windows", lambda a, b: a["window_s"] - b["window_s"])
-    return rows.select(*_READING, "_whole.*", ordered.alias("windows"))
 
 
-def late_rows(parts: DataFrame) -> DataFrame:
-    """The readings that came after the watermark had passed their time."""
-    return parts.where("late").select("machine_id", "recorded_at", "seq", "readings", "original", "rejected")
+def late_rows(rows: DataFrame) -> DataFrame:
+    """Of ``assembled`` rows, the readings that came after the watermark had passed their time."""
+    return rows.where("late").select("machine_id", "recorded_at", "seq", "readings", "original", "rejected")
 
 
 def late_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -359,36 +416,51 @@ def alert_rows(
     without a rule.
     """
     timed, mode = _ordered(predictions, "predicted_at", delay)
-    at = F.unix_micros("predicted_at")
-    keyed = timed.select(
-        "machine_id",
-        F.timestamp_micros(at).alias("predicted_at"),
-        at.alias("at"),
-        F.col("seq").cast("long").alias("seq"),
-        "rul_cycles",
-        "health_label",
-        "anomaly_score",
-    )
+    rul = F.coalesce(F.col("rul_cycles").cast("string"), F.lit(NO_TIME))
+    content = _json(F.struct("rul_cycles", "health_label", "anomaly_score"))
+    keyed = timed.select(_bucket("machine_id"), "machine_id", _text("predicted_at", rul, content).alias("body"))
     waits = delay is not None
-    ordered = keyed.groupBy("machine_id").transformWithState(
-        PredictionOrder(waits, ttl_ms), ORDERED_PREDICTION, "append", mode if waits else _time_mode(ttl_ms)
+    ordered = keyed.groupBy("bucket").transformWithState(
+        PredictionOrder(waits, ttl_ms), ORDERED, "append", mode if waits else _time_mode(ttl_ms)
     )
-    context = ordered.withColumn("active_sensor_count", rules.anomalous_sensors(F.col("anomaly_score")))
+    texts = F.split("body", " ", 5)
+    seen = ordered.select(
+        "machine_id",
+        _number(texts[0]).alias("at"),
+        texts[1].cast("long").alias("seq"),
+        (texts[2] == "1").alias("late"),
+        _number(texts[3], "double").alias("previous_rul"),
+        F.from_json(texts[4], "rul_cycles double, health_label string, anomaly_score double").alias("_was"),
+    ).select("*", "_was.*")
+    context = seen.withColumn("active_sensor_count", rules.anomalous_sensors(F.col("anomaly_score")))
     # A late row fires no rule but one made to carry it: a label that no prediction has.
     late, values = F.col("late"), ["rul_cycles", "health_label", "anomaly_score", "active_sensor_count"]
-    seen = {c: F.when(~late, F.col(c)) for c in values}
-    seen["health_label"] = F.when(late, F.lit(LATE_LABEL)).otherwise(F.col("health_label"))
-    marked = context.withColumn("_was", F.struct(*values)).withColumns(seen)
+    shown = {c: F.when(~late, F.col(c)) for c in values}
+    shown["health_label"] = F.when(late, F.lit(LATE_LABEL)).otherwise(F.col("health_label"))
+    marked = context.withColumn("_was", F.struct(*values)).withColumns(shown)
     carrier = [(None, None, None, None, "health_label_is", {"label": LATE_LABEL}, 0, True)]
     table = rule_table.select(*RULE.names).unionByName(predictions.sparkSession.createDataFrame(carrier, RULE))
+    details = F.struct("at", "seq", "late", "previous_rul", "_was.*", "rule_name", "severity", "condition_type", "thresholds")
     hits = rules.rule_hits(marked, table).select(
-        "machine_id", "predicted_at", "at", "seq", "late", "previous_rul", "_was.*", *rules.RULE_FIELDS
+        _bucket("machine_id", "rule_id"), "machine_id", "rule_id", F.concat_ws(" ", F.coalesce("at", F.lit(0)), "seq", "cooldown_s", _json(details)).alias("body")
     )
-    return (
-        hits.groupBy("machine_id", "rule_id")
-        .transformWithState(CooldownProcessor(window_s, ttl_ms), FIRED, "append", _time_mode(ttl_ms))
-        .withColumn("window_start", F.timestamp_micros("window_start"))
+    fired = hits.groupBy("bucket").transformWithState(
+        CooldownProcessor(window_s, ttl_ms), FIRED, "append", _time_mode(ttl_ms)
     )
+    return fired.withColumn("_d", F.from_json("body", _DETAILS)).select(
+        "machine_id",
+        F.timestamp_micros("_d.at").alias("predicted_at"),
+        "rule_id",
+        F.timestamp_micros("window_start").alias("window_start"),
+        "notify",
+        "_d.*",
+    ).drop("at")
+
+
+_DETAILS = (
+    "at long, seq long, late boolean, previous_rul double, rul_cycles double, health_label string, anomaly_score double, "
+    "active_sensor_count int, rule_name string, severity string, condition_type string, thresholds map<string,string>"
+)
 
 
 def alert_job(

@@ -5,31 +5,41 @@ their time, so that what depends on the previous row sees rows in order of time
 however they arrive. What it hands on goes to finer keys: windows per machine
 and sensor, cooldowns per machine and rule, so a busy machine keeps several
 tasks busy and the ordering step does little per row.
+
+Rows cross to Python and back as one text column: a few numbers, then what the
+processor need not read, as JSON. Every further column would cost more than the
+work on it. For the same reason the grouping key is a bucket of machines (of
+sensors, of rules) and state a map inside it, one entry per machine (machine and
+sensor, machine and rule): a group's fixed cost is paid per bucket.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
+from math import isfinite
 from typing import Any
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wearline.functions.windowing import MICROS
-from wearline.streaming.windows import STATS, SensorWindows
-
+from wearline.streaming.windows import SensorWindows
 
-def _as_dict(entries) -> dict[str, float]:
-    """Maps reach a processor as dicts or as lists of pairs."""
-    return dict(entries or {})
+#: ``at`` of a row without a time, and the state's name of rows without a machine.
+NO_TIME, NOBODY = "-", "\x00"
 
 
-def _absent(value: float | None) -> bool:
-    return value is None or value != value
+def _grouped(rows: Iterable[tuple]) -> dict[Any, list[tuple]]:
+    """Rows by their first element, the rest of each in a list."""
+    out: dict[Any, list[tuple]] = {}
+    for key, *rest in rows:
+        out.setdefault(key, []).append(tuple(rest))
+    return out
 
 
 class InOrder(StatefulProcessor):
-    """Rows of one key by ``(at, seq)``.
+    """Rows of a bucket of machines, each machine's by ``(at, seq)``; a row's ``body`` is ``at seq marks json``.
 
     With ``waits`` a row is kept until the watermark reaches its time ``at``
     (microseconds); a timer then hands on all rows that are due, in order. A row
@@ -37,13 +47,13 @@ class InOrder(StatefulProcessor):
     marked, and touches no state. Without ``waits`` rows are handed on as they
     come, in order within a micro-batch. Rows without a time count as late.
 
-    Subclasses give the schemas, ``opened`` (the state when there is none),
-    ``step`` (state and row to state and output) and ``late`` (the output of a
-    late row). ``idle_ms``: a key without rows for so long loses its state, by
-    event time with ``waits`` and by processing time without.
+    Subclasses give ``known_schema`` (its first column is the time of the last
+    row), ``opened`` (the state when there is none), ``step`` (state and row to
+    state and output) and ``late`` (the output of a late row). ``idle_ms``: a
+    machine without rows for so long is forgotten, by event time with ``waits``
+    (a sweep of the bucket's entries) and by processing time without.
     """
 
-    pending_schema: str
     known_schema: str
 
     def __init__(self, waits: bool, idle_ms: int | None = None):
@@ -51,302 +61,308 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", self.known_schema, None if self.waits else self.idle)
-        self.pending = handle.getListState("pending", self.pending_schema) if self.waits else None
+        ttl = None if self.waits else self.idle
+        self.known = handle.getMapState("known", "machine string", self.known_schema, ttl)
+        schema = "machine string, at long, seq long, body string"
+        self.pending = handle.getListState("pending", schema) if self.waits else None
+        self.sweep = handle.getValueState("sweep", "at long") if self.waits and self.idle is not None else None
 
     def opened(self) -> tuple:
         raise NotImplementedError
 
-    def step(self, key: Any, state: tuple, row: tuple) -> tuple[tuple, Iterable[Row]]:
+    def step(self, state: tuple, at: int, seq: int, body: str) -> tuple[tuple, str]:
         raise NotImplementedError
 
-    def late(self, key: Any, row: tuple) -> Row:
-        raise NotImplementedError
-
-    def received(self, row: Row) -> tuple:
-        """The row as it is kept: time and number first."""
+    def late(self, at: str, seq: str, body: str) -> str:
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000 if self.waits else 0
         fresh = []
-        for row in map(self.received, rows):
-            if row[0] is None or (passed > 0 and row[0] <= passed):
-                yield self.late(key, row)
+        for _, machine, text in rows:
+            at, seq, body = text.split(" ", 2)
+            if at == NO_TIME or (passed > 0 and int(at) <= passed):
+                yield Row(machine_id=machine, body=self.late(at, seq, body))
             else:
-                fresh.append(row)
+                fresh.append((machine, int(at), int(seq), body))
         if not fresh:
             return
         if self.waits:
             self.pending.appendList(fresh)
-            self.handle.registerTimer(self._due(min(r[0] for r in fresh)))
+            self.handle.registerTimer(self._due(min(r[1] for r in fresh)))
         else:
-            yield from self._hand_on(key, fresh)
+            yield from self._hand_on(fresh)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        due = [r for r in rows if r[0] <= passed]
-        rest = [r for r in rows if r[0] > passed]
+        due = [r for r in rows if r[1] <= passed]
         if due:
             self.pending.clear()
+            rest = [r for r in rows if r[1] > passed]
             if rest:
                 self.pending.appendList(rest)
-                self.handle.registerTimer(self._due(min(r[0] for r in rest)))
-            yield from self._hand_on(key, due)
-            if self.idle is not None:
-                self.handle.registerTimer(self._due(max(r[0] for r in due)) + self.idle)
-        elif not rest and self.idle is not None and self.known.exists():
-            # the last row's own idle timer comes last
-            if self._due(self.known.get()[0]) + self.idle <= expiredTimerInfo.getExpiryTimeInMs():
-                self.known.clear()
+                self.handle.registerTimer(self._due(min(r[1] for r in rest)))
+            yield from self._hand_on(due)
+        if self.sweep is not None:
+            self._forget(passed // 1000)
+
+    def _forget(self, now: int) -> None:
+        """Once every ``idle`` milliseconds of event time, drop the machines that were silent for as long."""
+        planned = self.sweep.get()
+        if planned is not None and now < planned[0]:
+            return
+        if planned is not None:
+            for machine, state in list(self.known.iterator()):
+                if self._due(state[0]) + self.idle <= now:
+                    self.known.removeKey(machine)
+                    self._forgotten(machine[0])
+        self.sweep.update((now + self.idle,))
+        self.handle.registerTimer(now + self.idle)
+
+    def _forgotten(self, machine: str) -> None:
+        """Drops what else is kept of a machine."""
 
     @staticmethod
     def _due(at: int) -> int:
         """The first millisecond that is not before ``at``."""
         return -(-at // 1000)
 
-    def _hand_on(self, key: Any, rows: list[tuple]) -> Iterator[Row]:
-        state = self.known.get()
-        state = self.opened() if state is None else tuple(state)
-        for row in sorted(rows, key=lambda r: r[:2]):
-            state, out = self.step(key, state, row)
-            yield from out
-        self.known.update(state)
+    def _hand_on(self, rows: Iterable[tuple]) -> Iterator[Row]:
+        for machine, own in _grouped(rows).items():
+            name = (NOBODY if machine is None else machine,)
+            state = self.known.getValue(name)
+            state = self.opened() if state is None else tuple(state)
+            for at, seq, body in sorted(own):
+                state, out = self.step(state, at, seq, body)
+                yield Row(machine_id=machine, body=self.finished(machine, at, out))
+            self.known.updateValue(name, state)
+
+    def finished(self, machine: str | None, at: int, out: str) -> str:
+        """What is handed on of a row after its step."""
+        return out
 
 
-READING = "at long, seq long, recorded_at timestamp, rejected boolean, reset boolean, readings map<string,double>, original string"
-READING_STATE = "last_row long, at long, readings map<string,double>, segment long"
-ORDERED_READING = (
-    "machine_id string, recorded_at timestamp, at long, seq long, segment long, late boolean, "
-    "rejected boolean, duplicate boolean, readings map<string,double>, filled map<string,double>, original string"
-)
+#: What an ordering step gives: the row's machine, and its text.
+ORDERED = "machine_id string, body string"
 
 
 class ReadingOrder(InOrder):
     """What a reading's quality takes from the accepted reading before it: duplicate times, values to fill.
 
-    ``segment`` counts the machine's ``reset`` rows; a reset forgets the last reading.
+    ``marks`` are three digits: rejected, reset, and whether a value is missing.
+    The JSON holds ``readings``; where a value is missing, the output's holds
+    ``filled`` as well. Output: ``at seq segment marks json`` with the marks late,
+    rejected, duplicate. ``segment`` counts the machine's resets, which forget the
+    last reading. The last reading is kept as text and read when a value is missing.
     """
 
-    pending_schema, known_schema = READING, READING_STATE
+    known_schema = "last_row long, at long, readings string, segment long"
 
     def opened(self) -> tuple:
-        return None, None, {}, 0
-
-    def received(self, row: Row) -> tuple:
-        return (
-            row["at"],
-            row["seq"],
-            row["recorded_at"],
-            row["rejected"],
-            row["reset"],
-            _as_dict(row["readings"]),
-            row["original"],
-        )
+        return None, None, None, 0
 
-    def step(self, key, state, row):
+    def step(self, state, at, seq, body):
         _, last_at, last, segment = state
-        at, seq, recorded_at, rejected, reset, readings, original = row
-        last, given = _as_dict(last), _as_dict(readings)
+        marks, _, content = body.partition(" ")
+        rejected, reset, gaps = (m == "1" for m in marks)
         if reset:
-            last_at, last, segment = None, {}, segment + 1
-        duplicate = last_at is not None and at == last_at
-        filled = given
+            last_at, last, segment = None, None, segment + 1
+        duplicate = last_at == at
         if not rejected:
-            filled = {k: last.get(k, 0.0) if _absent(v) else v for k, v in given.items()}
-            last_at, last = at, filled
-        out = self._out(key, row, given, filled, segment, duplicate, False)
-        return (at, last_at, last, segment), [out]
+            last_at = at
+            if gaps:
+                known = _values(last) if last else {}
+                filled = {k: known.get(k, 0.0) if _absent(v) else v for k, v in _values(content).items()}
+                content = f'{content[:-1]},"filled":{json.dumps(filled)}}}'
+            last = content
+        out = f"{at} {seq} {segment} 0{int(rejected)}{int(duplicate)} {content}"
+        return (at, last_at, last, segment), out
 
-    def late(self, key, row):
-        given = _as_dict(row[5])
-        return self._out(key, row, given, given, None, False, True)
+    def late(self, at, seq, body):
+        marks, _, content = body.partition(" ")
+        return f"{at} {seq} 0 1{marks[0]}0 {content}"
 
-    @staticmethod
-    def _out(key, row, given, filled, segment, duplicate, late) -> Row:
-        at, seq, recorded_at, rejected, _, _, original = row
-        return Row(
-            machine_id=key[0],
-            recorded_at=recorded_at,
-            at=at,
-            seq=seq,
-            segment=segment,
-            late=late,
-            rejected=rejected,
-            duplicate=duplicate,
-            readings=given,
-            filled=filled,
-            original=original,
-        )
 
+def _absent(value) -> bool:
+    """Missing: null, or NaN, which JSON writes as a word."""
+    return value is None or value == "NaN" or value != value
 
-WINDOW_STATE = "times binary, values binary, segment long, n long, mean double, top double"
-#: What a reading carries past the windows, and the windows' own columns.
-PAYLOAD = (
-    "late boolean, rejected boolean, duplicate boolean, readings map<string,double>, "
-    "filled map<string,double>, original string, flag_bits int, quality_flags array<string>"
-)
-WINDOW_OUTPUT = (
-    "machine_id string, recorded_at timestamp, seq long, sensor string, window_s int, n long, "
-    + ", ".join(f"{s} double" for s in STATS)
-    + ", cumulative_mean double, cumulative_max double, samples array<double>, "
-    + PAYLOAD
-)
-_PAYLOAD = [c.split(" ")[0] for c in PAYLOAD.replace("map<string,double>", "m").split(", ")]
-_NOTHING = dict.fromkeys([*STATS, "cumulative_mean", "cumulative_max", "samples"])
-_NO_PAYLOAD = dict.fromkeys(_PAYLOAD)
 
+def _shown(x: float) -> str:
+    """A number in JSON, with the words that Spark reads for what is none."""
+    return repr(x) if isfinite(x) else '"NaN"' if x != x else '"Infinity"' if x > 0 else '"-Infinity"'
+
+
+def _values(content: str) -> dict:
+    """The values of a reading after filling."""
+    found = json.loads(content)
+    return found.get("filled", found.get("readings")) or {}
 
-class WindowProcessor(StatefulProcessor):
-    """Rolling and cumulative statistics of one sensor of one machine.
 
-    Kept per key: the samples of the longest window plus ``delay_s``, and the
-    cumulative mean and maximum; ``segment`` clears them when it changes. Rows
-    without a sensor are readings on their way past the windows.
+class SensorState:
+    """Windows and cumulative values of every sensor in a bucket, read when first asked for and written back at the end.
+
+    Kept per machine and sensor: the samples of the longest window plus
+    ``delay_s``, and the cumulative mean and maximum; a new ``segment`` clears them.
     """
 
-    def __init__(self, windows_s: list[int], sampled: list[str], delay_s: int, ttl_ms: int | None):
+    SCHEMA = "times binary, values binary, segment long, n long, mean double, top double"
+
+    def __init__(self, windows_s: list[int], sampled: list[str], delay_s: int):
         self.windows, self.sampled = sorted(windows_s), set(sampled)
         self.keep = (max(windows_s) + delay_s) * MICROS
-        self.ttl = ttl_ms
+
+    def open(self, handle: StatefulProcessorHandle, ttl_ms: int | None) -> None:
+        self.state = handle.getMapState("sensors", "machine string, sensor string", self.SCHEMA, ttl_ms)
+        self.held: dict[tuple, list] = {}
+
+    def push(self, name: tuple[str, str], at: int, segment: int, value: float) -> str:
+        """Takes in a sample; members of a JSON object: per window its length, size and the statistics of two samples or more."""
+        held = self.held.get(name)
+        if held is None:
+            known = self.state.getValue(name)
+            held = [None, None, 0, 0.0, float("-inf")]
+            if known is not None:
+                held = [SensorWindows(self.windows, self.keep, known[0], known[1]), *known[2:]]
+            self.held[name] = held
+        if held[0] is None or held[1] != segment:
+            held[:] = [SensorWindows(self.windows, self.keep), segment, 0, 0.0, float("-inf")]
+        buffer = held[0]
+        buffer.push(at, value)
+        held[2] += 1
+        held[3] += (value - held[3]) / held[2]
+        held[4] = max(held[4], value)
+        found = buffer.at(at)
+        windows = [f"[{','.join(map(_shown, (w, size, *(s or ()))))}]" for w, (size, s, _) in zip(self.windows, found)]
+        out = f'"mean":{_shown(held[3])},"top":{_shown(held[4])},"w":[{",".join(windows)}]'
+        if name[1] in self.sampled:
+            samples = [list(buffer.values[low:high]) if high - low >= 2 else None for _, _, (low, high) in found]
+            out = f'{out},"s":{json.dumps(samples)}'
+        return out
+
+    def write(self) -> None:
+        for name, (buffer, *rest) in self.held.items():
+            self.state.updateValue(name, (*buffer.packed(), *rest))
+        self.held.clear()
+
+
+class ReadingProcessor(ReadingOrder):
+    """Order, quality context and windows of a machine's readings in one step; the JSON gets the sensors' statistics as ``x``."""
+
+    def __init__(self, waits: bool, idle_ms: int | None, sensors: SensorState):
+        super().__init__(waits, idle_ms)
+        self.sensors = sensors
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sensor", WINDOW_STATE, self.ttl)
+        super().init(handle)
+        self.sensors.open(handle, None if self.waits else self.idle)
+
+    def _forgotten(self, machine: str) -> None:
+        for name in [n for n in self.sensors.state.keys() if n[0] == machine]:
+            self.sensors.state.removeKey(tuple(name))
+
+    def _hand_on(self, rows: Iterable[tuple]) -> Iterator[Row]:
+        yield from super()._hand_on(rows)
+        self.sensors.write()
+
+    def finished(self, machine: str | None, at: int, out: str) -> str:
+        _, _, segment, marks, content = out.split(" ", 4)
+        if marks[1] == "1":
+            return out
+        part = int(segment)
+        own = ",".join(
+            f"{json.dumps(sensor)}:{{{self.sensors.push((machine, sensor), at, part, float(value))}}}"
+            for sensor, value in _values(content).items()
+        )
+        return f'{out[:-1]},"x":{{{own}}}}}'
+
+
+#: The windows' output: a reading's text as it came (no sensor), or the statistics of one of its sensors.
+PARTS = "machine_id string, sensor string, body string"
+
+
+class WindowProcessor(StatefulProcessor):
+    """The windows of each sensor of each machine; a row's body is ``at seq segment value``.
+
+    Rows without a sensor are readings on their way past the windows.
+    """
+
+    def __init__(self, sensors: SensorState, ttl_ms: int | None):
+        self.sensors, self.ttl = sensors, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sensors.open(handle, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        machine, sensor = key
-        if sensor is None:
-            for row in rows:
-                payload = {c: row[c] for c in _PAYLOAD}
-                for c in ("readings", "filled"):
-                    payload[c] = _as_dict(payload[c])
-                yield Row(
-                    machine_id=machine, recorded_at=row["recorded_at"], seq=row["seq"], sensor=None, window_s=None, n=None, **_NOTHING, **payload
-                )
-            return
-        known = self.state.get()
-        segment, n, mean, top = (None, 0, 0.0, float("-inf")) if known is None else known[2:]
-        buffer = SensorWindows(self.windows, self.keep, *(known[:2] if known is not None else ()))
-        for row in sorted(rows, key=lambda r: (r["at"], r["seq"])):
-            if row["segment"] != segment:
-                segment, n, mean, top = row["segment"], 0, 0.0, float("-inf")
-                buffer = SensorWindows(self.windows, self.keep)
-            at, value = row["at"], row["value"]
-            buffer.push(at, value)
-            n += 1
-            mean += (value - mean) / n
-            top = max(top, value)
-            for window, (size, found, (low, high)) in zip(self.windows, buffer.at(at)):
-                samples = list(buffer.values[low:high]) if sensor in self.sampled and size >= 2 else None
-                yield Row(
-                    machine_id=machine,
-                    recorded_at=row["recorded_at"],
-                    seq=row["seq"],
-                    sensor=sensor,
-                    window_s=window,
-                    n=size,
-                    **dict(zip(STATS, found or (None,) * len(STATS))),
-                    cumulative_mean=mean,
-                    cumulative_max=top,
-                    samples=samples,
-                    **_NO_PAYLOAD,
-                )
-        self.state.update((*buffer.packed(), segment, n, mean, top))
-
-
-PREDICTION = "at long, seq long, predicted_at timestamp, rul_cycles double, health_label string, anomaly_score double"
-PREDICTION_STATE = "last_row long, rul double"
-ORDERED_PREDICTION = (
-    "machine_id string, predicted_at timestamp, at long, seq long, rul_cycles double, health_label string, "
-    "anomaly_score double, previous_rul double, late boolean"
-)
+        samples = []
+        for _, machine, sensor, body in rows:
+            if sensor is None:
+                yield Row(machine_id=machine, sensor=None, body=body)
+            else:
+                at, seq, segment, value = body.split(" ")
+                samples.append((int(at), int(seq), int(segment), float(value), machine, sensor))
+        for at, seq, segment, value, machine, sensor in sorted(samples):
+            out = self.sensors.push((machine, sensor), at, segment, value)
+            yield Row(machine_id=machine, sensor=sensor, body=f'{{"at":{at},"seq":{seq},{out}}}')
+        self.sensors.write()
 
 
 class PredictionOrder(InOrder):
-    """The remaining life that the prediction before stated."""
+    """The remaining life that the prediction before stated.
 
-    pending_schema, known_schema = PREDICTION, PREDICTION_STATE
-    _NAMES = ["at", "seq", "predicted_at", "rul_cycles", "health_label", "anomaly_score"]
+    ``marks`` is that life of the row itself, ``-`` without one. Output:
+    ``at seq late previous json``.
+    """
+
+    known_schema = "last_row long, rul string"
 
     def opened(self) -> tuple:
-        return None, None
-
-    def received(self, row: Row) -> tuple:
-        return tuple(row[c] for c in self._NAMES)
-
-    def step(self, key, state, row):
-        return (row[0], row[3]), [self._out(key, row, state[1], False)]
-
-    def late(self, key, row):
-        return self._out(key, row, None, True)
-
-    def _out(self, key, row, previous, late) -> Row:
-        values = dict(zip(self._NAMES, row))
-        return Row(
-            machine_id=key[0],
-            predicted_at=values["predicted_at"],
-            at=values["at"],
-            seq=values["seq"],
-            rul_cycles=values["rul_cycles"],
-            health_label=values["health_label"],
-            anomaly_score=values["anomaly_score"],
-            previous_rul=previous,
-            late=late,
-        )
+        return None, NO_TIME
+
+    def step(self, state, at, seq, body):
+        rul, _, content = body.partition(" ")
+        return (at, rul), f"{at} {seq} 0 {state[1]} {content}"
 
+    def late(self, at, seq, body):
+        return f"{at} {seq} 1 {NO_TIME} {body.partition(' ')[2]}"
 
-COOLDOWN_STATE = "fired long, opened long"
-FIRED = (
-    "machine_id string, predicted_at timestamp, seq long, rul_cycles double, health_label string, "
-    "anomaly_score double, active_sensor_count int, previous_rul double, rule_id string, rule_name string, "
-    "severity string, condition_type string, thresholds map<string,string>, window_start long, notify boolean, late boolean"
-)
-_HIT = ["predicted_at", "seq", "rul_cycles", "health_label", "anomaly_score", "active_sensor_count", "previous_rul"]
-_RULE = ["rule_name", "severity", "condition_type"]
+
+#: A fired rule, or a late prediction on its way past the cooldown.
+FIRED = "machine_id string, rule_id string, window_start long, notify boolean, body string"
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Cooldown and aggregation window of one rule on one machine.
+    """Cooldown and aggregation window of each rule on each machine; a hit's body is ``at seq cooldown json``.
 
-    Input rows are hits, with the rule's fields. Late rows pass by, as rows
-    without a rule.
+    Rows without a rule are late predictions.
     """
 
     def __init__(self, window_s: int, ttl_ms: int | None):
         self.window, self.ttl = window_s * MICROS, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rule", COOLDOWN_STATE, self.ttl)
+        self.state = handle.getMapState("rules", "machine string, rule string", "fired long, opened long", self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        if key[1] is None:
-            for row in rows:
-                yield self._out(key, row, None, False)
-            return
-        known = self.state.get()
-        fired, opened = (None, None) if known is None else tuple(known)
-        changed = False
-        for row in sorted(rows, key=lambda r: (r["at"], r["seq"])):
-            if fired is not None and row["at"] - fired < row["cooldown_s"] * MICROS:
-                continue
-            notify = opened is None or row["at"] - opened > self.window
-            if notify:
-                opened = row["at"]
-            fired, changed = row["at"], True
-            yield self._out(key, row, opened, notify)
-        if changed:
-            self.state.update((fired, opened))
-
-    @staticmethod
-    def _out(key, row, opened, notify) -> Row:
-        return Row(
-            machine_id=key[0],
-            **{c: row[c] for c in _HIT},
-            rule_id=key[1],
-            **{c: row[c] for c in _RULE},
-            thresholds=_as_dict(row["thresholds"]),
-            window_start=opened,
-            notify=notify,
-            late=row["late"],
-        )
+        hits = []
+        for _, machine, rule, body in rows:
+            at, seq, cooldown, content = body.split(" ", 3)
+            if rule is None:
+                yield Row(machine_id=machine, rule_id=None, window_start=None, notify=False, body=content)
+            else:
+                hits.append(((machine, rule), int(at), int(seq), int(cooldown), content))
+        for (machine, rule), own in _grouped(hits).items():
+            name = (NOBODY if machine is None else machine, rule)
+            known = self.state.getValue(name)
+            before = fired, opened = (None, None) if known is None else tuple(known)
+            for at, _, cooldown, content in sorted(own):
+                if fired is not None and at - fired < cooldown * MICROS:
+                    continue
+                notify = opened is None or at - opened > self.window
+                if notify:
+                    opened = at
+                fired = at
+                yield Row(machine_id=machine, rule_id=rule, window_start=opened, notify=notify, body=content)
+            if (fired, opened) != before:
+                self.state.updateValue(name, (fired, opened))
