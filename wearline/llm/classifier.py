@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import blocks, remainder, text_of
+from wearline.llm.common import Carried, blocks, remainder, text_of
 
 PASSAGE_BYTES = 1024
 SAMPLE_ROWS = 6000
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: AttentionModel, threshold: float = 0.7, modulu
     passage; repeated rows have equal scores; extra columns are ignored; an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Carried(docs.sparkSession, model)
 
     def run(batches):
         for batch in blocks(batches):
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: AttentionModel, threshold: float = 0.7, modulu
 
 def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Carried(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline import session
@@ -41,6 +43,24 @@ def per_worker(name: str, make: Callable):
     return getattr(state, name)
 
 
+class Carried:
+    """A broadcast object of a class of this package, for executors that do not have the package.
+
+    A plain broadcast names the class; this one carries it, and each worker
+    keeps the last object of a kind it has read.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.raw, self.kind, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), type(value).__name__, uuid.uuid4().hex
+
+    @property
+    def value(self):
+        held = per_worker("carried", dict)
+        if held.get(self.kind, (None,))[0] != self.key:
+            held[self.kind] = (self.key, pickle.loads(self.raw.value))
+        return held[self.kind][1]
+
+
 def text_of(df: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` only; a null text counts as empty."""
     return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

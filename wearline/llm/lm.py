@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import blocks, per_worker, remainder, stored, text_of
+from wearline.llm.common import Carried, blocks, per_worker, remainder, stored, text_of
 
 #: A word kept in memory with its scores makes up at least this share of the training tokens, so there are at most 200,000.
 COMMON_SHARE = 5e-6
@@ -159,7 +159,7 @@ def score(docs: DataFrame, pieces_path: str, modulus: int = 7, held: int = 2, co
     known = counted.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = rows.filter("NOT held_out").count()
     total, distinct = known[0] + ends, known[1] + (ends > 0)
-    lattice = spark.sparkContext.broadcast(Lattice(pieces(pieces_path), _count_pieces(counted, pieces_path), ends))
+    lattice = Carried(spark, Lattice(pieces(pieces_path), _count_pieces(counted, pieces_path), ends))
     unit = math.log(10)
 
     def marginals(batches):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import blocks, release, stored
+from wearline.llm.common import Carried, blocks, release, stored
 from wearline.llm.graphs import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -372,7 +372,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     texts = _with_key(texts)
     counted = frequencies(texts)
     sampler, total, least = _frequent(counted, bands * rows, LEAST_SHARE)
-    shared = spark.sparkContext.broadcast(sampler)
+    shared = Carried(spark, sampler)
     weights = _rare_words(texts, counted, shared, least)
     sketched = stored(_sketched(texts.join(weights.hint("merge"), "key", "left"), shared, total, bands))
     copies = sketched.filter("doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
