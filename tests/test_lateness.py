@@ -144,14 +144,32 @@ def test_idle_sensors_are_forgotten(spark, tmp_path, spread):
     jobs.use_rocksdb(spark)
     out = str(tmp_path / "out")
 
-    def run(stream):
+    def run(rows):
+        spark.createDataFrame(rows, READING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
         parts = jobs.feature_rows(stream, windows_s=[1000], fft_sensors=[], as_of=F.lit(at(99_999)), ttl_ms=2000, spread=spread)
-        return jobs.start(parts, lambda b, i: jobs.write_batch(jobs.assembled(b), out, i), str(tmp_path / "cp"), available_now=True)
-
-    first = [("A", at(i), i, {"t": float(i)}, "") for i in range(3)]
-    replay(spark, [first], READING, str(tmp_path), run)
+        done = []
+
+        def sink(batch, batch_id):
+            shaped = jobs.assembled(batch)
+            jobs.write_batch(shaped, out, batch_id)
+            if spark.read.parquet(f"{out}/batch_id={batch_id}").where(F.col("seq") == rows[-1][2]).count():
+                done.append(batch_id)
+
+        # state that expires keeps a stream running, so it is stopped when the rows are there
+        query = jobs.start(parts, sink, str(tmp_path / "cp"), trigger="0 seconds")
+        limit = time.time() + 90
+        while query.exception() is None and time.time() < limit:
+            # a progress report comes once the batch is committed; stopped before, it would run again
+            if done and query.lastProgress is not None and query.lastProgress["batchId"] >= done[0]:
+                break
+            time.sleep(0.2)
+        query.stop()
+        assert done
+
+    run([("A", at(i), i, {"t": float(i)}, "") for i in range(3)])
     time.sleep(4)
-    replay(spark, [[("A", at(3), 3, {"t": 9.0}, ""), ("A", at(4), 4, {"t": 5.0}, "")]], READING, str(tmp_path), run)
+    run([("A", at(3), 3, {"t": 9.0}, ""), ("A", at(4), 4, {"t": 5.0}, "")])
     got = {r["seq"]: r["windows"][0]["temporal"] for r in jobs.read_batches(spark, out).collect()}
     assert got[2]["t_1000s_mean"] == 1.0
     assert "t_1000s_mean" not in got[3] and got[3]["t_cumulative_mean"] == 9.0
