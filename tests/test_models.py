@@ -131,6 +131,10 @@ def test_retraining(spark, data, tmp_path):
     assert version == 1 and log.load_production(retraining.RUL)[1] is model
 
 
+def test_forests_remember_the_nodes_of_their_rows(fitted):
+    assert all(model.stages[-1].getOrDefault("cacheNodeIds") for model in fitted)
+
+
 def test_cross_validation(data):
     out = training.cross_validate(
         data, ["a", "b"], ["computed_at", "machine_id"], "rul_cycles", n_folds=2, trees=3, depth=3

@@ -60,6 +60,7 @@ def train_health(
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
+        cacheNodeIds=True,  # same trees; else every pass sends them to the tasks and walks each row down from the root
         probabilityCol="_probability",
         rawPredictionCol="_raw",
         predictionCol="_class",
@@ -118,7 +119,7 @@ def train_rul_ensemble(
     rows = impute(df, features).withColumn(label, F.col(label).cast("double"))
     forest = RandomForestRegressor(
         featuresCol=_VECTOR, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed,
-        predictionCol="predicted_rul",
+        predictionCol="predicted_rul", cacheNodeIds=True,
     )
     return PipelineModel([stage, forest.fit(stage.transform(rows).select(_VECTOR, label))])
 
