@@ -1,3 +1,4 @@
+import threading
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -135,6 +136,20 @@ def test_forests_remember_the_nodes_of_their_rows(fitted):
     assert all(model.stages[-1].getOrDefault("cacheNodeIds") for model in fitted)
 
 
+def test_folds_are_fitted_side_by_side(data, monkeypatch):
+    meet, fit = threading.Barrier(2), training.train_rul
+
+    def together(*args, **options):
+        meet.wait(timeout=60)
+        return fit(*args, **options)
+
+    monkeypatch.setattr(training, "train_rul", together)
+    out = training.cross_validate(
+        data, ["a", "b"], ["computed_at", "machine_id"], "rul_cycles", n_folds=2, trees=2, depth=2
+    )
+    assert [r["fold_id"] for r in out.orderBy("fold_id").collect()] == [0, 1]
+
+
 def test_cross_validation(data):
     out = training.cross_validate(
         data, ["a", "b"], ["computed_at", "machine_id"], "rul_cycles", n_folds=2, trees=3, depth=3

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +30,7 @@ BOOST_TREES, BOOST_DEPTH = 100, 4
 ENSEMBLE_TREES = 20
 SEED = 42
 MIN_TRAINING_ROWS = 500
+FOLDS_AT_ONCE = 5
 _VECTOR = "_features"
 
 
@@ -241,10 +245,14 @@ def cross_validate(
     classify: bool = False,
     **size: int,
 ) -> DataFrame:
-    """Metrics per walk-forward fold; each fold fits on its train rows only."""
+    """Metrics per walk-forward fold; each fold fits on its train rows only.
+
+    Folds are fitted side by side: a boosting round is a few short jobs, which
+    alone leave most of a cluster waiting.
+    """
     folds = walk_forward_folds(df, order, n_folds, gap)
-    parts = []
-    for fold in range(n_folds):
+
+    def scores(fold: int) -> DataFrame:
         rows = folds.where(F.col("fold_id") == fold)
         train, test = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test")
         if classify:
@@ -255,7 +263,10 @@ def cross_validate(
             model = train_rul(train, features, label, **size)
             scored = predict_rul(model, test, features)
             m = regression_metrics(scored, label, "predicted_rul").select("mae", "rmse", "r2")
-        parts.append(m.withColumn("fold_id", F.lit(fold)))
+        return m.withColumn("fold_id", F.lit(fold))
+
+    with ThreadPool(min(n_folds, FOLDS_AT_ONCE)) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(scores), range(n_folds), chunksize=1)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
