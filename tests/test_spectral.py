@@ -88,6 +88,21 @@ def test_pearson_against_numpy_with_tail_alignment(spark):
     assert row["ac"] is None and row["short"] is None
 
 
+def test_pearson_work_grows_with_the_samples_not_their_square(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 400))
+    df = spark.createDataFrame(
+        [(a.tolist(), b.tolist()), ([], [1.0] * 12), (None, [1.0] * 12), ([float("nan"), *a[:11].tolist()], b[:12].tolist())],
+        "a array<double>, b array<double>",
+    )
+    out = df.select(correlation.array_pearson(F.col("a"), F.col("b")).alias("ab"))
+    # means stood inside the lambdas of deviations, made anew for every sample: 30 slices in the plan
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("slice(") == 2 and plan.count("aggregate(") == 5
+    found = [r["ab"] for r in out.collect()]
+    assert found[0] == pytest.approx(np.corrcoef(a, b)[0, 1]) and found[1:3] == [None, None] and np.isnan(found[3])
+
+
 def test_rolling_pearson_sliced_equals_whole(spark):
     from tests.conftest import at
 

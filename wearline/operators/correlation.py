@@ -51,21 +51,36 @@ def rolling_pearson(
     )
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` computed once however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def array_pearson(a: Column, b: Column, min_samples: int = 10) -> Column:
-    """Pearson of two sample arrays, the longer one cut from its oldest end."""
+    """Pearson of two sample arrays, the longer one cut from its oldest end; work in proportion to their length."""
     n = F.least(F.size(a), F.size(b))
-    pairs = F.arrays_zip(F.slice(a, -n, n).alias("a"), F.slice(b, -n, n).alias("b"))
-
-    def total(of) -> Column:
-        return F.aggregate(F.transform(pairs, of), F.lit(0.0), lambda acc, x: acc + x)
-
-    mean_a, mean_b = total(lambda p: p["a"]) / n, total(lambda p: p["b"]) / n
-    var_a = total(lambda p: (p["a"] - mean_a) * (p["a"] - mean_a)) / n
-    var_b = total(lambda p: (p["b"] - mean_b) * (p["b"] - mean_b)) / n
-    cov = total(lambda p: (p["a"] - mean_a) * (p["b"] - mean_b)) / n
-    spread_a, spread_b = F.sqrt(var_a), F.sqrt(var_b)
-    usable = (n >= min_samples) & (spread_a >= CONSTANT_BELOW) & (spread_b >= CONSTANT_BELOW)
-    return F.when(usable, F.try_divide(cov, spread_a * spread_b))
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / n
+
+    def of_means(cut: Column, at: Column) -> Column:
+        off = F.struct(
+            mean(F.transform(cut["a"], lambda x: (x - at["a"]) * (x - at["a"]))).alias("a"),
+            mean(F.transform(cut["b"], lambda x: (x - at["b"]) * (x - at["b"]))).alias("b"),
+            mean(F.zip_with(cut["a"], cut["b"], lambda x, y: (x - at["a"]) * (y - at["b"]))).alias("ab"),
+        )
+        return _bound(off, of_spread)
+
+    def of_spread(off: Column) -> Column:
+        spread_a, spread_b = F.sqrt(off["a"]), F.sqrt(off["b"])
+        usable = (spread_a >= CONSTANT_BELOW) & (spread_b >= CONSTANT_BELOW)
+        return F.when(usable, F.try_divide(off["ab"], spread_a * spread_b))
+
+    def of_cut(cut: Column) -> Column:
+        return _bound(F.struct(mean(cut["a"]).alias("a"), mean(cut["b"]).alias("b")), lambda at: of_means(cut, at))
+
+    cut = F.struct(F.slice(a, -n, n).alias("a"), F.slice(b, -n, n).alias("b"))
+    return F.when(n >= min_samples, _bound(cut, of_cut))
 
 
 def pair_rows(df: DataFrame, by: list[str], sensor: str = "sensor", value: str = "value") -> DataFrame:

@@ -300,14 +300,14 @@ def computed_features(
         ]
     correlation = []
     for a, b in sensor_pairs(fft_sensors):
+        name = f"{a}_x_{b}_pearson"
         value = array_pearson(
             F.try_element_at(samples, F.lit(a)), F.try_element_at(samples, F.lit(b)), pearson_min
         )
+        rows = rows.withColumn(f"_c_{name}", value)
+        value = F.col(f"_c_{name}")
         correlation.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(F.lit(f"{a}_x_{b}_pearson").alias("k"), value.alias("v")),
-            )
+            F.when(value.isNotNull(), F.struct(F.lit(name).alias("k"), value.alias("v")))
         )
 
     def as_map(entries):
