@@ -1,3 +1,4 @@
+import json
 import random
 import time
 from collections import defaultdict
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import BASE, at
 from wearline.operators import quality, rolling, rules
-from wearline.streaming import jobs
+from wearline.streaming import jobs, processors
 
 READING = "machine_id string, recorded_at timestamp, seq long, readings map<string,double>, value string"
 PRED = "machine_id string, predicted_at timestamp, seq long, rul_cycles double, health_label string, anomaly_score double"
@@ -192,6 +193,93 @@ def test_idle_machines_are_forgotten_by_event_time(spark, tmp_path):
     assert got[90]["t_cumulative_mean"] == 5.0 and got[91]["t_cumulative_mean"] == pytest.approx(10 / 7)
 
 
+class Kept:
+    """State in memory that counts its calls; a map, or a list under the key None."""
+
+    def __init__(self):
+        self.held, self.calls, self.timers = {}, 0, []
+
+    def getMapState(self, *_):
+        return self.part("map")
+
+    def getListState(self, *_):
+        return self.part("list")
+
+    def part(self, name):
+        self.__dict__[name] = Kept()
+        return self.__dict__[name]
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def exists(self):
+        return bool(self.held.get(None))
+
+    def get(self):
+        return iter(self.held[None])
+
+    def appendList(self, rows):
+        self.calls += len(rows)
+        self.held[None] = [*self.held.get(None, []), *rows]
+
+    def put(self, rows):
+        self.calls += len(rows)
+        self.held[None] = list(rows)
+
+    def clear(self):
+        self.held = {}
+
+
+class Clock:
+    def __init__(self, watermark=0, now=0):
+        self.getCurrentWatermarkInMs, self.getCurrentProcessingTimeInMs = (lambda: watermark), (lambda: now)
+
+
+def body(second, **readings):
+    return f'{second * 1_000_000} {second} 000 {{"readings":{json.dumps(readings)},"original":null}}'
+
+
+def shown(rows):
+    out = []
+    for row in rows:
+        at, _, _, _, content = row["body"].split(" ", 4)
+        out.append((row["machine_id"], int(at) // 1_000_000, {k: x["mean"] for k, x in json.loads(content)["x"].items()}))
+    return sorted(out)
+
+
+def test_state_calls_grow_with_machines_not_with_sensors_or_rows():
+    values = {f"s{i}": float(i) for i in range(20)}
+    handle = Kept()
+    order = processors.ReadingProcessor(True, None, processors.SensorState([10, 40], [], 0))
+    order.init(handle)
+    rows = [(0, m, body(t, **values)) for m in ("A", "B") for t in (9, 3, 1, 7, 30, 5)]
+    assert list(order.handleInputRows(0, iter(rows), Clock())) == []
+    assert handle.list.calls == 1 and handle.timers == [1000]  # 12 rows wait in one text
+    first = list(order.handleExpiredTimer(0, Clock(watermark=6000), None))
+    assert [(m, t) for m, t, _ in shown(first)] == [(m, t) for m in "AB" for t in (1, 3, 5)]
+    assert handle.map.calls == 4 and handle.timers[-1] == 7000  # 2 machines, once read and once written
+    assert list(order.handleExpiredTimer(0, Clock(watermark=6000), None)) == []
+    then = list(order.handleExpiredTimer(0, Clock(watermark=30_000), None))
+    assert shown(then) == [(m, t, values) for m in "AB" for t in (7, 9, 30)]
+    assert handle.map.calls == 8 and not handle.list.exists()
+
+
+def test_an_idle_sensor_of_a_busy_machine_is_forgotten():
+    order = processors.ReadingProcessor(False, 2000, processors.SensorState([1000], [], 0))
+    order.init(Kept())
+    cuts = [(0, 1, {"a": 1.0, "b": 1.0}), (1500, 2, {"a": 3.0}), (2500, 3, {"a": 5.0, "b": 9.0})]
+    got = [shown(order.handleInputRows(0, iter([(0, "A", body(t, **v))]), Clock(now=now))) for now, t, v in cuts]
+    assert got == [[("A", 1, {"a": 1.0, "b": 1.0})], [("A", 2, {"a": 2.0})], [("A", 3, {"a": 3.0, "b": 9.0})]]
+
+
 def test_windows_by_reading_equal_whole_windows():
     from wearline.functions.windowing import MICROS, statistics
     from wearline.streaming.windows import STATS, SensorWindows

@@ -16,6 +16,7 @@ sensor, machine and rule): a group's fixed cost is paid per bucket.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterable, Iterator
 from math import isfinite
 from typing import Any
@@ -26,6 +27,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wearline.functions.windowing import MICROS
 from wearline.streaming.windows import SensorWindows
 
+#: Waiting rows in one stored text.
+PACKED = 4096
 #: ``at`` of a row without a time, and the state's name of rows without a machine.
 NO_TIME, NOBODY = "-", "\x00"
 
@@ -49,9 +52,14 @@ class InOrder(StatefulProcessor):
 
     Subclasses give ``known_schema`` (its first column is the time of the last
     row), ``opened`` (the state when there is none), ``step`` (state and row to
-    state and output) and ``late`` (the output of a late row). ``idle_ms``: a
+    state and output) and ``late`` (the output of a late row); ``read`` and
+    ``written`` turn a stored entry into the state and back. ``idle_ms``: a
     machine without rows for so long is forgotten, by event time with ``waits``
     (a sweep of the bucket's entries) and by processing time without.
+
+    Waiting rows are stored as texts of up to ``PACKED`` rows, with their earliest
+    time: a row's own list entry would cost more than its step, and a text that is
+    not due yet is passed over unread.
     """
 
     known_schema: str
@@ -63,7 +71,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         ttl = None if self.waits else self.idle
         self.known = handle.getMapState("known", "machine string", self.known_schema, ttl)
-        schema = "machine string, at long, seq long, body string"
+        schema = "first long, rows string"
         self.pending = handle.getListState("pending", schema) if self.waits else None
         self.sweep = handle.getValueState("sweep", "at long") if self.waits and self.idle is not None else None
 
@@ -88,22 +96,36 @@ class InOrder(StatefulProcessor):
         if not fresh:
             return
         if self.waits:
-            self.pending.appendList(fresh)
-            self.handle.registerTimer(self._due(min(r[1] for r in fresh)))
+            texts = self._packed(fresh)
+            self.pending.appendList(texts)
+            self.handle.registerTimer(self._due(min(first for first, _ in texts)))
         else:
-            yield from self._hand_on(fresh)
+            yield from self._hand_on(fresh, timerValues)
+
+    @staticmethod
+    def _packed(rows: list[tuple]) -> list[tuple[int, str]]:
+        rows = sorted(rows, key=lambda r: r[1])
+        parts = [rows[i : i + PACKED] for i in range(0, len(rows), PACKED)]
+        return [(part[0][1], json.dumps(part)) for part in parts]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        due = [r for r in rows if r[1] <= passed]
+        texts = [tuple(t) for t in self.pending.get()] if self.pending.exists() else []
+        rest, due = [], []
+        for first, text in texts:
+            if first > passed:
+                rest.append((first, text))
+            else:
+                rows = json.loads(text)
+                due += [r for r in rows if r[1] <= passed]
+                rest += self._packed([r for r in rows if r[1] > passed])
         if due:
-            self.pending.clear()
-            rest = [r for r in rows if r[1] > passed]
             if rest:
-                self.pending.appendList(rest)
-                self.handle.registerTimer(self._due(min(r[1] for r in rest)))
-            yield from self._hand_on(due)
+                self.pending.put(rest)
+                self.handle.registerTimer(self._due(min(first for first, _ in rest)))
+            else:
+                self.pending.clear()
+            yield from self._hand_on(due, timerValues)
         if self.sweep is not None:
             self._forget(passed // 1000)
 
@@ -116,31 +138,30 @@ class InOrder(StatefulProcessor):
             for machine, state in list(self.known.iterator()):
                 if self._due(state[0]) + self.idle <= now:
                     self.known.removeKey(machine)
-                    self._forgotten(machine[0])
         self.sweep.update((now + self.idle,))
         self.handle.registerTimer(now + self.idle)
 
-    def _forgotten(self, machine: str) -> None:
-        """Drops what else is kept of a machine."""
-
     @staticmethod
     def _due(at: int) -> int:
         """The first millisecond that is not before ``at``."""
         return -(-at // 1000)
 
-    def _hand_on(self, rows: Iterable[tuple]) -> Iterator[Row]:
+    def _hand_on(self, rows: Iterable[tuple], timerValues: Any) -> Iterator[Row]:
+        self.now = None if self.waits or self.idle is None else timerValues.getCurrentProcessingTimeInMs()
         for machine, own in _grouped(rows).items():
             name = (NOBODY if machine is None else machine,)
             state = self.known.getValue(name)
-            state = self.opened() if state is None else tuple(state)
+            state = self.opened() if state is None else self.read(tuple(state))
             for at, seq, body in sorted(own):
                 state, out = self.step(state, at, seq, body)
-                yield Row(machine_id=machine, body=self.finished(machine, at, out))
-            self.known.updateValue(name, state)
+                yield Row(machine_id=machine, body=out)
+            self.known.updateValue(name, self.written(state))
 
-    def finished(self, machine: str | None, at: int, out: str) -> str:
-        """What is handed on of a row after its step."""
-        return out
+    def read(self, entry: tuple) -> tuple:
+        return entry
+
+    def written(self, state: tuple) -> tuple:
+        return state
 
 
 #: What an ordering step gives: the row's machine, and its text.
@@ -201,7 +222,7 @@ def _values(content: str) -> dict:
 
 
 class SensorState:
-    """Windows and cumulative values of every sensor in a bucket, read when first asked for and written back at the end.
+    """Windows and cumulative values of a sensor: what is kept of it and how a sample is taken in.
 
     Kept per machine and sensor: the samples of the longest window plus
     ``delay_s``, and the cumulative mean and maximum; a new ``segment`` clears them.
@@ -213,19 +234,18 @@ class SensorState:
         self.windows, self.sampled = sorted(windows_s), set(sampled)
         self.keep = (max(windows_s) + delay_s) * MICROS
 
-    def open(self, handle: StatefulProcessorHandle, ttl_ms: int | None) -> None:
-        self.state = handle.getMapState("sensors", "machine string, sensor string", self.SCHEMA, ttl_ms)
-        self.held: dict[tuple, list] = {}
+    def read(self, entry: tuple | None) -> list:
+        if entry is None:
+            return [None, None, 0, 0.0, float("-inf")]
+        return [SensorWindows(self.windows, self.keep, entry[0], entry[1]), *entry[2:]]
+
+    @staticmethod
+    def written(held: list) -> tuple:
+        buffer, *rest = held
+        return (*buffer.packed(), *rest)
 
-    def push(self, name: tuple[str, str], at: int, segment: int, value: float) -> str:
+    def push(self, held: list, sensor: str, at: int, segment: int, value: float) -> str:
         """Takes in a sample; members of a JSON object: per window its length, size and the statistics of two samples or more."""
-        held = self.held.get(name)
-        if held is None:
-            known = self.state.getValue(name)
-            held = [None, None, 0, 0.0, float("-inf")]
-            if known is not None:
-                held = [SensorWindows(self.windows, self.keep, known[0], known[1]), *known[2:]]
-            self.held[name] = held
         if held[0] is None or held[1] != segment:
             held[:] = [SensorWindows(self.windows, self.keep), segment, 0, 0.0, float("-inf")]
         buffer = held[0]
@@ -236,46 +256,54 @@ class SensorState:
         found = buffer.at(at)
         windows = [f"[{','.join(map(_shown, (w, size, *(s or ()))))}]" for w, (size, s, _) in zip(self.windows, found)]
         out = f'"mean":{_shown(held[3])},"top":{_shown(held[4])},"w":[{",".join(windows)}]'
-        if name[1] in self.sampled:
+        if sensor in self.sampled:
             samples = [list(buffer.values[low:high]) if high - low >= 2 else None for _, _, (low, high) in found]
             out = f'{out},"s":{json.dumps(samples)}'
         return out
 
-    def write(self) -> None:
-        for name, (buffer, *rest) in self.held.items():
-            self.state.updateValue(name, (*buffer.packed(), *rest))
-        self.held.clear()
-
 
 class ReadingProcessor(ReadingOrder):
-    """Order, quality context and windows of a machine's readings in one step; the JSON gets the sensors' statistics as ``x``."""
+    """Order, quality context and windows of a machine's readings in one step; the JSON gets the sensors' statistics as ``x``.
+
+    A machine's sensors are one text in its entry: read and written once, however
+    many there are. A sensor's entry ends with the processing time it was last
+    written, by which an idle one is forgotten when state expires by that time.
+    """
+
+    known_schema = f"{ReadingOrder.known_schema}, sensors binary"
 
     def __init__(self, waits: bool, idle_ms: int | None, sensors: SensorState):
         super().__init__(waits, idle_ms)
         self.sensors = sensors
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.sensors.open(handle, None if self.waits else self.idle)
+    def opened(self) -> tuple:
+        return *super().opened(), ({}, {})
 
-    def _forgotten(self, machine: str) -> None:
-        for name in [n for n in self.sensors.state.keys() if n[0] == machine]:
-            self.sensors.state.removeKey(tuple(name))
+    def read(self, entry: tuple) -> tuple:
+        *known, packed = entry
+        stored = pickle.loads(packed)
+        if self.now is not None:
+            stored = {k: e for k, e in stored.items() if e[-1] is None or e[-1] + self.idle > self.now}
+        return *known, (stored, {})
 
-    def _hand_on(self, rows: Iterable[tuple]) -> Iterator[Row]:
-        yield from super()._hand_on(rows)
-        self.sensors.write()
+    def written(self, state: tuple) -> tuple:
+        *known, (stored, held) = state
+        fresh = {k: (*self.sensors.written(h), self.now) for k, h in held.items()}
+        return *known, pickle.dumps(stored | fresh, pickle.HIGHEST_PROTOCOL)
 
-    def finished(self, machine: str | None, at: int, out: str) -> str:
+    def step(self, state, at, seq, body):
+        *known, (stored, held) = state
+        known, out = super().step(known, at, seq, body)
         _, _, segment, marks, content = out.split(" ", 4)
-        if marks[1] == "1":
-            return out
-        part = int(segment)
-        own = ",".join(
-            f"{json.dumps(sensor)}:{{{self.sensors.push((machine, sensor), at, part, float(value))}}}"
-            for sensor, value in _values(content).items()
-        )
-        return f'{out[:-1]},"x":{{{own}}}}}'
+        if marks[1] == "0":
+            part, own = int(segment), []
+            for sensor, value in _values(content).items():
+                if sensor not in held:
+                    entry = stored.get(sensor)
+                    held[sensor] = self.sensors.read(None if entry is None else entry[:-1])
+                own.append(f"{json.dumps(sensor)}:{{{self.sensors.push(held[sensor], sensor, at, part, float(value))}}}")
+            out = f'{out[:-1]},"x":{{{",".join(own)}}}}}'
+        return (*known, (stored, held)), out
 
 
 #: The windows' output: a reading's text as it came (no sensor), or the statistics of one of its sensors.
@@ -292,7 +320,7 @@ class WindowProcessor(StatefulProcessor):
         self.sensors, self.ttl = sensors, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sensors.open(handle, self.ttl)
+        self.state = handle.getMapState("sensors", "machine string, sensor string", self.sensors.SCHEMA, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         samples = []
@@ -302,10 +330,15 @@ class WindowProcessor(StatefulProcessor):
             else:
                 at, seq, segment, value = body.split(" ")
                 samples.append((int(at), int(seq), int(segment), float(value), machine, sensor))
+        held: dict[tuple, list] = {}
         for at, seq, segment, value, machine, sensor in sorted(samples):
-            out = self.sensors.push((machine, sensor), at, segment, value)
+            name = (machine, sensor)
+            if name not in held:
+                held[name] = self.sensors.read(self.state.getValue(name))
+            out = self.sensors.push(held[name], sensor, at, segment, value)
             yield Row(machine_id=machine, sensor=sensor, body=f'{{"at":{at},"seq":{seq},{out}}}')
-        self.sensors.write()
+        for name, one in held.items():
+            self.state.updateValue(name, self.sensors.written(one))
 
 
 class PredictionOrder(InOrder):
