@@ -32,6 +32,18 @@ def test_chunk_encoder_equals_library(path):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_marks_accents_and_line_ends_share_a_words_ids(path, monkeypatch):
+    encoder = ChunkEncoder(path)
+    encoder.ids(["seen *** ,. ."])
+    split, asked = encoder.pretokens, []
+    monkeypatch.setattr(encoder, "pretokens", lambda text: asked.append(text) or split(text))
+    text = "Été seen, Été*** Été,.\nseen.\nÉté Été\nseen"
+    ids = np.frombuffer(encoder.ids([text])[0], encoder.dtype).tolist()
+    assert ids == reference(path, text)
+    assert not [x for x in asked if any(c.isalpha() for c in x)]
+
+
 def test_pair_index_equals_library():
     codec, library = bpe.PairIndexBpe(BYTES), Tokenizer.from_file(BYTES)
     texts = hostile(seed=5) + [r[1] or "" for r in odd_rows()]

@@ -36,8 +36,8 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
     def run(batches):
         encode = encoder(path)
         kind, total, rows = encode.dtype, 0, []
+        end = kind.type(end_id).tobytes()
         frequency = np.zeros(encode.tokenizer.get_vocab_size() + end_id + 1, np.int64)
-        seen = np.zeros(len(frequency), bool)
 
         def flush():
             columns = list(zip(*rows)) or [()] * 7
@@ -48,11 +48,10 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
 
         for batch in blocks(batches):
             for doc, raw in zip(batch.column("doc_id").to_pylist(), encode.ids(batch.column("text").to_pylist())):
-                ids = np.append(np.frombuffer(raw, kind), kind.type(end_id))
+                ids = np.frombuffer(raw + end, kind)
                 n, tail = len(ids), len(ids) // window * window
-                seen[ids] = True
-                frequency[np.flatnonzero(seen)] += 1
-                seen[ids] = False
+                ordered = np.sort(ids)
+                frequency[ordered[np.append(True, ordered[1:] != ordered[:-1])]] += 1
                 total += 1
                 rows += [(doc, at, window, _crc(ids[at : at + window]), n, 0, None) for at in range(0, tail, window)]
                 if tail < n:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Callable
 
 import numpy as np
 
@@ -21,8 +20,8 @@ from wearline.llm.common import per_worker
 KEPT_CHUNKS = 800_000
 #: Up to this letter the pattern classes of all Unicode versions agree.
 LAST_SIMPLE = "\u024f"
-#: Characters that are a pre-token of their own after letters, whatever the letters.
-_MARKS = frozenset('.,;:!?)]}"%&*#$')
+#: Characters whose runs are pre-tokens of their own after letters, whatever the letters.
+_MARKS = '.,;:!?)]}"%&*#$'
 #: A space inside white space, where the byte-level pattern looks at the whole run.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 #: The byte-level pre-tokenizer's pattern.
@@ -59,8 +58,10 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.space = self.alphabet[0x20]
-        self.known = _Chunks(self._one, " " if self.keeps_space else "")
-        self.pieces = _Chunks(self._piece, "")
+        self.bare = _Chunks(self, "")
+        #: Chunks that follow a space in their text; where spaces are dropped they are as the bare ones.
+        self.known = _Chunks(self, " ") if self.keeps_space else self.bare
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -71,22 +72,37 @@ class ChunkEncoder:
             return False
         return not (self.keeps_space and _RUN.search(text))
 
+    def encoded(self, chunk: str, like: _Chunks) -> bytes:
+        """The ids of ``like.before`` and the chunk. ``word``, ``word,``, ``word***`` and the first of two lines share their words' ids."""
+        simple = chunk.isascii() or max(chunk) <= LAST_SIMPLE
+        if simple:
+            # composition leaves these characters alone, so lower case is all that changes them
+            if self.lowers and (lower := chunk.lower()) != chunk:
+                return like[lower]
+            if chunk.isalpha():
+                return self._piece(like.before + chunk)
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha():
+                return like[word] + self.bare[chunk[len(word) :]]
+            if self.keeps_space and "\n" in chunk:
+                # single line ends between characters that are no white space are pre-tokens
+                first, *rest = chunk.split("\n")
+                if first and all(rest) and all(map(str.isprintable, (first, *rest))):
+                    return like[first] + b"".join([self._kept("\n") + self.bare[line] for line in rest])
+        return self._one(like.before + chunk)
+
     def _one(self, chunk: str) -> bytes:
         if not chunk:
             return b""
         if not chunk.isascii() and max(chunk) > LAST_SIMPLE:
             return self._whole(chunk)
-        # composition leaves these characters alone, so lower case is all that changes them
-        text = chunk.lower() if self.lowers else chunk
-        word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            return self.pieces[text]
-        if word[:-1].isalpha() and word[-1] in _MARKS:
-            return self.pieces[text[:-1]] + self.pieces[word[-1]]
-        pieces = self.pretokens(text)
-        if len(pieces) == 1:
-            return self.pieces[pieces[0]]
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self._kept, self.pretokens(chunk)))
+
+    def _kept(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces[piece] = self._piece(piece)
+        return found
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token, written in the byte alphabet (printable ASCII stands for itself)."""
@@ -98,16 +114,17 @@ class ChunkEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, of ``dtype``."""
-        if len(self.known) + len(self.pieces) > KEPT_CHUNKS:
-            self.known.clear()
-            self.pieces.clear()
+        held = [self.known, self.pieces] + [self.bare] * self.keeps_space
+        if sum(map(len, held)) > KEPT_CHUNKS:
+            for kept in held:
+                kept.clear()
         found = []
         for text in texts:
             if not self._cuttable(text):
                 found.append(self._whole(text))
             elif self.keeps_space:
                 first, *rest = text.split(" ")
-                found.append((self._one(first) if first else b"") + b"".join(map(self.known.__getitem__, rest)))
+                found.append((self.bare[first] if first else b"") + b"".join(map(self.known.__getitem__, rest)))
             else:
                 # white space is dropped, so a line's end cuts as a space does
                 found.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
@@ -117,12 +134,12 @@ class ChunkEncoder:
 class _Chunks(dict):
     """Ids by chunk, encoded when first asked for; ``before`` is what stands before each chunk in its text."""
 
-    def __init__(self, encode: Callable[[str], bytes], before: str):
+    def __init__(self, encoder: ChunkEncoder, before: str):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.before = encoder.encoded, before
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = self.encode(self.before + chunk)
+        found = self[chunk] = self.encode(chunk, self)
         return found
 
 
