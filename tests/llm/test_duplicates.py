@@ -294,6 +294,21 @@ def test_block_links_equal_single_pairs():
     assert same(parent) == same(want)
 
 
+def test_shingles_and_samples_of_many_texts_equal_single_ones(monkeypatch):
+    draw = random.Random(15)
+    texts = ["", "a b", *(" ".join(draw.choices(PROSE[:40], k=draw.randint(0, 60))) for _ in range(60)), "x x x x x x x"]
+    seen = Counter(w for t in texts for w in set(minhash.words(t)))
+    sampler = minhash.Sampler({w: 1.0 + n for w, n in list(seen.items())[:20]}, 9.0, 12)
+    rare = [[(i << minhash._NUMBER) + seen[w] for i, w in enumerate(minhash._apart(minhash.words(t), sampler.idf)) if seen[w] > 1] for t in texts]
+    single = [sampler.counted(t, own) for t, own in zip(texts, minhash._own(texts, rare, sampler, len(texts)))]
+    together = sampler.counted_all(list(map(minhash.words, texts)), rare=rare, total=len(texts))
+    assert [[x.tolist() for x in s] for s in together] == [[x.tolist() for x in s] for s in single]
+    sets = [(h, u * n) for h, u, n in together if len(h)]
+    alone = [sampler.signatures([s])[0].tolist() for s in sets]
+    monkeypatch.setattr(minhash, "_DRAWN", 70)
+    assert sampler.signatures(sets).tolist() == alone
+
+
 def test_suffix_array():
     draw = random.Random(10)
     for _ in range(1500):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ _COUNTED_WORDS = 200_000
 _HUBS = 2
 _NUMBER = 40
 _SKETCHED_BYTES = 1 << 20
+#: Shingles whose samples are drawn together, so that the arrays stay in the processor's cache.
+_DRAWN = 1 << 14
 _BLOCK, _COLUMNS = 256, 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
@@ -45,6 +48,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _distinct(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, ascending, their units (alike for equal hashes) and counts."""
+    order = hashes.argsort()
+    hashes = hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    if len(first) == len(hashes):
+        return hashes, unit[order], np.ones(len(hashes), np.int64)
+    return hashes[first], unit[order[first]], np.diff(np.append(first, len(hashes)))
+
+
 class Sampler:
     """Weighted shingles of texts, their consistent weighted samples, and the weighted Jaccard similarity.
 
@@ -73,39 +86,108 @@ class Sampler:
 
     def counted(self, text: str, own: dict[bytes, float] = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, ascending, inverse document frequencies and counts. A text under five words is one shingle; one without words has none."""
-        tokens = words(text)
-        if not tokens:
-            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
-        number: dict[bytes, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in tokens])
-        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in number], dtype=np.uint64)[at]
-        weight = np.array([self.idf[w] if w in self.idf else own.get(w, self.rare) for w in number])[at]
-        n, width = max(1, len(tokens) - WIDTH + 1), min(WIDTH, len(tokens))
+        return self.counted_all([words(text)], own)[0]
+
+    def counted_all(
+        self, texts: list[list[bytes]], own: dict[bytes, float] = {}, rare: list[list[int] | None] = (), total: int = 0
+    ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``counted`` of each text's words, laid end to end; shingles across two texts are left out.
+
+        ``rare`` has word numbers and frequencies as ``_rare_words`` packs them. A
+        word's frequency is that in all rows, so it weighs alike in all texts.
+        """
+        distinct = list(dict.fromkeys(chain.from_iterable(texts)))
+        number = dict(zip(distinct, range(len(distinct))))
+        sizes = [len(t) for t in texts]
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).tolist()
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], dtype=np.uint64)[at]
+        known = self.idf.get
+        weight = np.array([known(w, math.nan) for w in distinct], dtype=np.float64)
+        apart = np.isnan(weight)
+        weight[apart] = [own.get(distinct[i], self.rare) for i in np.flatnonzero(apart).tolist()] if own else self.rare
+        places, values, idf = [], [], {}
+        for start, n, packed in zip(starts, sizes, rare):
+            if packed:
+                numbers = at[start : start + n]
+                # as in ``_apart``
+                names = list(dict.fromkeys(numbers[apart[numbers]].tolist()))
+                places += [names[x >> _NUMBER] for x in packed]
+                counts = [x & ((1 << _NUMBER) - 1) for x in packed]
+                idf.update((c, _idf(total, c)) for c in counts if c not in idf)
+                values += [idf[c] for c in counts]
+        weight[np.array(places, np.int64)] = values
+        weight = weight[at]
+        whole, sums = self._joined(hashed, weight, WIDTH)
+        found = []
+        for start, n in zip(starts, sizes):
+            if n >= WIDTH:
+                part = slice(start, start + n - WIDTH + 1)
+                found.append(_distinct(whole[part], sums[part]))
+            elif n:
+                found.append(_distinct(*self._joined(hashed[start : start + n], weight[start : start + n], n)))
+            else:
+                found.append((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)))
+        return found
+
+    @staticmethod
+    def _joined(hashed: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and summed weight of each ``width`` neighbours."""
+        n = max(0, len(hashed) - width + 1)
         whole, sums = np.full(n, width, dtype=np.uint64), np.zeros(n)
-        for k in range(width):
+        for k in range(width if n else 0):
             whole = (whole ^ hashed[k : k + n]) * _U(0x9E3779B97F4A7C15)
             whole ^= whole >> _U(29)
             sums += weight[k : k + n]
-        found, first, count = np.unique(whole, return_index=True, return_counts=True)
-        return found, sums[first], count
+        return whole, sums
 
     def signatures(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """One row of samples per non-empty set, as 64-bit hashes of (shingle, t)."""
+        out, at = np.empty((len(sets), len(self.seeds)), dtype=np.uint64), 0
+        while at < len(sets):
+            end, total = at, 0
+            while end < len(sets) and total < _DRAWN:
+                total += len(sets[end][0])
+                end += 1
+            self._draw(sets[at:end], out[at:end])
+            at = end
+        return out
+
+    def _draw(self, sets: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
         sizes = np.array([len(h) for h, _ in sets])
         starts = np.cumsum(sizes) - sizes
         hashes, logs = np.concatenate([h for h, _ in sets]), np.log(np.concatenate([w for _, w in sets]))
         owner = np.repeat(np.arange(len(sets)), sizes)
-        out = np.empty((len(sets), len(self.seeds)), dtype=np.uint64)
+        x, y = np.empty_like(hashes), np.empty_like(hashes)
+        places = y.view(np.int64)
+        a, b, r, t = (np.empty(len(hashes)) for _ in range(4))
         for k, seed in enumerate(self.seeds):
-            x = _mix(hashes ^ seed)
-            r = self.r[x & _U(0xFFF)]
-            b = ((x >> _U(12)) & _U(0xFFFFF)) * 2.0**-20
-            t = np.floor(logs / r + b)
-            a = self.log_c[x >> _U(48)] - r * (t - b) - r
-            hit = np.flatnonzero(a == np.minimum.reduceat(a, starts)[owner])
-            hit = hit[np.searchsorted(owner[hit], np.arange(len(sets)))]
+            np.bitwise_xor(hashes, seed, out=x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+                np.right_shift(x, _U(shift), out=y)
+                x ^= y
+                if factor:
+                    x *= _U(factor)
+            np.bitwise_and(x, _U(0xFFF), out=y)
+            self.r.take(places, out=r, mode="clip")
+            np.right_shift(x, _U(12), out=y)
+            y &= _U(0xFFFFF)
+            np.multiply(places, 2.0**-20, out=b)
+            np.right_shift(x, _U(48), out=y)
+            self.log_c.take(places, out=a, mode="clip")
+            np.divide(logs, r, out=t)
+            t += b
+            np.floor(t, out=t)
+            # a = ln c - r (t - b) - r
+            np.subtract(t, b, out=b)
+            b *= r
+            a -= b
+            a -= r
+            np.minimum.reduceat(a, starts).take(owner, out=b, mode="clip")
+            hit = np.flatnonzero(a == b)
+            if len(hit) > len(sets):
+                hit = hit[np.searchsorted(owner[hit], np.arange(len(sets)))]
             out[:, k] = _mix(hashes[hit] + t[hit].astype(np.int64).view(np.uint64) * _U(0xD6E8FEB86659FD93))
-        return out
 
     @staticmethod
     def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
@@ -156,16 +238,16 @@ def sampler_of(docs: DataFrame, samples: int = BANDS * ROWS, least_share: float
     return _frequent(frequencies(docs), samples, least_share)[0]
 
 
-def _apart(text: str, idf: dict[bytes, float]) -> list[bytes]:
-    """The text's distinct words that are not broadcast, by first place."""
-    return [w for w in dict.fromkeys(words(text)) if w not in idf]
+def _apart(own: list[bytes], idf: dict[bytes, float]) -> list[bytes]:
+    """The distinct ones of a text's words that are not broadcast, by first place."""
+    return [w for w in dict.fromkeys(own) if w not in idf]
 
 
 def _own(texts: list[str], rare: list[list[int] | None], sampler: Sampler, total: int) -> list[dict[bytes, float]]:
     """The weights each text brings; ``rare`` has word numbers and frequencies as ``_rare_words`` packs them."""
     out = []
     for text, packed in zip(texts, rare):
-        names = _apart(text, sampler.idf) if packed else []
+        names = _apart(words(text), sampler.idf) if packed else []
         out.append({names[x >> _NUMBER]: _idf(total, x & ((1 << _NUMBER) - 1)) for x in packed or ()})
     return out
 
@@ -185,13 +267,13 @@ def _rare_words(texts: DataFrame, counted: DataFrame, shared, least: float) -> D
     def run(batches):
         known = shared.value.idf
         for batch in blocks(batches):
-            keys, places, found = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                own = _apart(text, known)
-                keys += [key] * len(own)
-                places += range(len(own))
+            sizes, places, found = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = _apart(words(text), known)
+                sizes.append(len(own))
+                places.append(np.arange(len(own)))
                 found += own
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], names=["key", "at", "word"])
+            yield pa.record_batch([pa.array(np.repeat(batch.column("key").to_numpy(), sizes)), pa.array(np.concatenate(places)), pa.array(found, pa.binary())], names=["key", "at", "word"])
 
     pairs = texts.select("key", "text").mapInArrow(run, "key long, at long, word binary")
     met = pairs.join(counted.filter((F.col("n") > 1) & (F.col("n") < least)).hint("shuffle_hash"), "word")
@@ -205,9 +287,9 @@ def _sketched(rows: DataFrame, shared, total: int, bands: int) -> DataFrame:
     def run(batches):
         sampler = shared.value
         for batch in blocks(batches, size=_SKETCHED_BYTES):
-            texts = batch.column("text").to_pylist()
-            copies = [_copy(words(t)) for t in texts]
-            sets = [sampler.shingles(t, own) for t, own in zip(texts, _own(texts, batch.column("rare").to_pylist(), sampler, total))]
+            texts = list(map(words, batch.column("text").to_pylist()))
+            copies = list(map(_copy, texts))
+            sets = [(h, unit * n) for h, unit, n in sampler.counted_all(texts, rare=batch.column("rare").to_pylist(), total=total)]
             full = [i for i, s in enumerate(sets) if len(s[0])]
             found: list[list[int] | None] = [None] * len(texts)
             if full:
@@ -269,7 +351,7 @@ def _hub_pairs(rooted: DataFrame) -> DataFrame:
 
 
 def block_links(
-    sampler: Sampler, texts: list[str], roots: list[int], sides: list[bool] | None, similarity: float, own: list[dict[bytes, float]] | None = None
+    sampler: Sampler, texts: list[str], roots: list[int], sides: list[bool] | None, similarity: float, rare: list[list[int] | None] = (), total: int = 0
 ) -> list[tuple[int, int]]:
     """Links that join different roots, a spanning set of them, among the texts of one or two blocks.
 
@@ -278,11 +360,11 @@ def block_links(
     text has n times is n columns. A pair close to the limit is measured again
     without the product's rounding.
     """
-    sets = [sampler.counted(t, w) for t, w in zip(texts, own or [{}] * len(texts))]
-    total = np.array([(u * n).sum() for _, u, n in sets])
+    sets = sampler.counted_all(list(map(words, texts)), rare=rare, total=total)
+    weights = np.array([(u * n).sum() for _, u, n in sets])
     hashes, unit, count = (np.concatenate([s[i] for s in sets]) for i in range(3))
     owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-    layer = np.concatenate([np.arange(n) for n in count.tolist()]) if len(count) else np.zeros(0, int)
+    layer = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     hashes, unit, owner = np.repeat(hashes, count), np.repeat(unit, count), np.repeat(owner, count)
     order = np.lexsort((layer, hashes))
     hashes, layer, unit, owner = hashes[order], layer[order], unit[order], owner[order]
@@ -297,7 +379,7 @@ def block_links(
         x = np.zeros((len(sets), _COLUMNS))
         x[owner[part], column[part] - at] = np.sqrt(unit[part])
         overlap += x @ x.T
-    score = overlap / np.maximum(total[:, None] + total[None, :] - overlap, 1e-300)
+    score = overlap / np.maximum(weights[:, None] + weights[None, :] - overlap, 1e-300)
     apart = np.array(roots)[:, None] != np.array(roots)[None, :]
     if sides is not None:
         apart &= np.array(sides)[:, None] != np.array(sides)[None, :]
@@ -338,9 +420,8 @@ def _block_links(rooted: DataFrame, texts: DataFrame, shared, total: int, simila
         block, low, high = (table.column(c).to_pylist() for c in ("block", "low", "high"))
         sides = [b == low[0] for b in block] if low[0] != high[0] else None
         ids = table.column("id").to_pylist()
-        sampler, own = shared.value, table.column("text").to_pylist()
-        weights = _own(own, table.column("rare").to_pylist(), sampler, total)
-        found = block_links(sampler, own, table.column("root").to_pylist(), sides, similarity, weights)
+        texts, roots, rare = (table.column(c).to_pylist() for c in ("text", "root", "rare"))
+        found = block_links(shared.value, texts, roots, sides, similarity, rare, total)
         release()
         pairs = [sorted((ids[i], ids[j])) for i, j in found]
         return pa.table({"a": pa.array([p[1] for p in pairs], pa.int64()), "b": pa.array([p[0] for p in pairs], pa.int64())})
