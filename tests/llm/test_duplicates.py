@@ -309,6 +309,27 @@ def test_shingles_and_samples_of_many_texts_equal_single_ones(monkeypatch):
     assert sampler.signatures(sets).tolist() == alone
 
 
+def test_anchors_of_many_texts_equal_single_ones(monkeypatch):
+    draw = random.Random(16)
+    texts = [b"", b"x" * 49, b"y" * 50, b"z" * 300, *(bytes(draw.choices(b"abc ", k=draw.randint(0, 200))) for _ in range(80)), b"", b"tail"]
+    single = [[x.tolist() for x in suffixes.anchors([t])[0]] for t in texts]
+    for size in (1, 500, 1 << 16):
+        monkeypatch.setattr(suffixes, "_HASHED_BYTES", size)
+        assert [[x.tolist() for x in own] for own in suffixes.anchors(texts)] == single
+    assert [len(t) - 49 for t in texts if len(t) >= 50] == [s[2][-1] + 1 for s in single if s[2]]
+
+
+def test_shared_part_of_snippets_is_sorted_once(monkeypatch):
+    sizes, sort = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: sizes.append(len(text)) or sort(text))
+    part = bytes(random.Random(17).choices(range(97, 123), k=60))
+    ends = [(b"1", b"2"), (b"3", b"4"), (b"5", b"6")]
+    texts = [a * 9 + part + b * 9 for a, b in ends]
+    found = suffixes.smallest_owner({t: (doc, 29) for doc, t in zip((7, 4, 9), texts)}, 50)
+    assert sizes == [61]
+    assert found == {t: [(9, doc), (20, 4), (29, doc)] if doc != 4 else [(29, 4)] for doc, t in zip((7, 4, 9), texts)}
+
+
 def test_suffix_array():
     draw = random.Random(10)
     for _ in range(1500):
