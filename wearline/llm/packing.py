@@ -18,9 +18,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A fixed permutation of 32-bit integers."""
-    x = (x.astype(np.uint32) ^ np.uint32(seed)) * np.uint32(0x85EBCA6B)
+_SEEDS = np.array([[0x5BD1E995], [0x1B873593]], np.uint32)
+
+
+def _mixed(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A fixed permutation of 32-bit integers for each seed."""
+    x = (x.astype(np.uint32) ^ seeds) * np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(13)
     x *= np.uint32(0xC2B2AE35)
     return x ^ (x >> np.uint32(16))
@@ -55,7 +58,7 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
                 total += 1
                 rows += [(doc, at, window, _crc(ids[at : at + window]), n, 0, None) for at in range(0, tail, window)]
                 if tail < n:
-                    first, second = (int(_mixed(ids[tail:], s).min()) for s in (0x5BD1E995, 0x1B873593))
+                    first, second = _mixed(ids[tail:], _SEEDS).min(axis=1).tolist()
                     rows.append((doc, tail, n - tail, 0, n, first << 31 | second >> 1, ids[tail:].tobytes()))
             yield flush()
         if total:
@@ -97,7 +100,8 @@ class ShardIndex:
         terms, self.rows, self.weight = terms[useful], rows[useful], weight[useful].astype(np.float32)
         names, starts = np.unique(terms, return_index=True)
         self.postings = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(terms)])))
-        order = np.argsort(self.rows, kind="stable")
+        # 16-bit numbers are sorted in linear time
+        order = np.argsort(self.rows.astype(np.uint16) if len(tails) <= 1 << 16 else self.rows, kind="stable")
         cuts = np.searchsorted(self.rows[order], np.arange(len(tails) + 1))
         self.terms_of = [terms[order[a:b]].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
         self.n = len(tails)
