@@ -128,6 +128,45 @@ def test_short_lines_go(spark, threshold):
     assert [tuple(r) for r in corpus_pipeline.line_dedup(spark, query, "").orderBy("doc_id").select("text").collect()] == [("Yes.\none",), ("two hundred",)]
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_links_across_buckets(spark, threshold, monkeypatch):
+    """Pairs up to the threshold apart, with lengths on both sides of every kind of bucket border, each found."""
+    monkeypatch.setattr(lines, "_OFTEN", 1)
+    draw = random.Random(threshold)
+    pool = []
+    for n in (4, 5, 8, 14, 15, 16, 17, 31, 32, 33, 63, 64, 66, 129, 255, 257):
+        for _ in range(6):
+            base = "".join(draw.choice("abé .") for _ in range(n)).strip(SPACES).rjust(n, "a")
+            pool += [base] + [mutated(draw, base, draw.randint(1, threshold + 1)).strip(SPACES) for _ in range(3)]
+    pool = sorted({x for x in pool if x})
+    want = Counter(x for a in pool for b in pool if a < b and min(len(a), len(b)) > threshold and abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold for x in (a, b))
+    rows = list(enumerate(pool)) + [(1000 + i, x) for i, x in enumerate(pool[::7])]
+    found = lines.digest(table(spark, rows), threshold, least_chars=1).collect()
+    assert {r.doc_id: r.n_links for r in found} == {i: want[x] for i, x in rows}
+    lengths = {len(x) for x in want}
+    assert any(a < 16 <= b or a < 32 <= b or a < 64 <= b for a in lengths for b in lengths if 0 < b - a <= threshold)
+
+
+def test_long_lines_have_few_keys(spark):
+    rows = spark.range(200, 400).selectExpr("repeat('x', int(id)) AS line", "int(id) AS n", "id AS h")
+    assert lines._keys(rows, 2).count() <= 5 * 200
+
+
+def test_lines_of_a_document_are_split_once(spark):
+    """The texts are read for the lines and for the result, whatever is done with the lines in between."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        reads.add(1)
+        return text
+
+    same = F.udf(counted, "string").asNondeterministic()
+    rows = [(i, f"Read more\n{' '.join(PROSE)} {i}\nthe only one {i * 7919}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", same("text"))
+    assert sum(r.n_removed for r in lines.deduplicated(df, least_chars=1).collect()) > 50
+    assert reads.value <= 2 * len(rows)
+
+
 def brute_rules(rows, share, least):
     words = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t, _ in rows]
     normal, hosts, seen = [], Counter(), Counter()

@@ -9,7 +9,8 @@ from wearline.llm.common import SPACES, stored
 
 THRESHOLD, LEAST_CHARS = 2, 20
 _SALTS, _SLOTS = 16, 1 << 20
-_BLOCK = 256
+_BLOCK, _OFTEN = 256, 64
+_COUNTED = " etaoinshrdlu.,"
 
 
 def _bind(value: Column, use) -> Column:
@@ -17,42 +18,53 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _keys(lines: DataFrame, places: list[tuple[int, int, int]], parts: int) -> DataFrame:
-    """``key`` for each line and place: hash of length, segment number and the text of that segment.
+def bucket(n: Column) -> Column:
+    """The least length of the bucket of length ``n``: eight buckets between powers of two, one for each length below 16."""
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor(F.log2(n)).cast("int") - 3))
+    return n - n % width
 
-    A place (delta, i, shift) is segment i of a line ``delta`` shorter, looked
-    for ``shift`` characters further right. The last segments of a line are one
-    longer if the length does not divide. Places are rows, so one short
-    expression serves all of them. No key where the text would leave the line.
-    """
-    rows = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in places])
-    placed = lines.select("*", F.inline(rows)).withColumn("m", F.col("n") - F.col("delta"))
-    longer = F.col("m") % parts - (parts - F.col("i"))
-    placed = placed.withColumn("start", F.expr(f"(m div {parts}) * i").cast("int") + F.greatest(F.lit(0), longer) + 1 + F.col("shift"))
-    placed = placed.withColumn("size", F.expr(f"m div {parts}").cast("int") + (longer >= 0).cast("int"))
-    inside = (F.col("start") >= 1) & (F.col("start") + F.col("size") <= F.col("n") + 1)
-    text = F.substring(F.col("line"), F.col("start"), F.col("size"))
-    return placed.filter(inside).withColumn("key", F.xxhash64("m", "i", text))
 
+def places(threshold: int) -> list[tuple[int, int, int]]:
+    """Places (delta, i, shift): segment i, ``shift`` characters further right, in the bucket of a line ``delta`` shorter.
+
+    All lines of a bucket have segments of the same sizes, the first half measured
+    from their left end and the others from their right end. Of two lines within
+    reach some segment i has i edits before it and threshold - i after it at most,
+    so it has moved by no more than that from its end.
 
-def segment_places(threshold: int) -> list[tuple[int, int, int]]:
-    """Where an indexed line has its segments."""
-    return [(0, i, 0) for i in range(threshold + 1)]
+    For two edits a middle segment counts only if the outer ones differ, which is
+    so in both lines or in none: there is an edit in each of them, the middle of either
+    line is whole in the other, and a move to the left is one to the right seen
+    from the other line. A longer line of another bucket has no move to the left:
+    its second edit would have to add two characters.
+    """
+    found = []
+    for i in range(threshold + 1):
+        reach = i if 2 * i <= threshold else threshold - i
+        found += [(delta, i, shift) for delta in range(threshold + 1) for shift in range(0 if threshold <= 2 else -reach, reach + 1)]
+    return found
 
 
-def probe_places(threshold: int) -> list[tuple[int, int, int]]:
-    """Where a line may have the segments of a line as long or up to ``threshold`` shorter.
+def _keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``key, h, own`` of each line and place: hash of bucket, segment number and text; ``own`` marks a line's own segments.
 
-    Seen from the left, segment i of the shorter line can have moved by i at most
-    (that many edits before it); seen from the right by what the other edits allow.
+    A line takes part in its own bucket and in those of lines up to ``threshold``
+    shorter, so it meets all lines as long or shorter in the bucket of the shorter.
+    Places are rows, so one short expression serves all of them. No key where the
+    text would leave the line.
     """
-    places = []
-    for delta in range(threshold + 1):
-        for i in range(threshold + 1):
-            lowest = max(-i, delta - (threshold - i))
-            highest = min(i, delta + (threshold - i))
-            places += [(delta, i, shift) for shift in range(lowest, highest + 1)]
-    return places
+    parts = threshold + 1
+    rows = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in places(threshold)])
+    placed = lines.select("line", "n", "h", F.inline(rows)).withColumn("m", bucket(F.col("n") - F.col("delta")))
+    # the bucket of a line one longer is the same: no place of its own
+    placed = placed.filter((F.col("delta") == 0) | ((F.col("n") - F.col("delta") > threshold) & (F.col("m") != bucket(F.col("n") - F.col("delta") + 1))))
+    longer = F.col("m") % parts - (parts - F.col("i"))
+    placed = placed.withColumn("start", F.expr(f"(m div {parts}) * i").cast("int") + F.greatest(F.lit(0), longer) + 1 + F.col("shift") + F.when(2 * F.col("i") <= threshold, 0).otherwise(F.col("n") - F.col("m")))
+    placed = placed.withColumn("size", F.expr(f"m div {parts}").cast("int") + (longer >= 0).cast("int"))
+    inside = (F.col("start") >= 1) & (F.col("start") + F.col("size") <= F.col("n") + 1)
+    text = F.substring(F.col("line"), F.col("start"), F.col("size"))
+    own = (F.col("delta") == 0) & (F.col("shift") == 0)
+    return placed.filter(inside).select(F.xxhash64("m", "i", text).alias("key"), "h", own.alias("own"))
 
 
 def common_prefix(one: Column, other: Column, most: Column) -> Column:
@@ -155,85 +167,78 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """``k, k2, doc_id, at, line, n, h, h2, slot`` of each trimmed line of at least ``least_chars`` characters."""
+    """``k, k2, id, at, line, n, h, h2`` of each trimmed line of at least ``least_chars`` characters; a null id is the least."""
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = _documents(docs.select("doc_id", "text")).select(
-        F.col("__k").alias("k"), F.col("__k2").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line")
+        F.col("__k").alias("k"), F.col("__k2").alias("k2"), id.alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line")
     )
     rows = rows.withColumn("line", F.btrim("line", F.lit(SPACES))).withColumn("n", F.char_length("line")).filter(F.col("n") >= least_chars)
-    rows = rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    return rows.withColumn("slot", F.pmod("h", F.lit(_SLOTS)).cast("int"))
+    return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _slots(rows: DataFrame) -> DataFrame:
-    """The slots of the hashes in ``rows``: at most ``_SLOTS`` rows whatever the input, so they are broadcast."""
-    return F.broadcast(rows.select(F.pmod("h", F.lit(_SLOTS)).cast("int").alias("slot")).distinct())
+def _slot() -> Column:
+    return F.pmod("h", F.lit(_SLOTS)).cast("int")
+
+
+def _in_slots(lines: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The ``lines`` in slots of the hashes in ``rows`` (or not in them): at most ``_SLOTS`` slots whatever the input, so they are broadcast."""
+    slots = F.broadcast(rows.select(_slot().alias("slot")).distinct())
+    return lines.withColumn("slot", _slot()).join(slots, "slot", how).drop("slot")
 
 
 def links(lines: DataFrame, seen: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different lines within ``threshold`` edits: ``h, h2`` and ``g, g2``, each pair once.
 
     Only lines of more than ``threshold`` characters have the segments and take
-    part. ``seen`` counts the lines (h, n). Lines in the slot of a repeated one are made
-    distinct; the others are so already and stay where they are. Lines of length
-    L are indexed by their threshold + 1 segments; a line probes the segments of
-    lines as long or shorter with its own substrings. Of the index a probe meets
-    two entries at most, the least and the largest, which tell whether another
-    line has the key; so the join makes no more rows than there are probes. An
-    indexed line probes its own keys too, so the probes left, and the entry they
-    meet where it is the only one, are all members of their keys. Members are
-    fetched, after the same kind of slot filter, and
-    compared within blocks.
+    part. ``seen`` counts the lines (h, n). Lines in the slot of one that stands
+    over ``_OFTEN`` times are made distinct; the others stay where they are,
+    as a few copies do no harm. Of a key's own members a place meets two
+    at most, the least and the largest, which tell whether another line has the
+    key; so the join makes no more rows than there are places. All that are
+    left, and the entry they meet where it is the only one, are members of their
+    keys. Texts are fetched after a slot filter, and members compared within blocks.
     """
-    lines = lines.filter(F.col("n") > threshold)
-    repeated = _slots(seen.filter("n > 1"))
-    base = lines.select("line", "n", "h", "slot")
-    different = base.join(repeated, "slot", "left_anti").select("line", "n", "h").unionByName(
-        base.join(repeated, "slot", "left_semi").select("line", "n", "h").distinct()
-    )
-    index = _keys(different, segment_places(threshold), threshold + 1)
-    index = index.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
-    own = (F.col("delta") == 0) & (F.col("shift") == 0)
-    probe = _keys(different, probe_places(threshold), threshold + 1).select("key", "h", own.alias("own"))
-    met = probe.join(index.hint("merge"), "key").filter("least <> h OR most <> h")
+    lines = lines.filter(F.col("n") > threshold).select("line", "n", "h", "h2")
+    often = seen.filter(F.col("n") > _OFTEN)
+    different = _in_slots(lines, often, "left_anti").unionByName(_in_slots(lines, often).distinct())
+    keys = _keys(different, threshold).repartition("key")
+    own = F.when(F.col("own"), F.col("h"))
+    index = keys.groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most"))
+    met = keys.join(index.hint("merge"), "key").filter("least <> h OR most <> h")
     both = F.array(F.struct("h", "own"), F.struct(F.col("least").alias("h"), F.lit(True).alias("own")))
     met = stored(met.select("key", F.inline(both)).groupBy("key", "h").agg(F.max("own").alias("own")))
     wanted = stored(met.select("h").distinct())
-    texts = lines.join(_slots(wanted), "slot", "left_semi").select("h", "h2", "line")
-    texts = stored(texts.join(wanted.hint("merge"), "h", "left_semi").distinct())
-    return stored(_compared(met, texts, threshold).distinct())
+    texts = _in_slots(lines, wanted).join(wanted.hint("merge"), "h", "left_semi").distinct()
+    texts = stored(texts.select("*", _counts(F.col("line")).alias("counts")))
+    return stored(_compared(met, texts, threshold))
+
+
+def _counts(line: Column) -> Column:
+    """How often each character of ``_COUNTED`` stands in a line, and how many others do."""
+    own = [F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in _COUNTED]
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate([*own, F.char_length(line) - sum(own, F.lit(0))])])
 
 
 def _compared(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of members of a key within ``threshold`` edits; members meet as arrays of a block each, and only links become rows."""
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).hint("merge")
-    rows = met.join(sizes, "key").withColumn("block", F.pmod("h", "blocks").cast("int"))
-    rows = rows.select(
-        "key", "h", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    rows = rows.join(texts.hint("merge"), "h").select(
-        "key",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        F.struct("h", "h2", "own", "line", F.char_length("line").alias("n"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second")).alias("x"),
-    )
-    groups = rows.groupBy("key", "low", "high").agg(F.collect_list("x").alias("xs"))
-
-    def partners(a: Column) -> Column:
-        def linked(b: Column) -> Column:
-            # within a block each pair once; across blocks from the first to the second
-            once = b["second"] & ((a["h"] != b["h"]) & ((F.col("low") < F.col("high")) | (a["h"] < b["h"])))
-            near = once & (a["own"] | b["own"]) & (F.abs(a["n"] - b["n"]) <= threshold)
-            return F.when(near, within(a["line"], b["line"], threshold)).otherwise(False)
-
-        return F.transform(
-            F.filter("xs", linked),
-            lambda b: F.when(a["h"] < b["h"], F.struct(a["h"].alias("h"), a["h2"].alias("h2"), b["h"].alias("g"), b["h2"].alias("g2"))).otherwise(
-                F.struct(b["h"].alias("h"), b["h2"].alias("h2"), a["h"].alias("g"), a["h2"].alias("g2"))
-            ),
-        )
+    """The pairs of members of a key within ``threshold`` edits.
 
-    found = F.flatten(F.transform(F.filter("xs", lambda a: a["first"]), partners))
-    return groups.select(F.inline(found))
+    Members meet a block at a time, and only links become rows. An edit adds one
+    to one count of characters at most and takes one from one at most; pairs
+    whose lengths or counts are further apart are not compared.
+    """
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).hint("merge")
+    rows = met.join(sizes, "key").join(texts.select("*", F.inline(F.array("counts"))).drop("counts").hint("merge"), "h")
+    one = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    other = rows.withColumn("block", F.pmod("h", "blocks").cast("int")).drop("blocks")
+    other = other.withColumnsRenamed({c: f"{c}_g" for c in other.columns if c not in ("key", "block")})
+    changes = [F.col(f"c{i}") - F.col(f"c{i}_g") for i in range(len(_COUNTED) + 1)]
+    near = (F.col("h") < F.col("h_g")) & (F.col("own") | F.col("own_g")) & (F.abs(F.col("n") - F.col("n_g")) <= threshold)
+    for sign in (1, -1):
+        near &= sum((F.greatest(F.lit(0), sign * c) for c in changes), F.lit(0)) <= threshold
+    near &= within(F.col("line"), F.col("line_g"), threshold)
+    together = (one["key"] == other["key"]) & (one["block"] == other["block"])
+    found = one.join(other.hint("merge"), together & near)
+    return found.select("h", "h2", F.col("h_g").alias("g"), F.col("h2_g").alias("g2")).distinct()
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -254,9 +259,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     repeated rows are treated alike and come back as often; extra columns stay;
     an empty table gives no rows.
     """
-    lines = line_rows(docs, least_chars)
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    seen = stored(lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    lines = stored(line_rows(docs, least_chars))
+    seen = stored(lines.groupBy("h", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     found = links(lines, seen, threshold)
     touched = found.select("h", "h2").unionByName(found.select(F.col("g").alias("h"), F.col("g2").alias("h2"))).distinct()
     times = stored(seen.join(touched.withColumn("linked", F.lit(True)), ["h", "h2"], "left").filter("n > 1 OR linked"))
@@ -274,7 +278,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
         "h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     )
     # one row per document and line: where it stands first there, and all its places
-    own = lines.join(_slots(times), "slot", "left_semi").groupBy("k", "k2", "h", "h2").agg(F.min("at").alias("top"), F.min(order).alias("id"), F.collect_set("at").alias("places"))
+    own = _in_slots(lines.select("k", "k2", "id", "at", "h", "h2"), times).groupBy("k", "k2", "h", "h2").agg(F.min("at").alias("top"), F.min("id").alias("id"), F.collect_set("at").alias("places"))
     own = own.withColumn("salt", F.pmod("k", F.lit(_SALTS)).cast("int"))
     judged = own.join(known.hint("merge"), ["h", "h2", "salt"]).select(
         "k",
@@ -287,7 +291,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     rows = _documents(docs).join(per_row.withColumnsRenamed({"k": "__k", "k2": "__k2"}), ["__k", "__k2"], "left")
     split = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
-    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")).otherwise(F.col("text"))
+    shortened = _bind(split, lambda parts: F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.size("__gone") > 0, shortened).otherwise(F.col("text"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
