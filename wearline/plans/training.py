@@ -22,6 +22,7 @@ from wearline.operators.assemble import impute
 from wearline.operators.labels import serving_health_of, with_class_weight
 from wearline.operators.metrics import classification_metrics, regression_metrics
 from wearline.operators.splits import walk_forward_folds
+from wearline.plans import forests
 from wearline.schemas import HEALTH_LABELS
 
 # Default model sizes.
@@ -54,9 +55,12 @@ def train_health(
     depth: int = FOREST_DEPTH,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Random forest on balanced class weights."""
+    """Random forest on balanced class weights, a tree a task; Spark's own learner fits rows beyond a task's memory."""
     stage = assembler(features)
     rows = _with_label_index(with_class_weight(impute(df, features), label), label)
+    grown = forests.fit_classifier(rows, features, "_label", "weight", len(HEALTH_LABELS), trees, depth, seed)
+    if grown is not None:
+        return PipelineModel([stage, grown])
     forest = RandomForestClassifier(
         featuresCol=_VECTOR,
         labelCol="_label",
@@ -86,7 +90,7 @@ def predict_health(model: PipelineModel, df: DataFrame, features: list[str]) ->
 
 def feature_importance(model: PipelineModel, df: DataFrame, features: list[str], n: int = 20) -> DataFrame:
     """Top-n features of the fitted forest, most important first."""
-    forest: RandomForestClassificationModel = model.stages[-1]
+    forest: forests.ForestModel | RandomForestClassificationModel = model.stages[-1]
     pairs = [(name, float(forest.featureImportances[i])) for i, name in enumerate(features)]
     rows = df.sparkSession.createDataFrame(pairs, "feature string, importance double")
     return rows.orderBy(F.col("importance").desc(), "feature").limit(n)
