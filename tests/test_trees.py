@@ -133,7 +133,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name, rows", [("rf_health", 118), ("rf_health_metrics", 1), ("feature_importance", 5)])
+@pytest.mark.parametrize("name, rows", [("rf_health", 118), ("rf_health_metrics", 1), ("feature_importance", 5), ("batch_scoring", 472)])
 def test_a_query_trains_200_trees_of_its_own(spark, folder, monkeypatch, name, rows):
     """One tree a task, of the library's size, without the passes of Spark's learner."""
     grown, fit = [], forests.fit_classifier
