@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tests.conftest import BASE
@@ -46,7 +47,8 @@ def test_a_tree_equals_sparks(spark, rows, monkeypatch, cells):
     ready = stage.transform(rows)
     spark_tree = DecisionTreeClassifier(featuresCol="_features", labelCol="label", weightCol="w", maxDepth=7).fit(ready)
     borders = forests.borders_of(rows, FEATURES, "w")
-    bins, label, count = forests.held_rows(forests.binned_rows(rows, FEATURES, borders, "label"), 3)
+    counted = forests.binned_rows(rows, FEATURES, borders, "label").groupBy("key", "label").agg(F.count("*").alias("n"))
+    bins, label, count = forests.distinct_rows(counted.toArrow(), 3)
     assert count.sum() == rows.count() > len(count)
     monkeypatch.setattr(np.random, "default_rng", lambda seed: Whole())
     tree, importance = trees.classifier(bins, label.astype(np.uint8), count, np.array(WEIGHT), forests.BINS, 7, 3, 0)
@@ -150,3 +152,35 @@ def test_a_query_trains_200_trees_of_its_own(spark, folder, monkeypatch, name, r
     monkeypatch.setattr(RandomForestClassifier, "fit", never)
     assert getattr(queries_models, name)(spark, folder).count() == rows
     assert [m.getNumTrees for m in grown] == [200]
+
+
+def test_boosting_in_a_task_gives_sparks_trees(rows, monkeypatch, tmp_path):
+    model = training.train_rul(rows, FEATURES, trees=12)
+    monkeypatch.setattr(forests, "TASK_BYTES", 0)
+    by_spark = training.train_rul(rows, FEATURES, trees=12).stages[-1]
+    ours = model.stages[-1]
+    text = [[t.toDebugString.partition("\n")[2] for t in m.trees] for m in (ours, by_spark)]
+    assert text[0] == text[1] and ours.treeWeights == by_spark.treeWeights and len(text[0]) == 12
+    assert ours.featureImportances.toArray() == pytest.approx(by_spark.featureImportances.toArray())
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    one, two = (sorted((r["id"], r["predicted_rul"]) for r in training.predict_rul(m, rows, FEATURES).collect()) for m in (model, loaded))
+    assert one == two and len(one) == 990
+
+
+def test_walk_forward_scores_need_no_pass_a_level(spark, folder, monkeypatch):
+    """Five folds of 100 trees, each boosted in a task."""
+    made, fit = [], forests.fit_boosted
+
+    def never(*args):
+        raise AssertionError("passes over all rows")
+
+    def record(*args):
+        made.append(fit(*args))
+        return made[-1]
+
+    monkeypatch.setattr(GBTRegressor, "fit", never)
+    monkeypatch.setattr(forests, "fit_boosted", record)
+    out = queries_models.walk_forward_scores(spark, folder).orderBy("fold_id").collect()
+    assert [r["fold_id"] for r in out] == [0, 1, 2, 3, 4] and all(r["mae"] > 0 for r in out)
+    assert [m.getNumTrees for m in made] == [100] * 5

@@ -104,14 +104,15 @@ def train_rul(
     depth: int = BOOST_DEPTH,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Gradient-boosted regressor; features may be flattened sequences."""
+    """Gradient-boosted regressor, boosted in one task if that holds the rows; features may be flattened sequences."""
     stage = assembler(features)
     rows = impute(df, features).withColumn(label, F.col(label).cast("double"))
     boost = GBTRegressor(
         featuresCol=_VECTOR, labelCol=label, maxIter=trees, maxDepth=depth, seed=seed,
         predictionCol="predicted_rul", checkpointInterval=10,
     )
-    return PipelineModel([stage, boost.fit(stage.transform(rows).select(_VECTOR, label))])
+    boosted = forests.fit_boosted(rows, boost, features)
+    return PipelineModel([stage, boosted or boost.fit(stage.transform(rows).select(_VECTOR, label))])
 
 
 def train_rul_ensemble(
